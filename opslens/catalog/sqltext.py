@@ -170,6 +170,64 @@ CTES: dict[str, str] = {
                    (SELECT CAST(unnest(generate_series({_A} - 729, {_A}, INTERVAL 1 DAY)) AS DATE) AS d))""",
 }
 
+_GOLDEN = pick("(k % 5)", fv.GOLDEN_QUESTIONS)
+_IS_SQL = "event_type IN ('click', 'error')"
+_FAILED = f"({_IS_SQL} AND k % 3 = 0)"
+_PLANNED = "(event_type = 'view' AND k % 9 <> 0)"
+
+CTES.update(
+    {
+        "events_k": "SELECT *, CAST(props::JSON->>'k' AS BIGINT) AS k FROM events",
+        "all_spans": f"""
+        SELECT CAST(event_id AS VARCHAR) AS record_id, user_id || '-' || CAST(CAST(ts AS DATE) AS VARCHAR) AS trace_id,
+               CASE event_type WHEN 'purchase' THEN 'Agent' WHEN 'click' THEN '{fv.SQL_SPAN}' WHEN 'error' THEN '{fv.SQL_TOOL_SPAN}'
+                    WHEN 'view' THEN '{fv.PLANNING_PREFIX}-' || (k % 4) WHEN 'signup' THEN '{fv.TURN_SPAN}' END AS span_name,
+               'SPAN' AS record_type, ts AS start_ts, ts + to_milliseconds(CAST(ROUND(value * 100) AS BIGINT)) AS end_ts,
+               CAST(ts + to_milliseconds(CAST(ROUND(value * 100) AS BIGINT)) AS DATE) AS event_date,
+               date_diff('millisecond', ts, ts + to_milliseconds(CAST(ROUND(value * 100) AS BIGINT))) AS duration_ms,
+               'user' || user_id AS user_name,
+               CASE WHEN user_id % 5 = 0 THEN '0' WHEN user_id % 7 <> 0 THEN 't' || user_id END AS thread_id,
+               'm' || event_id AS message_id, CASE WHEN k % 2 = 0 THEN 'm' || (event_id - 1) END AS parent_message_id,
+               CASE WHEN user_id % 10 = 9 THEN 'OTHER_ASSISTANT' ELSE 'OPS_ASSISTANT' END AS agent_name,
+               'Agent' AS agent_type, 'RETAIL' AS database_name,
+               CASE WHEN event_type = 'signup' AND k % 11 <> 0 THEN {_GOLDEN} END AS question,
+               CASE WHEN event_type = 'signup' THEN 'Answer ' || event_id END AS response_text,
+               CASE WHEN event_type = 'signup' AND k % 19 <> 0 THEN CASE WHEN k % 17 = 0 THEN 'FAILURE' ELSE 'SUCCESS' END END AS status,
+               CASE WHEN event_type = 'signup' AND value > 150 THEN 'SLOW' END AS status_description,
+               CASE WHEN {_IS_SQL} THEN CASE WHEN k % 3 = 0 THEN 'ERROR' ELSE 'SUCCESS' END END AS sql_status,
+               CASE WHEN {_FAILED} THEN CASE (k // 3) % 3 WHEN 0 THEN 'error code 000904: invalid identifier ''T.COL_' || (k % 7) || ''''
+                    WHEN 1 THEN 'error code 001003: syntax error' ELSE 'statement timed out' END END AS sql_error,
+               CASE WHEN {_IS_SQL} THEN 'q' || event_id END AS query_id,
+               CASE WHEN {_IS_SQL} THEN 'SELECT ' || k || ' AS n' END AS final_sql,
+               CASE WHEN {_IS_SQL} THEN 'WH_' || (k % 3) END AS sql_warehouse,
+               CASE WHEN {_IS_SQL} AND k % 13 <> 0 THEN k * 10 END AS sql_num_rows,
+               CASE WHEN {_IS_SQL} THEN CASE WHEN k % 4 = 0 THEN 'true' ELSE 'false' END END AS verified_query_used,
+               CASE WHEN {_FAILED} AND k % 2 = 0 THEN 'check failed at ' || k END AS validation_error,
+               CASE WHEN event_type = 'view' THEN 'model-' || substr('abc', CAST(k % 3 + 1 AS INTEGER), 1) END AS model,
+               CASE WHEN event_type = 'view' THEN k % 4 END AS planning_step,
+               CASE WHEN {_PLANNED} THEN CASE WHEN k % 10 = 0 THEN 13 ELSE k * 23 + 1200 END END AS tokens_total,
+               CASE WHEN {_PLANNED} THEN k * 20 + 1000 END AS tokens_input,
+               CASE WHEN {_PLANNED} THEN k * 3 + 200 END AS tokens_output,
+               CASE WHEN {_PLANNED} THEN k * 14 + 700 END AS tokens_cache_read,
+               CASE WHEN event_type = 'signup' AND k % 6 = 0 THEN 'SUCCESS' END AS chart_status
+        FROM events_k""",
+        "spans": "SELECT * FROM all_spans WHERE agent_name = 'OPS_ASSISTANT'",
+        "recent_spans": f"SELECT * FROM spans WHERE event_date >= DATE '{SPANS_AS_OF}' - 7",
+        "sql_spans": f"SELECT * FROM spans WHERE span_name = '{fv.SQL_SPAN}'",
+        "turn_spans": f"SELECT * FROM spans WHERE span_name = '{fv.TURN_SPAN}'",
+        "picked": "SELECT MIN(trace_id) AS id FROM sql_spans",
+        "query_history": """
+        SELECT 'q' || event_id AS query_id, 'WH_' || (k % 3) AS warehouse_name, k * 3 + 5 AS compilation_time,
+               CAST(ROUND(value * 100) AS BIGINT) AS execution_time, k * 1000003 AS bytes_scanned,
+               k % 20 AS partitions_scanned, 20 + k % 5 AS partitions_total, k * 10 AS rows_produced
+        FROM events_k WHERE event_type = 'click' AND event_id % 10 <> 0""",
+        "refresh_history": """
+        SELECT ts AS start_time, 'spans_' || (k % 3) AS table_name,
+               CAST(CAST(ROUND(value * 100) AS BIGINT) / 100000.0 AS DECIMAL(12,5)) AS credits_used
+        FROM events_k WHERE event_type = 'error'""",
+    }
+)
+
 _WORD = re.compile(r"[a-z_][a-z_0-9]*")
 
 

@@ -62,3 +62,25 @@ def carry_forward(
         .withColumn(name, F.coalesce("_inside", "_carried"))
         .drop("_chunk", "_value", "_inside", "_carried")
     )
+
+
+def number_rows(
+    rows: DataFrame, by: Sequence[str], position: str, order: Sequence[Column], name: str, chunk: int
+) -> DataFrame:
+    """0-based row number per group, ordered by ``order`` whose first key is the number ``position``.
+
+    Rows are numbered inside slices of ``position`` and shifted by the rows of the slices before.  The
+    shift is a window over one row per slice.
+    """
+    by = list(by)
+    cut = rows.withColumn("_slice", F.floor(F.col(position) / F.lit(chunk)))
+    sizes = cut.groupBy(*by, "_slice").agg(F.count(F.lit(1)).alias("_size"))
+    before = Window.partitionBy(*by).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    shifts = sizes.select(*by, "_slice", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_shift"))
+    within = Window.partitionBy(*by, "_slice").orderBy(*order)
+    return (
+        cut.withColumn("_place", F.row_number().over(within) - 1)
+        .join(shifts, [*by, "_slice"])
+        .withColumn(name, F.col("_place") + F.col("_shift"))
+        .drop("_slice", "_place", "_shift")
+    )
