@@ -1,6 +1,6 @@
 """All catalog entries; importing this package fills the registry."""
 
-from opslens.catalog import enrich, observe, retail, semantic, turnlog  # noqa: F401
-from opslens.catalog.registry import ORACLES, QUERIES
+from opslens.catalog import enrich, observe, retail, semantic, storage, turnlog  # noqa: F401
+from opslens.catalog.registry import QUERIES, oracles
 
-__all__ = ["ORACLES", "QUERIES"]
+__all__ = ["QUERIES", "oracles"]

@@ -14,7 +14,12 @@ from opslens.session import configure
 Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {}
-ORACLES: dict[str, str] = {}
+BODIES: dict[str, str] = {}
+
+
+def oracles() -> dict[str, str]:
+    """Complete oracle SQL per query, with the table expressions of all catalog modules."""
+    return {name: oracle(body) for name, body in BODIES.items()}
 
 
 def exported(rows: DataFrame) -> DataFrame:
@@ -35,7 +40,7 @@ def entry(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
         QUERIES[name] = run
         if sql is not None:
-            ORACLES[name] = oracle(sql)
+            BODIES[name] = sql
         return query
 
     return register

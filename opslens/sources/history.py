@@ -16,9 +16,12 @@ HISTORY_COLUMNS = (
 
 def query_history(spark: SparkSession, location: str) -> DataFrame:
     """One row per executed statement; one statement in ten never arrives in the history."""
-    ran = read_table(spark, location, "events").where(
-        (F.col("event_type") == "click") & (F.col("event_id") % 10 != 0)
-    )
+    return history_of(read_table(spark, location, "events"))
+
+
+def history_of(events: DataFrame) -> DataFrame:
+    """Query history of an ``events`` DataFrame, batch or streaming."""
+    ran = events.where((F.col("event_type") == "click") & (F.col("event_id") % 10 != 0))
     k = event_number(F.col("props"))
     return ran.select(
         F.concat(F.lit("q"), F.col("event_id").cast("string")).alias("query_id"),

@@ -125,8 +125,12 @@ def spans(spark: SparkSession, location: str) -> DataFrame:
     Same rows as ``flattened``, without the way through JSON; a question then reads only the columns
     it uses, as it would from a stored span table.
     """
-    events = read_table(spark, location, "events").where(F.col("user_id") % 10 != 9)
-    keyed = events.withColumn("_k", event_number(F.col("props")))
+    return spans_of(read_table(spark, location, "events"))
+
+
+def spans_of(events: DataFrame) -> DataFrame:
+    """Span rows of an ``events`` DataFrame, batch or streaming."""
+    keyed = events.where(F.col("user_id") % 10 != 9).withColumn("_k", event_number(F.col("props")))
     start, end = instant(F.col("ts")), _end()
     made = {
         **event_attributes(),
