@@ -28,7 +28,7 @@ def flatten(spark, location):
 def flatten_filter(spark, location):
     kept = flat.keep_agent(traces.raw_events(spark, location), traces.AGENT)
     columns = ("database_name", "agent_name", "agent_type")
-    return flat.flatten_spans(kept).groupBy(*columns).agg(F.count(F.lit(1)).alias("n"))
+    return flat.span_view(kept).groupBy(*columns).agg(F.count(F.lit(1)).alias("n"))
 
 
 @entry("flatten_duration", "SELECT record_id, trace_id, start_ts, end_ts, event_date, duration_ms FROM all_spans")
@@ -57,7 +57,7 @@ def flatten_trycast(spark, location):
     "SELECT validation_error, COUNT(*) AS n FROM spans WHERE validation_error IS NOT NULL GROUP BY validation_error",
 )
 def flatten_array_index_key(spark, location):
-    kept = traces.flattened(spark, location).where(F.col("validation_error").isNotNull())
+    kept = flat.span_view(traces.raw_events(spark, location), traces.AGENT).where(F.col("validation_error").isNotNull())
     return kept.groupBy("validation_error").agg(F.count(F.lit(1)).alias("n"))
 
 

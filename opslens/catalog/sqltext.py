@@ -143,8 +143,8 @@ CTES: dict[str, str] = {
     "months24": f"SELECT CAST(unnest(generate_series({_MONTH0}, DATE '2001-06-01', INTERVAL 1 MONTH)) AS DATE) AS period_month",
     "sales_targets": f"""
         SELECT g.store_id, period_month,
-               CAST(ROUND(CAST(COALESCE(CAST(rev AS DOUBLE), 0.0) * share / 2400.0 AS DECIMAL(38,10)), 2) AS DECIMAL(18,2)) AS target_revenue,
-               CAST(ROUND(COALESCE(CAST(units AS DOUBLE), 0.0) * share / 2400.0) AS INTEGER) AS target_units
+               CAST((COALESCE(CAST(rev * 100 AS BIGINT), 0) * share * 2 + 2400) // 4800 / 100.0 AS DECIMAL(18,2)) AS target_revenue,
+               CAST((COALESCE(CAST(units AS BIGINT), 0) * share * 2 + 2400) // 4800 AS INTEGER) AS target_units
         FROM (SELECT s_suppkey + 1 AS store_id, period_month,
                      75 + {draw("(CAST(s_suppkey + 1 AS VARCHAR) || '-' || CAST(period_month AS VARCHAR))", 'target')} % 50 AS share
               FROM supplier, months24) g

@@ -113,7 +113,7 @@ def src_spine_quarter(spark, location):
     FROM all_spans GROUP BY span_name""",
 )
 def src_events_variant(spark, location):
-    rows = flat.flatten_spans(traces.raw_events(spark, location))
+    rows = flat.span_view(traces.raw_events(spark, location))
     return rows.groupBy("span_name").agg(
         F.count(F.lit(1)).alias("n"), F.count("query_id").alias("with_query"), F.count("question").alias("with_question")
     )

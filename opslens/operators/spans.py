@@ -43,11 +43,10 @@ def keep_agent(events: DataFrame, agent: AgentFilter, namespace: str = fv.ATTRIB
     return events.where(found == F.struct(*[F.lit(v).alias(keys[c]) for c, v in wanted.items()]))
 
 
-def span_columns(namespace: str = fv.ATTRIBUTE_NAMESPACE) -> dict[str, Column]:
-    """The expression of every span column, in table order."""
-    attributes = F.col("record_attributes")
+def _span_columns(value: dict[str, Column]) -> dict[str, Column]:
+    """All span columns in table order, given the text of each attribute."""
     made = {
-        "record_id": attribute(attributes, fv.RECORD_ID_KEY),
+        **value,
         "trace_id": attribute(F.col("trace"), "trace_id"),
         "span_name": attribute(F.col("record"), "name"),
         "record_type": F.col("record_type").cast("string"),
@@ -56,20 +55,45 @@ def span_columns(namespace: str = fv.ATTRIBUTE_NAMESPACE) -> dict[str, Column]:
         "event_date": F.to_date("timestamp"),
         "duration_ms": millis_between(F.col("start_timestamp"), F.col("timestamp")),
         "user_name": attribute(F.col("resource_attributes"), fv.USER_NAME_KEY),
+        **{column: whole_number(value[column]) for column in fv.NUMBER_ATTRIBUTES},
     }
-    for column in fv.TEXT_ATTRIBUTES:
-        made[column] = attribute(attributes, attribute_key(column, namespace))
-    for column in fv.NUMBER_ATTRIBUTES:
-        made[column] = whole_number(attribute(attributes, attribute_key(column, namespace)))
     return {column: made[column] for column in fv.SPAN_COLUMNS}
 
 
+ATTRIBUTE_COLUMNS = ("record_id", *fv.TEXT_ATTRIBUTES, *fv.NUMBER_ATTRIBUTES)
+
+
+def span_columns(namespace: str = fv.ATTRIBUTE_NAMESPACE) -> dict[str, Column]:
+    """Every span column as an expression of its own, so unused ones are pruned."""
+    attributes = F.col("record_attributes")
+    return _span_columns({c: attribute(attributes, attribute_key(c, namespace)) for c in ATTRIBUTE_COLUMNS})
+
+
+def _select(columns: dict[str, Column], events: DataFrame) -> DataFrame:
+    return events.select(*[expression.alias(name) for name, expression in columns.items()])
+
+
 def flatten_spans(
     events: DataFrame, agent: AgentFilter | None = None, namespace: str = fv.ATTRIBUTE_NAMESPACE
 ) -> DataFrame:
-    """The 34-column span table of an event table with VARIANT attributes."""
+    """The 34-column span table of an event table with VARIANT attributes.
+
+    All attributes are read in one pass over the variant, as one struct: about half the time of
+    one lookup per column, and generated code small enough to be compiled.
+    """
+    kept = keep_agent(events, agent, namespace) if agent else events
+    fields = ", ".join(f"`{attribute_key(c, namespace)}`: string" for c in ATTRIBUTE_COLUMNS)
+    opened = kept.withColumn("_attributes", F.try_variant_get(F.col("record_attributes"), "$", f"struct<{fields}>"))
+    found = {c: F.col("_attributes").getField(attribute_key(c, namespace)) for c in ATTRIBUTE_COLUMNS}
+    return _select(_span_columns(found), opened)
+
+
+def span_view(
+    events: DataFrame, agent: AgentFilter | None = None, namespace: str = fv.ATTRIBUTE_NAMESPACE
+) -> DataFrame:
+    """The same table for readers of a few columns: one lookup per column, unused ones never made."""
     kept = keep_agent(events, agent, namespace) if agent else events
-    return kept.select(*[expression.alias(name) for name, expression in span_columns(namespace).items()])
+    return _select(span_columns(namespace), kept)
 
 
 def span_durations(events: DataFrame) -> DataFrame:

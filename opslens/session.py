@@ -12,6 +12,8 @@ RUNTIME_SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
+    # HotSpot never compiles methods above 8000 bytes: larger stages run faster split into expressions
+    "spark.sql.codegen.hugeMethodLimit": "8000",
 }
 
 

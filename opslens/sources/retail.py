@@ -20,7 +20,6 @@ from opslens.functions.columns import (
     by_position,
     draw_between,
     draw_decimal,
-    fixed,
     hash_draw,
     money,
 )
@@ -191,18 +190,25 @@ class RetailTables:
         )
         grid = spines.with_spine(self._read("supplier").select((F.col("s_suppkey") + 1).cast("long").alias("store_id")), months, "period_month")
         share = F.lit(75) + F.pmod(hash_draw(F.concat_ws("-", "store_id", "period_month"), "target"), F.lit(50))
-        scale = F.lit(100.0 * fv.TARGET_MONTHS)
-        return grid.join(sold, "store_id", "left").select(
+        # whole cents and whole numbers only: half a cent is rounded up exactly
+        cents = F.coalesce((F.col("_revenue") * 100).cast("long"), F.lit(0))
+        units = F.coalesce("_units", F.lit(0))
+        shared = grid.join(sold, "store_id", "left").select(
+            "store_id", "period_month", (cents * share).alias("_cents"), (units * share).alias("_shared_units")
+        )
+        parts = 100 * fv.TARGET_MONTHS
+        return shared.select(
             "store_id",
             "period_month",
-            fixed(F.coalesce(F.col("_revenue").cast("double"), F.lit(0.0)) * share / scale, 2).cast("decimal(18,2)").alias("target_revenue"),
-            F.round(F.coalesce(F.col("_units").cast("double"), F.lit(0.0)) * share / scale).cast("int").alias("target_units"),
+            (F.expr(f"(_cents * 2 + {parts}) div {2 * parts}") / F.lit(100.0)).cast("decimal(18,2)").alias("target_revenue"),
+            F.expr(f"(_shared_units * 2 + {parts}) div {2 * parts}").cast("int").alias("target_units"),
         )
 
     def inventory(self) -> DataFrame:
         """Each part in four stores over eight weekly snapshots."""
         size = self._read("supplier").agg(F.count(F.lit(1))).scalar()
-        parts = self._read("part").select("p_partkey", F.explode(F.array(*[F.lit(i) for i in range(4)])).alias("_i"))
+        places = F.array(*[F.lit(i) for i in range(4)])
+        parts = spines.with_spine(self._read("part").select("p_partkey"), places, "_i", "p_partkey")
         grid = spines.with_spine(parts, spines.weeks(self.as_of, 8), "snapshot_date").select(
             (F.pmod(F.col("p_partkey") * 4 + F.col("_i"), size) + 1).cast("long").alias("store_id"),
             (F.col("p_partkey") + 1).cast("long").alias("product_id"),
@@ -225,7 +231,7 @@ class RetailTables:
         if first:
             count = min(count, (self.as_of - as_date(first)).days + 1)
         stores = self.stores().select("store_id", "region")
-        dated = spines.with_spine(stores, spines.days(self.as_of, count), "shift_date")
+        dated = spines.with_spine(stores, spines.days(self.as_of, count), "shift_date", "store_id")
         grid = spines.with_spine(dated, F.array(*[F.lit(s) for s in fv.SHIFT_TYPES]), "shift_type")
         keyed = grid.withColumn("shift_id", F.concat_ws("-", "store_id", "shift_date", "shift_type"))
         key = F.col("shift_id")

@@ -34,8 +34,15 @@ def weeks(as_of: DateLike = None, count: int = 104) -> Column:
     return F.sequence(F.date_sub(last, 7 * (count - 1)), last, F.expr("interval 7 days"))
 
 
-def with_spine(rows: DataFrame, spine: Column, name: str) -> DataFrame:
-    """Repeat every row for each entry of the spine."""
+def with_spine(rows: DataFrame, spine: Column, name: str, spread_by: str | None = None) -> DataFrame:
+    """Repeat every row for each entry of the spine.
+
+    A table of a few megabytes may sit in one partition and still grow a thousandfold here.
+    ``spread_by`` hashes the short rows over all cores first; the fixed number keeps adaptive execution
+    from merging the partitions again for being small.
+    """
+    if spread_by:
+        rows = rows.repartition(rows.sparkSession.sparkContext.defaultParallelism, spread_by)
     return rows.select("*", F.explode(spine).alias(name))
 
 
@@ -75,7 +82,7 @@ def daily_totals_per_store(
         .groupBy("store_id", "sale_date")
         .agg(F.count(F.lit(1)).alias("lines"), F.sum("revenue").alias("revenue"))
     )
-    spine = with_spine(stores.select("store_id"), days(as_of, count), "sale_date")
+    spine = with_spine(stores.select("store_id"), days(as_of, count), "sale_date", "store_id")
     return _zero_filled(spine.join(sold, ["store_id", "sale_date"], "left"), "lines", "revenue")
 
 

@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
-from opslens.operators.spans import AgentFilter, flatten_spans
+from opslens.operators.spans import AgentFilter, flatten_spans, span_view
 
 Transform = Callable[[DataFrame], DataFrame]
 
@@ -50,5 +50,5 @@ def flatten_stream(events: DataFrame, agent: AgentFilter | None, path: str, chec
 
 def current_view(events: DataFrame, agent: AgentFilter | None, name: str) -> DataFrame:
     """A view of the span table that is always current: nothing is stored, so nothing lags."""
-    flatten_spans(events, agent).createOrReplaceTempView(name)
+    span_view(events, agent).createOrReplaceTempView(name)
     return events.sparkSession.table(name)
