@@ -34,7 +34,13 @@ def draw_decimal(key: Column, salt: str, low: str, high: str, places: int, preci
 
 def by_position(index: Column, values: Sequence[str], kind: str = "string") -> Column:
     """The ``index``-th of a short fixed list (0-based)."""
-    return F.element_at(F.array(*[F.lit(v).cast(kind) for v in values]), (index + 1).cast("int"))
+    return F.element_at(fixed_list(values, kind), (index + 1).cast("int"))
+
+
+def fixed_list(values: Sequence[str], kind: str = "string") -> Column:
+    """Array literal of fixed values, built in one call."""
+    texts = [str(v).replace("\\", "\\\\").replace("'", "\\'") for v in values]
+    return F.expr(f"array({', '.join(f"CAST('{t}' AS {kind})" for t in texts)})")
 
 
 def money(value: Column) -> Column:

@@ -19,9 +19,11 @@ from opslens.functions.columns import (
     draw_between,
     draw_decimal,
     fixed,
+    fixed_list,
     hash_draw,
     is_weekend,
 )
+from opslens.functions.joins import join_dimension
 from opslens.functions.scans import rank_by_draw
 from opslens.sources import spines
 
@@ -127,11 +129,13 @@ def unit_price(products: DataFrame, cost: str = "unit_cost", key: str = "product
 
 def promo_calendar(spark: SparkSession, as_of: dt.date | str | None = None) -> DataFrame:
     """Promotion days counted back from ``as_of``: 17 literal rows, so it always broadcasts."""
-    rows = [F.struct(F.lit(d), F.lit(n), F.lit(v).cast("decimal(3,1)"), F.lit(x).cast("decimal(4,2)")) for d, n, v, x in fv.PROMOS]
-    table = spark.range(1).select(F.inline(F.array(*rows)))
-    return table.toDF("day_offset", "promo_name", "volume_multiplier", "extra_discount").select(
+    rows = ", ".join(f"({days}, '{name}', {volume}BD, {discount}BD)" for days, name, volume, discount in fv.PROMOS)
+    table = spark.sql(f"SELECT * FROM VALUES {rows} AS p(day_offset, promo_name, volume_multiplier, extra_discount)")
+    return table.select(
         F.date_sub(F.lit(as_date(as_of)), F.col("day_offset")).alias("promo_date"),
-        "promo_name", "volume_multiplier", "extra_discount",
+        "promo_name",
+        F.col("volume_multiplier").cast("decimal(3,1)").alias("volume_multiplier"),
+        F.col("extra_discount").cast("decimal(4,2)").alias("extra_discount"),
     )
 
 
@@ -243,7 +247,7 @@ def staffed_shifts(
     """Shifts per store, day and type; headcount and hours follow weekday and store multiplier."""
     kept = stores.select("store_id", "region", "performance_multiplier")
     dated = spines.with_spine(kept, spines.days(as_of, days), "shift_date", "store_id")
-    grid = spines.with_spine(dated, F.array(*[F.lit(s) for s in fv.SHIFT_TYPES]), "shift_type")
+    grid = spines.with_spine(dated, fixed_list(fv.SHIFT_TYPES), "shift_type")
     keyed = grid.withColumn("shift_id", F.concat_ws("-", "store_id", "shift_date", "shift_type"))
     key = F.col("shift_id")
     scale = F.sqrt(F.col("performance_multiplier").cast("double"))
@@ -267,9 +271,10 @@ def staffed_shifts(
 
 def stock_levels(snapshots: DataFrame, stores: DataFrame, products: DataFrame) -> DataFrame:
     """Stock columns per snapshot: bestsellers run leaner, strong stores reorder earlier."""
-    joined = snapshots.select("snapshot_id", "store_id", "product_id", "snapshot_date").join(
-        products.select("product_id", F.col("popularity_multiplier").cast("double").alias("_pull")), "product_id"
-    ).join(stores.select("store_id", F.col("performance_multiplier").cast("double").alias("_tier")), "store_id")
+    pulls = products.select("product_id", F.col("popularity_multiplier").cast("double").alias("_pull"))
+    tiers = stores.select("store_id", F.col("performance_multiplier").cast("double").alias("_tier"))
+    keys = snapshots.select("snapshot_id", "store_id", "product_id", "snapshot_date")
+    joined = join_dimension(join_dimension(keys, pulls, "product_id"), tiers, "store_id")
     key, pull = F.col("snapshot_id"), F.col("_pull")
     on_hand = draw_between(key, "stock", *fv.ON_HAND_RANGE).cast("double") / F.power(pull, F.lit(fv.ON_HAND_POWER))
     reorder = draw_between(key, "threshold", *fv.REORDER_RANGE).cast("double") * F.sqrt("_tier")

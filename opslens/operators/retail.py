@@ -2,8 +2,8 @@
 
 Facts are aggregated by their own key columns before any dimension is joined, so a store or product
 holding a large part of all rows is combined inside the map tasks and the join sees one row per key.
-No join carries a broadcast hint: Spark broadcasts a side only when its size is below the configured
-threshold, measured at run time, and falls back to a sort-merge join beyond it.
+A side is broadcast only below the configured threshold, by Spark's own choice or, where rows are joined
+before any aggregate, after a check of its estimate (``join_dimension``); beyond it sort-merge joins run.
 """
 
 from __future__ import annotations
@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from opslens.functions.columns import as_date, ratio
+from opslens.functions.joins import join_dimension
 from opslens.functions.periods import Period, between, period_range
 
 DateLike = dt.date | str | None
@@ -47,9 +48,10 @@ def inventory_alerts(inventory: DataFrame, stores: DataFrame, products: DataFram
     low = inventory.where(
         (F.col("snapshot_date") == latest) & (F.col("units_on_hand") < F.col("reorder_point"))
     )
+    named = stores.where(F.col("region") == region).select("store_id", "store_name")
+    listed = products.select("product_id", "product_name")
     return (
-        low.join(stores.where(F.col("region") == region).select("store_id", "store_name"), "store_id")
-        .join(products.select("product_id", "product_name"), "product_id")
+        join_dimension(join_dimension(low, named, "store_id"), listed, "product_id")
         .select("store_name", "product_name", "units_on_hand", "reorder_point")
         .orderBy(
             F.desc_nulls_first(F.col("reorder_point") - F.col("units_on_hand")),

@@ -20,6 +20,7 @@ from opslens.functions.columns import (
     by_position,
     draw_between,
     draw_decimal,
+    fixed_list,
     hash_draw,
     money,
 )
@@ -207,7 +208,7 @@ class RetailTables:
     def inventory(self) -> DataFrame:
         """Each part in four stores over eight weekly snapshots."""
         size = self._read("supplier").agg(F.count(F.lit(1))).scalar()
-        places = F.array(*[F.lit(i) for i in range(4)])
+        places = F.sequence(F.lit(0), F.lit(3))
         parts = spines.with_spine(self._read("part").select("p_partkey"), places, "_i", "p_partkey")
         grid = spines.with_spine(parts, spines.weeks(self.as_of, 8), "snapshot_date").select(
             (F.pmod(F.col("p_partkey") * 4 + F.col("_i"), size) + 1).cast("long").alias("store_id"),
@@ -232,7 +233,7 @@ class RetailTables:
             count = min(count, (self.as_of - as_date(first)).days + 1)
         stores = self.stores().select("store_id", "region")
         dated = spines.with_spine(stores, spines.days(self.as_of, count), "shift_date", "store_id")
-        grid = spines.with_spine(dated, F.array(*[F.lit(s) for s in fv.SHIFT_TYPES]), "shift_type")
+        grid = spines.with_spine(dated, fixed_list(fv.SHIFT_TYPES), "shift_type")
         keyed = grid.withColumn("shift_id", F.concat_ws("-", "store_id", "shift_date", "shift_type"))
         key = F.col("shift_id")
         as_region = F.when(F.col("region") == "AMERICA", "West").when(F.col("region") == "EUROPE", "Northeast")

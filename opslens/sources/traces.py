@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from opslens import fixed_values as fv
-from opslens.functions.columns import millis_between, whole_number
+from opslens.functions.columns import by_position, millis_between, whole_number
 from opslens.operators.spans import AgentFilter, attribute_key, flatten_spans
 from opslens.sources.tables import instant, parse_attributes, read_table
 
@@ -48,7 +48,7 @@ def event_attributes() -> dict[str, Column]:
         "agent_name": F.when(other, "OTHER_ASSISTANT").otherwise(AGENT.agent_name),
         "agent_type": F.lit(AGENT.agent_type),
         "database_name": F.lit(AGENT.database),
-        "question": F.when(turn & (k % 11 != 0), F.element_at(F.array(*[F.lit(q) for q in fv.GOLDEN_QUESTIONS]), (k % 5 + 1).cast("int"))),
+        "question": F.when(turn & (k % 11 != 0), by_position(k % 5, fv.GOLDEN_QUESTIONS)),
         "response_text": F.when(turn, F.concat(F.lit("Answer "), event_id)),
         "status": F.when(turn & (k % 19 != 0), F.when(k % 17 == 0, "FAILURE").otherwise("SUCCESS")),
         "status_description": F.when(turn & (F.col("value") > 150), "SLOW"),
@@ -60,7 +60,7 @@ def event_attributes() -> dict[str, Column]:
         "sql_num_rows": F.when(is_sql, F.when(k % 13 == 0, "n/a").otherwise((k * 10).cast("string"))),
         "verified_query_used": F.when(is_sql, F.when(k % 4 == 0, "true").otherwise("false")),
         "validation_error": F.when(failed & (k % 2 == 0), F.concat(F.lit("check failed at "), k.cast("string"))),
-        "model": F.when(kind == "view", F.element_at(F.array(*[F.lit(m) for m in MODELS]), (k % 3 + 1).cast("int"))),
+        "model": F.when(kind == "view", by_position(k % 3, MODELS)),
         "planning_step": F.when(kind == "view", (k % 4).cast("string")),
         "tokens_total": F.when(planned, F.when(k % 10 == 0, "12.7").otherwise((k * 23 + 1200).cast("string"))),
         "tokens_input": F.when(planned, (k * 20 + 1000).cast("string")),

@@ -137,3 +137,16 @@ def test_number_rows(spark):
     for g in ("hot", "cold"):
         want = [(at, i) for at, i in sorted(((at, i) for h, at, i in data if h == g), key=lambda x: (x[0], -x[1]))]
         assert [(r.at, r.id) for r in sorted((r for r in got if r.g == g), key=lambda r: r.n)] == want
+
+
+def test_join_dimension_never_broadcasts_the_facts(spark):
+    from opslens.functions.joins import join_dimension
+
+    facts = spark.range(100).select(F.col("id"), F.explode(F.sequence(F.lit(1), F.lit(1000))).alias("n"))
+    small = spark.range(10)
+    plan = join_dimension(facts, small, "id")._jdf.queryExecution().executedPlan().toString()
+    assert "BuildRight" in plan and "BuildLeft" not in plan
+    large = spark.range(10**8)
+    plan = join_dimension(facts, large, "id")._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+    assert join_dimension(facts, large, "id").count() == 100_000
