@@ -150,3 +150,11 @@ def test_join_dimension_never_broadcasts_the_facts(spark):
     plan = join_dimension(facts, large, "id")._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" in plan and "Broadcast" not in plan
     assert join_dimension(facts, large, "id").count() == 100_000
+
+
+def test_sql_values_are_bound(spark):
+    from opslens.session import run_sql
+
+    rows = spark.range(10)
+    got = run_sql(spark, "SELECT id FROM {numbers} WHERE id >= :low ORDER BY id LIMIT :n", {"numbers": rows}, low=4, n=2)
+    assert [r.id for r in got.collect()] == [4, 5]
