@@ -32,7 +32,7 @@ from opslens.llm.store import NO_ID, cut, parts_for, release, text_bytes
 from opslens.llm.words import U64, Words, gather, spread, steps, unsteps, words
 
 WINDOW = 13
-GROUP_BYTES = 24 << 20
+GROUP_BYTES = 16 << 20
 _FINE = U64(40)
 _MASK = U64((1 << 40) - 1)
 
@@ -187,7 +187,7 @@ def _covered(w: Words, ids: np.ndarray, window: int, answers: pa.Table) -> np.nd
     return np.cumsum(marks)[:-1] > 0
 
 
-def _finish(window: int, columns: list[str]):
+def _finish(window: int, columns: tuple[str, ...]):
     def run(rows: pa.Table, answers: pa.Table) -> pa.Table:
         rows, w, ids = _batches(rows)
         gone = _covered(w, ids, window, answers)
@@ -214,19 +214,23 @@ def _finish(window: int, columns: list[str]):
     return run
 
 
-def remove_repeats(docs: DataFrame, window: int = WINDOW, group_bytes: int = GROUP_BYTES) -> DataFrame:
+def remove_repeats(
+    docs: DataFrame, window: int = WINDOW, group_bytes: int = GROUP_BYTES, carry: tuple[str, ...] = ()
+) -> DataFrame:
     """Documents without the word windows that already start in a document with a smaller id.
 
-    Returns doc_id, n_words, n_removed, kept_text (kept words joined by one space) and repeats: the maximal
-    repeated stretches as [first word, word after the last].
+    Returns doc_id, the columns to ``carry`` along, n_words, n_removed, kept_text (kept words joined by one
+    space) and repeats: the maximal repeated stretches as [first word, word after the last].
     """
     spark = docs.sparkSession
+    kinds = dict(docs.dtypes)
     block = (window + 1) // 2
     groups = parts_for(text_bytes(docs), group_bytes)
-    held = docs.select(F.coalesce("doc_id", F.lit(NO_ID)).cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    ids, text = F.coalesce("doc_id", F.lit(NO_ID)).cast("long"), F.col("text").cast("string")
+    held = docs.select(ids.alias("doc_id"), text.alias("text"), *[F.col(c).alias(f"c_{c}") for c in carry])
     # the text takes part in the draw: one repeated id cannot fill a group
     held = held.withColumn("g", F.pmod(F.xxhash64("doc_id", F.octet_length("text")), F.lit(groups)))
-    by_group = held.groupBy("g")
+    by_group = held.select("g", "doc_id", "text").groupBy("g")
 
     announced = by_group.applyInArrow(_announce(block, groups), "b long, g long, codes binary")
     met = cut(announced.groupBy("b").applyInArrow(_meet, "g long, b long, codes binary"), "shared-blocks")
@@ -236,8 +240,10 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, group_bytes: int = GRO
     )
     smaller = cut(extended.groupBy("b").applyInArrow(_smaller, "g long, codes binary, checks binary"), "earlier-windows")
     release(spark)
-    out = by_group.cogroup(smaller.groupBy("g")).applyInArrow(
-        _finish(window, ["doc_id"]),
-        "doc_id long, n_words long, n_removed long, kept_text string, repeats array<array<long>>",
+    more = "".join(f"`c_{c}` {kinds[c]}, " for c in carry)
+    out = held.groupBy("g").cogroup(smaller.groupBy("g")).applyInArrow(
+        _finish(window, ("doc_id", *(f"c_{c}" for c in carry))),
+        f"doc_id long, {more}n_words long, n_removed long, kept_text string, repeats array<array<long>>",
     )
-    return out.withColumn("doc_id", F.nullif("doc_id", F.lit(NO_ID)))
+    made = ("n_words", "n_removed", "kept_text", "repeats")
+    return out.select(F.nullif("doc_id", F.lit(NO_ID)).alias("doc_id"), *[F.col(f"c_{c}").alias(c) for c in carry], *made)
