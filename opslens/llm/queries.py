@@ -30,3 +30,71 @@ def op2_substring_dedup(spark: SparkSession, location: str) -> DataFrame:
 
     out = remove_repeats(table(spark, location, "documents"))
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+@query
+def op3_embedding_near_dedup(spark: SparkSession, location: str) -> DataFrame:
+    """Links and components of all vectors at a cosine of 0.95."""
+    from opslens.llm.embedding_dedup import near_vectors
+
+    return near_vectors(table(spark, location, "embeddings"), 0.95)
+
+
+@query
+def op4_best_fit_packing(spark: SparkSession, location: str) -> DataFrame:
+    """Every piece of every document and its place in a sequence of 2048 tokens."""
+    import public_tokenizers
+    from opslens.llm.packing import pack
+
+    return pack(table(spark, location, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+@query
+def op5_toxicity(spark: SparkSession, location: str) -> DataFrame:
+    """A toxicity score for every document."""
+    from opslens.llm.toxicity import toxicity
+
+    return toxicity(table(spark, location, "documents"), table(spark, location, "labels"))
+
+
+@query
+def op6_byte_bpe(spark: SparkSession, location: str) -> DataFrame:
+    """Encoding and decoding of every document."""
+    import public_tokenizers
+    from opslens.llm.bpe import encode
+
+    path, pattern = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
+    return encode(table(spark, location, "documents"), path, pattern)
+
+
+@query
+def op7_nearest_neighbours(spark: SparkSession, location: str) -> DataFrame:
+    """The 20 nearest vectors of every twentieth vector."""
+    from opslens.llm.nearest import nearest_vectors
+
+    return nearest_vectors(table(spark, location, "embeddings"), every=20, nearest=20)
+
+
+@query
+def op8_secret_scan(spark: SparkSession, location: str) -> DataFrame:
+    """Every candidate of every document with the forest's score."""
+    from opslens.llm.secret_scan import secret_findings
+
+    found = secret_findings(table(spark, location, "documents"))
+    return found.select("doc_id", "start", "length", F.sha2("value", 256).alias("value_sha256"), "score", "is_secret")
+
+
+@query
+def op9_html_extraction(spark: SparkSession, location: str) -> DataFrame:
+    """The main text of every page."""
+    from opslens.llm.html_text import extract_text
+
+    return extract_text(table(spark, location, "pages"))
+
+
+@query
+def op10_minhash_near_dedup(spark: SparkSession, location: str) -> DataFrame:
+    """Components of near-duplicate documents at a similarity of 0.85."""
+    from opslens.llm.minhash import near_duplicates
+
+    return near_duplicates(table(spark, location, "documents"), percent=85)

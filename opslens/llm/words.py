@@ -8,7 +8,6 @@ final mixing step; prefix sums give all words of a batch without a loop over the
 from __future__ import annotations
 
 from dataclasses import dataclass
-from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -19,6 +18,8 @@ _BASE = 0x9E3779B97F4A7C15 | 1
 _SPAN = 1 << 21
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
+_NO_LETTER = np.ones(256, bool)
+_NO_LETTER[[*range(65, 91), *range(97, 123), *range(128, 256)]] = False
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _CODES = np.random.Generator(np.random.PCG64(20240607)).integers(1, 2**63, 256, dtype=np.uint64) * U64(2) + U64(1)
@@ -31,11 +32,15 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> U64(31))
 
 
-@cache
-def _powers(size: int) -> tuple[np.ndarray, np.ndarray]:
+def _powers(size: int, held: dict = {}) -> tuple[np.ndarray, np.ndarray]:  # noqa: B006
+    if size in held:
+        return held[size]
     up, down = np.full(size, _BASE, U64), np.full(size, pow(_BASE, -1, 2**64), U64)
     up[0] = down[0] = 1
-    return np.cumprod(up), np.cumprod(down)
+    made = np.cumprod(up), np.cumprod(down)
+    if size == _SPAN + 1:
+        held[size] = made
+    return made
 
 
 @dataclass
@@ -83,27 +88,32 @@ def flat(texts: pa.ChunkedArray | pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return all_bytes[borders[0] : borders[-1]], borders - borders[0]
 
 
-def words(texts: pa.ChunkedArray | pa.Array, lower: bool = False) -> Words:
-    """All words of all texts.  ``lower`` maps A-Z to a-z first."""
+def runs(data: np.ndarray, borders: np.ndarray, outside: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Start and end of every maximal run of bytes that are not ``outside``, inside one document."""
+    ink = ~outside[data]
+    fresh = np.zeros(len(data) + 1, bool)
+    fresh[borders] = True
+    before = np.concatenate([[True], ~ink[:-1]]) | fresh[:-1]
+    after = np.concatenate([~ink[1:], [True]]) | fresh[1:]
+    return np.flatnonzero(ink & before), np.flatnonzero(ink & after) + 1
+
+
+def words(texts: pa.ChunkedArray | pa.Array, lower: bool = False, letters: bool = False) -> Words:
+    """All words of all texts.  ``lower`` maps A-Z to a-z first; ``letters`` ends words at every ASCII non-letter."""
     data, borders = flat(texts)
     if not len(data):
         zero = np.zeros(0, np.int64)
         return Words(np.zeros(0, U64), np.zeros(len(borders), np.int64), data, zero, zero)
     if lower:
         data = _LOWER[data]
-    ink = ~_SPACE[data]
-    fresh = np.zeros(len(data) + 1, bool)
-    fresh[borders] = True
-    before = np.concatenate([[True], ~ink[:-1]]) | fresh[:-1]
-    after = np.concatenate([~ink[1:], [True]]) | fresh[1:]
-    starts, ends = np.flatnonzero(ink & before), np.flatnonzero(ink & after) + 1
+    starts, ends = runs(data, borders, _NO_LETTER if letters else _SPACE)
     codes = np.empty(len(starts), U64)
     at = 0
     while at < len(starts):  # spans of whole words, so that working memory stays small
         to = max(at + 1, int(np.searchsorted(ends, starts[at] + _SPAN, "right")))
         low, high = starts[at], ends[to - 1]
         size = max(_SPAN, int(high - low)) + 1
-        up, down = _powers(size) if size == _SPAN + 1 else _powers.__wrapped__(size)
+        up, down = _powers(size)
         sums = np.zeros(high - low + 1, U64)
         np.cumsum(_CODES[data[low:high]] * up[: high - low], out=sums[1:])
         s, e = starts[at:to] - low, ends[at:to] - low
