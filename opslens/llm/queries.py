@@ -98,3 +98,20 @@ def op10_minhash_near_dedup(spark: SparkSession, location: str) -> DataFrame:
     from opslens.llm.minhash import near_duplicates
 
     return near_duplicates(table(spark, location, "documents"), percent=85)
+
+
+@query
+def op1_chat_format(spark: SparkSession, location: str) -> DataFrame:
+    """Rendered turns of all maximal conversations."""
+    from opslens.llm.chat import format_chats
+
+    return format_chats(table(spark, location, "conversations"))
+
+
+def _oracles() -> dict[str, str]:
+    from opslens.llm.chat import ORACLE
+
+    return {"op1_chat_format": ORACLE}
+
+
+ORACLES.update(_oracles())
