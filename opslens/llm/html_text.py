@@ -192,24 +192,29 @@ def blocks(page: str) -> list[Block]:
     return out
 
 
-Token = list  # [path, pages that have it, repeated, checksum of its constant text or None, characters]
+Token = list  # [path, pages that have it, repeated, its constant texts as {checksum: characters}, characters in all]
 
 
 def fold(stream: list[Block]) -> list[Token]:
     """Tokens of one page with neighbouring repeats as one repeated group each."""
     tokens: list[Token] = []
     for b in stream:
-        tokens.append([b.path, 1, False, crc32(b.text.encode()), len(b.text)])
+        tokens.append([b.path, 1, False, {str(crc32(b.text.encode())): len(b.text)}, len(b.text)])
         for period in range(1, 5):
             a, z = tokens[-2 * period : -period], tokens[-period:]
             if len(a) == period and [t[0] for t in a] == [t[0] for t in z]:
                 for x, y in zip(a, z):
-                    x[2], x[3], x[4] = True, x[3] if x[3] == y[3] else None, x[4] + y[4]
+                    x[2], x[4] = True, x[4] + y[4]
+                    x[3].update(y[3])
                 del tokens[-period:]
                 break
     return tokens
 
 
+def _both(one: dict, two: dict) -> dict:
+    return {k: n for k, n in one.items() if k in two}
+
+
 def align(one: list[Token], two: list[Token]) -> list[Token]:
     """One wrapper for what both describe."""
     keys, others = [t[0] for t in one], [t[0] for t in two]
@@ -221,11 +226,11 @@ def align(one: list[Token], two: list[Token]) -> list[Token]:
     for kind, a, b, c, d in steps:
         if kind == "equal":
             for x, y in zip(one[a:b], two[c:d]):
-                out.append([x[0], x[1] + y[1], x[2] or y[2], x[3] if x[3] == y[3] else None, x[4] + y[4]])
+                out.append([x[0], x[1] + y[1], x[2] or y[2], _both(x[3], y[3]), x[4] + y[4]])
         else:
             for t in [*one[a:b], *two[c:d]]:  # optional on the other side; a repeat of the token before joins its group
                 if out and out[-1][0] == t[0]:
-                    out[-1] = [t[0], max(out[-1][1], t[1]), True, out[-1][3] if out[-1][3] == t[3] else None, out[-1][4] + t[4]]
+                    out[-1] = [t[0], max(out[-1][1], t[1]), True, _both(out[-1][3], t[3]), out[-1][4] + t[4]]
                 else:
                     out.append(list(t))
     return out
@@ -277,15 +282,15 @@ def infer_wrappers(pages: DataFrame) -> DataFrame:
 def rules(pages: int, wrapper: list[Token]) -> dict:
     """What extraction needs to know of a host: constants of its template and the container of varying text."""
     chars: dict[str, int] = {}
-    varying = sum(t[4] for t in wrapper if t[3] is None)
-    for path, _, _, constant, size in wrapper:
-        if constant is None:
-            for depth in range(1, path.count("/") + 2):
-                above = "/".join(path.split("/")[:depth])
-                chars[above] = chars.get(above, 0) + size
+    total = varying = 0
+    for path, having, _, constant, size in wrapper:
+        free = max(0, size - having * sum(constant.values()))
+        total, varying = total + size, varying + free
+        for depth in range(1, path.count("/") + 2):
+            above = "/".join(path.split("/")[:depth])
+            chars[above] = chars.get(above, 0) + free
     deep = [p for p, n in chars.items() if n >= 0.7 * varying]
-    fixed = [[t[0], t[3]] for t in wrapper if t[3] is not None and pages >= 4 and t[1] >= max(4, 0.5 * pages)]
-    total = sum(t[4] for t in wrapper)
+    fixed = [[t[0], int(k)] for t in wrapper for k in t[3] if pages >= 4 and t[1] >= max(4, 0.5 * pages)]
     # copies of one page make everything constant: then nothing tells template from text
     return {"fixed": fixed if varying >= 0.5 * total else [], "container": max(deep, key=lambda p: p.count("/"), default="")}
 

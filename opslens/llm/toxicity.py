@@ -142,7 +142,7 @@ class LabelModel:
         """sums[c]: second moments of (1, votes) weighted by the posterior of class c."""
         weight = sums[:, 0, 0]
         self.prior = float(np.clip((weight[1] + 1) / (weight.sum() + 10), 1e-4, 0.5))
-        mean = (sums[:, 0, 1:] + [[0.02], [0.3]]) / (weight[:, None] + 1)
+        mean = (sums[:, 0, 1:] + [[0.2], [3.0]]) / (weight[:, None] + 10)  # ten rows of the first guess
         self.rate = np.clip(mean, 1e-6, 1 - 1e-6)
         together = np.zeros((self.voters, self.voters))
         for c in (0, 1):
@@ -150,7 +150,7 @@ class LabelModel:
             covariance = sums[c, 1:, 1:] / max(weight[c], 1e-9) - np.outer(m, m)
             spread = np.sqrt(np.maximum(np.diag(covariance), 1e-9))
             share = weight[c] / max(weight.sum(), 1e-9)
-            together += share * np.clip(covariance / np.outer(spread, spread), 0, 1)
+            together += share * weight[c] / (weight[c] + 20) * np.clip(covariance / np.outer(spread, spread), 0, 1)
         np.fill_diagonal(together, 0)
         self.discount = 1 + together.sum(axis=1)
 

@@ -1,0 +1,138 @@
+import random
+
+import pytest
+from pyspark.sql import functions as F
+
+from opslens.llm.html_text import align, blocks, extract_text, fold, main_text
+from opslens.llm.secret_scan import PLACEHOLDER, candidates, mask_secrets, secret_findings
+from opslens.llm.toxicity import held_out, toxicity
+
+
+def prose(rnd, n):
+    return " ".join(rnd.choice(["river", "stone", "letter", "window", "garden", "market", "silver", "evening"]) for _ in range(n))
+
+
+@pytest.fixture(scope="module")
+def labelled():
+    rnd = random.Random(8)
+    docs, labels = [], []
+    for k in range(600):
+        toxic = k % 8 == 0
+        words = prose(rnd, 60).split()
+        if toxic:
+            for _ in range(3):
+                words.insert(rnd.randrange(len(words)), rnd.choice(["blarg", "IDIOT,", "snork!"]))
+        docs.append((k, " ".join(words)))
+        if k % 3:
+            labels.append((k, int(toxic)))
+    return docs, labels
+
+
+def test_toxicity_learns_from_other_rows_only(spark, docs_of, labelled):
+    docs, labels = labelled
+    docs = docs + [(None, "snork blarg"), (1000, None), (1001, ""), (1002, "idiot " * 20_000), (3, docs[3][1])]
+    frame = spark.createDataFrame([*labels, (1, None), (2, 0), (None, 1)], "doc_id long, toxic int")
+    got = toxicity(docs_of(docs), frame).collect()
+    assert len(got) == len(docs) and all(0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= 0.5) for r in got)
+    by = {r["doc_id"]: r for r in got}
+    truth = {k: k % 8 == 0 for k in range(600)}
+    out = [k for k in range(600) if by[k]["held_out"]]
+    assert out == [r[0] for r in spark.range(600).where(held_out(F.col("id"))).orderBy("id").collect()]
+    assert sum(by[k]["predicted"] == truth[k] for k in out) >= 0.98 * len(out)
+    assert by[None]["held_out"] and by[1002]["predicted"] == 1 and by[1000]["predicted"] == by[1001]["predicted"] == 0
+    # held-out labels play no part
+    flipped = [(i, 1 - t if by[i]["held_out"] else t) for i, t in labels]
+    again = toxicity(docs_of(docs), spark.createDataFrame([*flipped, (1, None), (2, 0), (None, 0)], "doc_id long, toxic int")).collect()
+    assert {(r["doc_id"], r["score"]) for r in again} == {(r["doc_id"], r["score"]) for r in got}
+
+
+def test_toxicity_without_labels_or_documents(spark, docs_of):
+    none = spark.createDataFrame([], "doc_id long, toxic int")
+    got = {r["doc_id"]: r["predicted"] for r in toxicity(docs_of([(1, "you idiot you moron stupid scum"), (2, "a calm day")]), none).collect()}
+    assert got == {1: 1, 2: 0}
+    assert toxicity(docs_of([(1, "x")]).where(F.lit(False)), none).collect() == []
+
+
+def code(rnd, n=40):
+    return "".join(rnd.choice("0123456789abcdef") for _ in range(n))
+
+
+@pytest.fixture(scope="module")
+def secrets():
+    rnd = random.Random(6)
+    rows, truth = [], {}
+    for k in range(200):
+        text = prose(rnd, 40)
+        if k % 4 == 0:
+            value = code(rnd)
+            text, truth[k] = f'{text} token = "{value}" {prose(rnd, 5)}', value
+        elif k % 4 == 1:
+            text = f"{text} commit {code(rnd)} {prose(rnd, 5)}"
+        elif k % 4 == 2:
+            text = f"{text} card {rnd.randrange(10**15, 10**16)} é {prose(rnd, 5)}"
+        rows.append((k, text))
+    return rows, truth
+
+
+def test_secrets_are_told_from_other_codes(docs_of, secrets):
+    rows, truth = secrets
+    rows = rows + [(None, None), (300, ""), (301, "x1" * 100_000), (0, rows[0][1]), (302, 'é é password: "hunter2x"')]
+    docs = docs_of(rows)
+    found = secret_findings(docs)
+    got = found.collect()
+    text = {i: t for i, t in rows}
+    assert all(text[r["doc_id"]][r["start"] : r["start"] + r["length"]] == r["value"] for r in got)
+    # every candidate of the plain scan is a finding
+    plain = sum(len(candidates((t or "").encode())) for _, t in rows)
+    assert len(got) == plain
+    assert {(r["doc_id"], r["value"]) for r in got if r["is_secret"]} >= set(truth.items())
+    assert not any(r["is_secret"] for r in got if r["doc_id"] is not None and r["doc_id"] < 200 and r["doc_id"] % 4)
+    masked = mask_secrets(docs, found)
+    assert masked.columns == docs.columns
+    after = {r["doc_id"]: r["text"] for r in masked.collect()}
+    assert masked.count() == len(rows) and after[1] == text[1] and after[None] is None
+    assert all(v not in after[k] and PLACEHOLDER in after[k] for k, v in truth.items())
+
+
+def test_no_documents_have_no_secrets(docs_of):
+    assert secret_findings(docs_of([(1, "x")]).where(F.lit(False))).collect() == []
+
+
+PAGES = "page_id long, url string, html string, host string, text string, wrapper string"
+ARTICLE = "<h1>Title &amp; more</h1><p><b>First<br>line&nbsp;one<p>Second <a href='/x'>link</a> tail</p><ul><li>a<li>b</ul>"
+TEXT = "Title & more\nFirst line one\nSecond link tail\na\nb"
+
+
+@pytest.mark.parametrize("page", [
+    f"<body><nav><a href=1>Menu</a></nav><article>{ARTICLE}</article><footer>c</footer>",
+    f"<body><div id='menu'><a href=1>Menu</a></div><div class='post-content'>{ARTICLE}<div class='ad-slot'>Buy</div></div><div class=sidebar>s</div>",
+    f"<script>var t='</p><article>';</script><style>p{{}}</style><!-- <p>no --><main>{ARTICLE}<form>Mail <input></form><section id=comments><p>me too</section></main>",
+    f"<body><header>Site</header><div class='cookie notice'>We use cookies</div><article class=post>{ARTICLE}<aside>More</aside></article><article class=comment>hi</article>",
+])
+def test_pages_without_their_frame(page):
+    assert main_text(page, {}) == TEXT
+
+
+def test_wrappers_fold_repeats_and_mark_options():
+    one = fold(blocks("<h1>a</h1><p>b</p><p>c</p><div>x</div>"))
+    assert [(t[0], t[2]) for t in one] == [("h1", False), ("p", True), ("div", False)]
+    both = align(one, fold(blocks("<h1>z</h1><p>b</p><h2>n</h2><div>x</div>")))
+    assert [(t[0], t[1], t[2], len(t[3])) for t in both] == [("h1", 2, False, 0), ("p", 2, True, 1), ("h2", 1, False, 1), ("div", 2, False, 1)]
+    assert [t[0] for t in fold(blocks("<dt>a</dt><dd>b</dd>" * 5))] == ["dt", "dd"]
+
+
+def test_template_texts_and_containers_come_from_the_host(spark):
+    rnd = random.Random(1)
+    rows, expected = [], {}
+    for k in range(30):
+        body = prose(rnd, 50)
+        rows.append((k, f"https://one.example/{k}", f"<body><div class=top><p>Always the same words here</div><div class=x><p>{body}</p><p>Subscribe to us today</p></div>"))
+        expected[k] = body
+    rows += [(100, None, None), (101, "https://two.example", ""), (102, "odd", f"<p>{'long ' * 50_000}</p>"), (None, "https://two.example", "<p>no id"), (0, *rows[0][1:])]
+    frame = spark.createDataFrame([(*r, "x", "y", "z") for r in rows], PAGES)
+    got = extract_text(frame).collect()
+    assert len(got) == len(rows) and all(r["n_chars"] == len(r["text"]) for r in got)
+    text = {r["page_id"]: r["text"] for r in got}
+    assert {k: text[k] for k in expected} == expected
+    assert text[100] == text[101] == "" and text[None] == "no id" and len(text[102]) == 249_999
+    assert extract_text(frame.where(F.lit(False))).collect() == []
