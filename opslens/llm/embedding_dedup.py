@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from opslens.llm.components import components
+from opslens.llm.components import components, roots
 from opslens.llm.store import NO_ID, arrow_map, cut
 from opslens.llm.vectors import packed, unpacked
 
@@ -94,22 +94,6 @@ def estimates(codes_of: np.ndarray, others: np.ndarray) -> tuple[np.ndarray, np.
     return found, bound
 
 
-def _roots(size: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Smallest position reachable from each of ``size`` positions over links a-b."""
-    root = np.arange(size)
-    while len(a):
-        low = np.minimum(root[a], root[b])
-        before = root.copy()
-        np.minimum.at(root, root[a], low)
-        np.minimum.at(root, root[b], low)
-        np.minimum.at(root, a, low)
-        np.minimum.at(root, b, low)
-        root = root[root]
-        if (root == before).all():
-            break
-    return root
-
-
 def _compare(threshold: float):
     def run(rows: pa.Table) -> pa.Table:
         rows = rows.sort_by("rep")
@@ -139,7 +123,7 @@ def _compare(threshold: float):
                 a_all.append(p)
                 b_all.append(q)
         a, b = (np.concatenate(v) if v else np.zeros(0, np.int64) for v in (a_all, b_all))
-        root = rep[_roots(len(rep), a, b)]
+        root = rep[roots(len(rep), a, b)]
         some = links > 0
         return pa.table({"rep": pa.array(rep[some]), "root": pa.array(root[some]), "links": pa.array(links[some])})
 

@@ -35,7 +35,8 @@ from opslens.llm.words import U64, Words, mix, words
 SHINGLE = 5
 SLOTS = 64
 TREES = 12
-SMALL = 48
+SMALL = 1_000
+BLOCK = 250
 DEPTH = 10
 _HIGH = U64(32)
 _GENERATOR = np.random.Generator(np.random.PCG64(77))
@@ -113,6 +114,23 @@ def _alike(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray, thresho
     return sizes & ((a == b).mean(axis=-1) >= floor)
 
 
+def _pairs(
+    sig: np.ndarray, others: np.ndarray, n: np.ndarray, on: np.ndarray, apart: np.ndarray, threshold: float
+) -> tuple[np.ndarray, np.ndarray]:
+    """Positions of pairs ``apart`` that may reach the threshold: one byte of each slot first, whole signatures for the rest."""
+    low, other_low = (sig & 0xFF).astype(np.uint8), (others & 0xFF).astype(np.uint8)
+    same = np.zeros((len(sig), len(others)), np.uint8)
+    for slot in range(SLOTS):
+        same += low[:, slot, None] == other_low[None, :, slot]
+    floor = threshold - 4.5 * (threshold * (1 - threshold) / SLOTS) ** 0.5
+    one, two = np.nonzero(apart & (same >= floor * SLOTS - 1e-9))
+    if not len(one):
+        return one, two
+    keep = [_alike(sig[one[s : s + 50_000]], others[two[s : s + 50_000]], n[one[s : s + 50_000]], on[two[s : s + 50_000]], threshold) for s in range(0, len(one), 50_000)]
+    fit = np.concatenate(keep)
+    return one[fit], two[fit]
+
+
 def _sigs(column: pa.ChunkedArray) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), "<u4").reshape(-1, SLOTS)
 
@@ -134,16 +152,16 @@ def _block_filter(threshold: float):
         return ids, label, np.array([m["n"] for m in members]), np.frombuffer(b"".join(m["sig"] for m in members), "<u4").reshape(-1, SLOTS)
 
     def run(rows: pa.Table):
-        left, right = [], []
-        for row in rows.to_pylist():
+        left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for at in range(rows.num_rows):
+            row = rows.slice(at, 1).to_pylist()[0]
             ids, label, n, sig = side(row, "members")
             oids, olabel, on, osig = side(row, "others") if row.get("others") else (ids, label, n, sig)
-            for k in range(len(ids)):
-                ok = (olabel != label[k]) & (oids > ids[k] if not row.get("others") else oids != ids[k])
-                ok &= _alike(osig, sig[k][None, :], on, np.full(len(on), n[k]), threshold)
-                left += [int(ids[k])] * int(ok.sum())
-                right += oids[ok].tolist()
-        a, b = np.array(left, np.int64), np.array(right, np.int64)
+            apart = label[:, None] != olabel[None, :]
+            one, two = _pairs(sig, osig, n, on, apart if row.get("others") else np.triu(apart), threshold)
+            left.append(ids[one])
+            right.append(oids[two])
+        a, b = np.concatenate(left), np.concatenate(right)
         return pa.table({"a": pa.array(np.minimum(a, b)), "b": pa.array(np.maximum(a, b))})
 
     return arrow_map(run)
@@ -183,8 +201,8 @@ class _Search:
 
 
 def _pairs_of_blocks(big: DataFrame, sizes: DataFrame, threshold: float) -> DataFrame:
-    """All pairs of large nodes, block against block of at most about SMALL documents each."""
-    blocks = F.ceil(F.col("size") / SMALL).cast("int")
+    """All pairs of large nodes, block against block of about BLOCK documents each."""
+    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
     dealt = big.join(sizes, "node").withColumn("block", F.pmod(F.xxhash64("id", "node"), blocks))
     mine = dealt.groupBy("node", "block", "size").agg(F.collect_list(F.struct("id", "label", "n", "sig")).alias("members"))
     one = mine.select("node", "block", "members", F.explode(F.sequence("block", blocks - 1)).alias("other"))

@@ -150,4 +150,7 @@ def test_components_of_chains_stars_and_nothing(spark):
     rnd.shuffle(links)
     got = {r["id"]: r["component"] for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
     assert got == {k: 100 for k in range(100, 161)} | {k: 5 for k in [5, *range(200, 400)]} | {8: 8, 9: 8}
+    for part in (3, 40):
+        again = {r["id"]: r["component"] for r in components(spark.createDataFrame(links, "a long, b long"), part=part).collect()}
+        assert again == got
     assert components(spark.createDataFrame([], "a long, b long")).collect() == []
