@@ -214,9 +214,12 @@ def _pairs_of_blocks(big: DataFrame, sizes: DataFrame, threshold: float) -> Data
 def _level(search: _Search, members: DataFrame, threshold: float, last: bool) -> DataFrame | None:
     """Handle the nodes of one level; returns the members of nodes that have to branch."""
     sizes = members.groupBy("node").agg(F.min("id").alias("pivot"))
-    pivots = sizes.join(search.known.select(F.col("id").alias("pivot"), F.col("n").alias("pn"), F.col("sig").alias("psig")), "pivot")
-    star = members.join(search.known, "id").join(pivots, "node").where("id <> pivot")
-    star = star.select(F.col("pivot").alias("a"), F.col("id").alias("b"), "pn", "n", "psig", "sig")
+    # a pair that shares many nodes is looked at once
+    near = members.join(sizes, "node").where("id <> pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct()
+    known = search.known
+    one = known.select(F.col("id").alias("a"), F.col("n").alias("pn"), F.col("sig").alias("psig"))
+    two = known.select(F.col("id").alias("b"), "n", "sig")
+    star = near.join(two, "b").join(one, "a").select("a", "b", "pn", "n", "psig", "sig")
     search.confirm(star.mapInArrow(_star_filter(threshold), "a long, b long"))
 
     labelled = cut(search.labelled(members), "labelled")
