@@ -2,7 +2,8 @@
 
 Every shard of the table projects its vectors on ``projections`` random lines and sorts each line once.  A query
 opens a window around its own projection on every line; virtual rehashing widens all windows together by
-``widen`` per round, and each round counts only what the wider windows add.  A vector inside the window on at
+``widen`` per round, starting one round below the width of the query before, and each round counts only what the
+wider windows add.  A vector inside the window on at
 least ``share`` of the lines is frequent; as soon as a share ``verify`` of the shard and the wanted number
 are frequent, all frequent ones are computed exactly.  Nothing is indexed on a sample.
 
@@ -28,8 +29,8 @@ from opslens.llm.vectors import packed, unpacked
 NEAREST = 20
 PROJECTIONS = 64
 SHARE = 0.9
-VERIFY = 0.25
-WIDEN = 1.25
+VERIFY = 0.12
+WIDEN = 1.1
 SHARD = 8_192
 QUERIES = 4_096
 
@@ -40,28 +41,41 @@ class Lines:
     def __init__(self, points: np.ndarray, projections: int):
         dim = points.shape[1]
         self.axes = np.random.Generator(np.random.PCG64([dim, 7])).standard_normal((dim, projections))
-        places = points @ self.axes
-        self.order = np.argsort(places, axis=0, kind="stable").T.copy()
-        self.sorted = np.take_along_axis(places, self.order.T, axis=0).T.copy()
-        self.size = len(points)
-
-    def frequent(self, query: np.ndarray, wanted: int, share: float, widen: float) -> np.ndarray:
-        """Positions of vectors that collide on enough lines, in the first round that has ``wanted`` of them."""
-        at = query @ self.axes
-        need = int(np.ceil(share * len(at)))
-        counts = np.zeros(self.size, np.int64)
-        low = high = np.array([np.searchsorted(line, a) for line, a in zip(self.sorted, at)])
-        width = 1.0
+        places = (points @ self.axes).T
+        self.order = np.argsort(places, axis=1, kind="stable")
+        self.size, self.lines = len(points), projections
+        # all lines in one ascending row, far enough apart: one search finds the windows on all of them
+        self.apart = 4 * (np.abs(places).max() + np.abs(self.axes).sum()) * np.arange(projections)
+        self.sorted = (np.take_along_axis(places, self.order, axis=1) + self.apart[:, None]).reshape(-1)
+        self.starts = self.size * np.arange(projections)
+
+    def _members(self, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        """How often each vector lies in low:high of the lines."""
+        found = [o[a:b] for o, a, b in zip(self.order, low.tolist(), high.tolist()) if a < b]
+        return np.bincount(np.concatenate(found), minlength=self.size) if found else np.zeros(self.size, np.int64)
+
+    def frequent(self, query: np.ndarray, wanted: int, share: float, widen: float, width: float) -> tuple[np.ndarray, float]:
+        """Positions of vectors that collide on enough lines, in the first round that has ``wanted`` of them; and its width.
+
+        The first round counts the smaller side of its windows, inside or outside; later ones count what they add.
+        """
+        at = query @ self.axes + self.apart
+        need = int(np.ceil(share * self.lines))
+        nothing, all_ = np.zeros(self.lines, np.int64), np.full(self.lines, self.size)
+        counts = low = high = None
         while True:
-            lower = np.array([np.searchsorted(line, a - width) for line, a in zip(self.sorted, at)])
-            upper = np.array([np.searchsorted(line, a + width, "right") for line, a in zip(self.sorted, at)])
-            lower, upper = np.minimum(lower, low), np.maximum(upper, high)
-            added = [o[a:b] for o, a, b in zip(self.order, lower, low)] + [o[a:b] for o, a, b in zip(self.order, high, upper)]
-            counts += np.bincount(np.concatenate(added), minlength=self.size)
+            ends = np.searchsorted(self.sorted, np.concatenate([at - width, at + width])).reshape(2, -1) - self.starts
+            lower, upper = np.clip(ends, 0, self.size)
+            if counts is None and 2 * (upper - lower).sum() > self.lines * self.size:
+                counts = self.lines - self._members(nothing, lower) - self._members(upper, all_)
+            elif counts is None:
+                counts = self._members(lower, upper)
+            else:
+                counts += self._members(lower, low) + self._members(high, upper)
             low, high = lower, upper
             found = counts >= need
-            if found.sum() >= min(wanted, self.size) or (low == 0).all() and (high == self.size).all():
-                return np.flatnonzero(found)
+            if found.sum() >= min(wanted, self.size):
+                return np.flatnonzero(found), width
             width *= widen
 
 
@@ -78,9 +92,11 @@ def _search(nearest: int, projections: int, share: float, verify: float, widen:
             rest = np.sqrt(np.maximum(0, longest**2 - (x**2).sum(axis=1)))
             lines = Lines(np.hstack([x, rest[:, None]]) / longest, projections)
             queries = unpacked(asked["vec"])
+            width = 1.0
             for q, query, number in zip(queries, asked["row"].to_numpy(), asked["vec_id"].to_numpy()):
                 toward = np.append(q / np.linalg.norm(q), 0.0)
-                some = lines.frequent(toward, nearest + 1 + int(verify * lines.size), share, widen)
+                # queries need much the same width: start a round below the last one's
+                some, width = lines.frequent(toward, nearest + 1 + int(verify * lines.size), share, widen, width / widen)
                 some = some[own[some] != query]
                 score = x[some] @ q
                 if len(some) > nearest:
