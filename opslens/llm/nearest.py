@@ -4,8 +4,8 @@ Every shard of the table projects its vectors on ``projections`` random lines an
 opens a window around its own projection on every line; virtual rehashing widens all windows together by
 ``widen`` per round, starting one round below the width of the query before, and each round counts only what the
 wider windows add.  A vector inside the window on at
-least ``share`` of the lines is frequent; as soon as a share ``verify`` of the shard and the wanted number
-are frequent, all frequent ones are computed exactly.  Nothing is indexed on a sample.
+least ``share`` of the lines is frequent; as soon as ``EACH`` vectors for every
+wanted neighbour and a share ``verify`` of the shard are frequent, all frequent ones are computed exactly.  Nothing is indexed on a sample.
 
 Inner products become distances by one extra coordinate that brings all vectors to the length of the longest
 (the longest length is a maximum over the whole table).  Queries, the rows with ids divisible by ``every``, meet
@@ -29,7 +29,8 @@ from opslens.llm.vectors import packed, unpacked
 NEAREST = 20
 PROJECTIONS = 64
 SHARE = 0.9
-VERIFY = 0.12
+VERIFY = 0.05
+EACH = 40
 WIDEN = 1.1
 SHARD = 8_192
 QUERIES = 4_096
@@ -96,7 +97,7 @@ def _search(nearest: int, projections: int, share: float, verify: float, widen:
             for q, query, number in zip(queries, asked["row"].to_numpy(), asked["vec_id"].to_numpy()):
                 toward = np.append(q / np.linalg.norm(q), 0.0)
                 # queries need much the same width: start a round below the last one's
-                some, width = lines.frequent(toward, nearest + 1 + int(verify * lines.size), share, widen, width / widen)
+                some, width = lines.frequent(toward, EACH * nearest + 1 + int(verify * lines.size), share, widen, width / widen)
                 some = some[own[some] != query]
                 score = x[some] @ q
                 if len(some) > nearest:
