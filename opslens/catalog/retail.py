@@ -96,7 +96,7 @@ def sales_per_sqft(spark, location):
     f"""
     WITH h AS (SELECT store_id, SUM(hours_worked) AS hours FROM staff_shifts
                WHERE shift_date >= DATE '2001-04-01' GROUP BY store_id),
-    r AS (SELECT store_id, SUM(revenue) AS rev FROM daily_sales WHERE sale_date >= DATE '2001-04-01' GROUP BY store_id)
+    r AS (SELECT store_id, SUM(revenue) AS rev FROM daily_sales WHERE sale_date BETWEEN DATE '2001-04-01' AND DATE '{AS_OF}' GROUP BY store_id)
     SELECT store_name, {big('COALESCE(hours, 0)')} AS total_labor_hours, {dbl('COALESCE(rev, 0)')} AS total_revenue,
            {ratio('COALESCE(rev, 0)', 'hours', 2)} AS revenue_per_labor_hour
     FROM stores LEFT JOIN h USING (store_id) LEFT JOIN r USING (store_id)""",
@@ -104,7 +104,7 @@ def sales_per_sqft(spark, location):
 def staffing_vs_revenue(spark, location):
     t = tables(spark, location)
     quarter = period_range("this quarter", AS_OF)
-    sales = t.daily_sales(("store_id", "sale_date", "revenue"), first=quarter.start)
+    sales = t.daily_sales(("store_id", "sale_date", "revenue"), first=quarter.start, last=AS_OF)
     return retail.staffing_vs_revenue(t.staff_shifts(quarter.start), sales, t.stores(), quarter)
 
 
@@ -163,12 +163,12 @@ def return_rate(spark, location):
     f"""
     SELECT {dbl('cost')} AS total_labor_cost, {dbl('rev')} AS total_revenue, {ratio('cost', 'rev', 2, 100)} AS labor_cost_pct
     FROM (SELECT SUM(hours_worked * hourly_wage) AS cost FROM staff_shifts WHERE shift_date >= DATE '2001-04-01'),
-         (SELECT SUM(revenue) AS rev FROM daily_sales WHERE sale_date >= DATE '2001-04-01')""",
+         (SELECT SUM(revenue) AS rev FROM daily_sales WHERE sale_date BETWEEN DATE '2001-04-01' AND DATE '{AS_OF}')""",
 )
 def labor_cost(spark, location):
     t = tables(spark, location)
     quarter = period_range("this quarter", AS_OF)
-    sales = t.daily_sales(("sale_date", "revenue"), first=quarter.start)
+    sales = t.daily_sales(("sale_date", "revenue"), first=quarter.start, last=AS_OF)
     return retail.labor_cost_pct(t.staff_shifts(quarter.start), sales, quarter)
 
 
@@ -213,9 +213,9 @@ def concentration(spark, location):
     "chk_region_last30",
     f"""
     SELECT region, {dbl('SUM(revenue)')} AS total_revenue FROM daily_sales JOIN stores USING (store_id)
-    WHERE sale_date >= DATE '{AS_OF}' - 30 GROUP BY region""",
+    WHERE sale_date BETWEEN DATE '{AS_OF}' - 30 AND DATE '{AS_OF}' GROUP BY region""",
 )
 def region_last30(spark, location):
     t = tables(spark, location)
-    sales = t.daily_sales(("store_id", "sale_date", "revenue"), first="2001-05-31")
+    sales = t.daily_sales(("store_id", "sale_date", "revenue"), first="2001-05-31", last=AS_OF)
     return retail.region_last_days(sales, t.stores(), AS_OF)

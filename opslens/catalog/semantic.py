@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -13,6 +15,7 @@ from opslens.functions.periods import period_range, totals_by_period
 from opslens.plans import asks, checks
 from opslens.plans.model import RETAIL_MODEL
 from opslens.plans.query import Where, semantic_query
+from opslens.sources.retail import SALES_COLUMNS
 
 
 class ModelTables(dict):
@@ -27,6 +30,11 @@ class ModelTables(dict):
         self[name] = make(ranked=False) if name == "products" else make()
         return self[name]
 
+    def pick(self, name: str, columns: tuple[str, ...]) -> DataFrame:
+        if name != "daily_sales":
+            return self[name]
+        return self._retail.daily_sales([c for c in SALES_COLUMNS if c in columns])
+
 
 _SALES = "daily_sales JOIN stores USING (store_id) JOIN products_base USING (product_id)"
 
@@ -221,7 +229,7 @@ def ask_inventory_alerts(spark, location):
     f"""
     WITH months AS (
         SELECT store_id, CAST(DATE_TRUNC('month', sale_date) AS DATE) AS period_month, SUM(revenue) AS actual
-        FROM daily_sales WHERE sale_date >= DATE '2001-01-01' GROUP BY ALL)
+        FROM daily_sales WHERE sale_date BETWEEN DATE '2001-01-01' AND DATE '2001-06-30' GROUP BY ALL)
     SELECT store_type, {dbl('SUM(actual)')} AS actual_revenue, {dbl('SUM(target_revenue)')} AS target_revenue,
            {ratio('SUM(actual)', 'SUM(target_revenue)', 1, 100)} AS attainment_pct
     FROM months JOIN sales_targets USING (store_id, period_month) JOIN stores USING (store_id) GROUP BY store_type""",
@@ -301,14 +309,35 @@ def ask_compare(spark, location):
 _PERIODS = [period_range(p, AS_OF) for p in (*fv.RELATIVE_PERIODS, "Q4 2000", "Q1 2001")]
 
 
+_DAY = f"DATE '{AS_OF}'"
+_BOUNDS = {
+    "last month": ("DATE_TRUNC('month', day) - INTERVAL 1 MONTH", "DATE_TRUNC('month', day)"),
+    "this month": ("DATE_TRUNC('month', day)", "day + 1"),
+    "last quarter": ("DATE_TRUNC('quarter', day) - INTERVAL 3 MONTH", "DATE_TRUNC('quarter', day)"),
+    "this quarter": ("DATE_TRUNC('quarter', day)", "day + 1"),
+    "year to date": ("DATE_TRUNC('year', day)", "day + 1"),
+    "last week": ("DATE_TRUNC('week', day) - INTERVAL 7 DAY", "DATE_TRUNC('week', day)"),
+    "Q4 2000": ("DATE '2000-10-01'", "DATE '2000-10-01' + INTERVAL 3 MONTH"),
+    "Q1 2001": ("DATE '2001-01-01'", "DATE '2001-01-01' + INTERVAL 3 MONTH"),
+}
+
+
+def _bounds(name: str) -> tuple[str, str]:
+    trailing = re.fullmatch(r"last (\d+) days", name)
+    return (f"day - {trailing[1]}", "day + 1") if trailing else _BOUNDS[name]
+
+
 @entry(
     "period_range",
-    " UNION ALL ".join(
-        f"SELECT '{p.name}' AS period, DATE '{p.start}' AS period_start, DATE '{p.end}' AS period_end, "
-        f"COUNT(*) AS lines, {dbl('SUM(revenue)')} AS revenue FROM daily_sales "
-        f"WHERE sale_date >= DATE '{p.start}' AND sale_date < DATE '{p.end}'"
+    "WITH p AS ("
+    + " UNION ALL ".join(
+        f"SELECT '{p.name}' AS period, CAST({_bounds(p.name)[0]} AS DATE) AS period_start, CAST({_bounds(p.name)[1]} AS DATE) AS period_end "
+        f"FROM (SELECT {_DAY} AS day)"
         for p in _PERIODS
-    ),
+    )
+    + f""")
+    SELECT period, period_start, period_end, COUNT(sale_date) AS lines, {dbl('SUM(revenue)')} AS revenue
+    FROM p LEFT JOIN daily_sales ON sale_date >= period_start AND sale_date < period_end GROUP BY ALL""",
 )
 def periods(spark, location):
     first = min(p.start for p in _PERIODS)

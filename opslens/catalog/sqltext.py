@@ -126,8 +126,7 @@ CTES: dict[str, str] = {
                CAST(l_discount AS DECIMAL(4,2)) AS discount_pct,
                CASE WHEN o_orderpriority[1] IN ('1', '2') THEN 'Online' ELSE 'In-Store' END AS channel,
                {_REVENUE} AS revenue, l_shipdate AS created_at, l_linenumber, l_orderkey, l_partkey, l_returnflag
-        FROM lineitem LEFT JOIN orders ON o_orderkey = l_orderkey
-        WHERE CAST(l_shipdate AS DATE) <= {_A}""",
+        FROM lineitem LEFT JOIN orders ON o_orderkey = l_orderkey""",
     "daily_sales": """
         SELECT sale_id, store_id, product_id, sale_date, units_sold, discount_pct, channel, promo_name, revenue, created_at
         FROM sales_base LEFT JOIN promo_calendar ON promo_date = sale_date""",
@@ -149,7 +148,7 @@ CTES: dict[str, str] = {
                      75 + {draw("(CAST(s_suppkey + 1 AS VARCHAR) || '-' || CAST(period_month AS VARCHAR))", 'target')} % 50 AS share
               FROM supplier, months24) g
         LEFT JOIN (SELECT store_id, SUM(revenue) AS rev, SUM(units_sold) AS units FROM sales_base
-                   WHERE sale_date >= {_MONTH0} GROUP BY store_id) m USING (store_id)""",
+                   WHERE sale_date BETWEEN {_MONTH0} AND {_A} GROUP BY store_id) m USING (store_id)""",
     "inventory": f"""
         SELECT snapshot_id, store_id, product_id, snapshot_date,
                CAST({draw('snapshot_id', 'on_hand')} % 500 AS INTEGER) AS units_on_hand,

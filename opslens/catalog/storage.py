@@ -325,8 +325,10 @@ def fresh_status(spark, location):
 @entry(
     "fresh_compare",
     """
-    SELECT source, n, keys, TRUE AS equal
-    FROM (SELECT COUNT(*) AS n, COUNT(DISTINCT trace_id) AS keys FROM spans), (VALUES ('derived'), ('base')) AS s(source)""",
+    WITH derived AS (SELECT COUNT(*) AS n, COUNT(DISTINCT trace_id) AS keys FROM spans),
+    base AS (SELECT COUNT(*) AS n, COUNT(DISTINCT user_id || '-' || CAST(CAST(ts AS DATE) AS VARCHAR)) AS keys FROM events WHERE user_id % 10 <> 9)
+    SELECT source, n, keys, (SELECT d.n = b.n AND d.keys = b.keys FROM derived d, base b) AS equal
+    FROM (SELECT 'derived' AS source, * FROM derived UNION ALL SELECT 'base', * FROM base)""",
 )
 def fresh_compare(spark, location):
     base = flat.keep_agent(traces.raw_events(spark, location), traces.AGENT)

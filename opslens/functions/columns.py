@@ -97,5 +97,5 @@ def as_date(value: dt.date | str | None) -> dt.date:
 
 
 def since(as_of: dt.date | str | None, days: int) -> Column:
-    """First day of a window reaching ``days`` back from ``as_of`` (9999 means all time)."""
+    """First day of a window reaching ``days`` back from ``as_of``."""
     return F.lit(as_date(as_of) - dt.timedelta(days=days))

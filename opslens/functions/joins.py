@@ -13,12 +13,24 @@ def estimated_bytes(rows: DataFrame) -> int:
     return int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
+def stored_bytes(rows: DataFrame) -> int:
+    """Bytes of the tables a DataFrame is read from.
+
+    A dimension is joined to its attributes on unique keys, so it is no larger than what it is read from; Catalyst's own
+    estimate multiplies the sizes at every join.
+    """
+    leaves = rows._jdf.queryExecution().optimizedPlan().collectLeaves()
+    return sum(int(str(leaves.apply(k).stats().sizeInBytes())) for k in range(leaves.size()))
+
+
 def join_dimension(facts: DataFrame, dimension: DataFrame, on: str | Sequence[str], how: str = "inner") -> DataFrame:
-    """Broadcast the dimension when its estimate is within the session's limit, else sort-merge.
+    """Broadcast the dimension when the tables behind it are within the session's limit.
 
-    The choice never falls on the facts: rows that come out of an ``explode`` are estimated by the
-    size before it, so Spark left alone may take them for the small side and broadcast them.
+    Beyond it Spark decides, with adaptive execution free to change its mind, except where the facts look
+    small: rows that come out of an ``explode`` are estimated by the size before it, and Spark would
+    broadcast them, so there the join is a sort-merge.
     """
     limit = facts.sparkSession._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()
-    small = estimated_bytes(dimension) <= limit
-    return facts.join(F.broadcast(dimension) if small else dimension.hint("merge"), on, how)
+    if stored_bytes(dimension) <= limit:
+        return facts.join(F.broadcast(dimension), on, how)
+    return facts.join(dimension.hint("merge") if estimated_bytes(facts) <= limit else dimension, on, how)

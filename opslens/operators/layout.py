@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Mapping, Sequence
 from functools import reduce
 from typing import Any
@@ -37,9 +38,11 @@ def cluster_write(
 def recluster(spark: SparkSession, path: str, keys: Sequence[str], lookups: Sequence[str] = ()) -> str:
     """Sort an existing table again.  The new files are complete before the table is switched.
 
-    Returns the path the previous files were set aside at; removing them is the caller's decision.
+    Returns the path the previous files were set aside at, a new one for every run; removing them is
+    the caller's decision.
     """
-    fresh, aside = f"{path}.sorted", f"{path}.before"
+    run = uuid.uuid4().hex[:12]
+    fresh, aside = f"{path}.sorted-{run}", f"{path}.before-{run}"
     cluster_write(spark.read.parquet(path), fresh, keys, lookups)
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
     place = hadoop.Path(path)

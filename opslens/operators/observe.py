@@ -1,7 +1,7 @@
 """Questions over the span table.
 
 Every function takes the span table (see ``flatten_spans``) and returns a DataFrame; ``since_days``
-counts back from ``as_of`` (default today, 9999 for all time).  SQL calls are counted on the
+counts back from ``as_of`` (default today, ``ALL_TIME`` for no limit).  SQL calls are counted on the
 execution span only, because the tool span carries the same attributes.
 """
 
@@ -18,11 +18,12 @@ from opslens.functions.quantiles import percentiles
 
 DateLike = dt.date | str | None
 
-ALL_TIME = 9999
+ALL_TIME = None
 
 
-def recent(spans: DataFrame, as_of: DateLike, since_days: int) -> DataFrame:
-    return spans.where(F.col("event_date") >= since(as_of, since_days))
+def recent(spans: DataFrame, as_of: DateLike, since_days: int | None) -> DataFrame:
+    """Spans of the last days; all of them, those without a date included, for ``ALL_TIME``."""
+    return spans if since_days is None else spans.where(F.col("event_date") >= since(as_of, since_days))
 
 
 def _sql_calls(spans: DataFrame) -> DataFrame:
@@ -36,7 +37,7 @@ def _turns(spans: DataFrame) -> DataFrame:
 # -- volume and latency ------------------------------------------------------
 
 
-def turns_per_day(spans: DataFrame, as_of: DateLike = None, since_days: int = 7) -> DataFrame:
+def turns_per_day(spans: DataFrame, as_of: DateLike = None, since_days: int | None = 7) -> DataFrame:
     return (
         recent(spans, as_of, since_days)
         .groupBy("event_date")
@@ -51,19 +52,19 @@ def _histogram(spans: DataFrame, hit: Column, name: str) -> DataFrame:
     return per_trace.groupBy(name).agg(F.count(F.lit(1)).alias("traces")).orderBy(name)
 
 
-def sql_fanout_distribution(spans: DataFrame, as_of: DateLike = None, since_days: int = 7) -> DataFrame:
+def sql_fanout_distribution(spans: DataFrame, as_of: DateLike = None, since_days: int | None = 7) -> DataFrame:
     """How many SQL calls a trace makes, as a histogram."""
     return _histogram(recent(spans, as_of, since_days), F.col("span_name") == fv.SQL_SPAN, "sql_calls")
 
 
-def planning_steps_distribution(spans: DataFrame, as_of: DateLike = None, since_days: int = 7) -> DataFrame:
+def planning_steps_distribution(spans: DataFrame, as_of: DateLike = None, since_days: int | None = 7) -> DataFrame:
     """How many planning steps a trace takes, as a histogram."""
     hit = F.col("span_name").startswith(fv.PLANNING_PREFIX)
     return _histogram(recent(spans, as_of, since_days), hit, "planning_steps")
 
 
 def turn_duration_percentiles(
-    spans: DataFrame, as_of: DateLike = None, since_days: int = 7, approximate: bool = False
+    spans: DataFrame, as_of: DateLike = None, since_days: int | None = 7, approximate: bool = False
 ) -> DataFrame:
     """Median, 95th percentile and longest turn in seconds."""
     agents = recent(spans, as_of, since_days).where(F.col("span_name") == fv.AGENT_SPAN)
@@ -83,7 +84,7 @@ def turn_duration_percentiles(
 
 
 def latency_breakdown(
-    spans: DataFrame, as_of: DateLike = None, since_days: int = 7, approximate: bool = False
+    spans: DataFrame, as_of: DateLike = None, since_days: int | None = 7, approximate: bool = False
 ) -> DataFrame:
     """Median turn time, the part spent in SQL and the rest, in milliseconds."""
     kept = recent(spans, as_of, since_days)
@@ -107,7 +108,7 @@ def latency_breakdown(
 
 
 def concurrency_timeline(
-    spans: DataFrame, as_of: DateLike = None, since_days: int = 7, limit: int | None = 200, grain: str = "second"
+    spans: DataFrame, as_of: DateLike = None, since_days: int | None = 7, limit: int | None = 200, grain: str = "second"
 ) -> DataFrame:
     """SQL starts per second (or other grain) where more than one began, busiest first."""
     starts = (
@@ -158,7 +159,7 @@ def thread_messages(spans: DataFrame, thread_id: str | Column) -> DataFrame:
     )
 
 
-def top_questions(spans: DataFrame, as_of: DateLike = None, since_days: int = 7, limit: int = 10) -> DataFrame:
+def top_questions(spans: DataFrame, as_of: DateLike = None, since_days: int | None = 7, limit: int = 10) -> DataFrame:
     """Most-asked questions by exact text."""
     return (
         _turns(recent(spans, as_of, since_days))
@@ -170,7 +171,7 @@ def top_questions(spans: DataFrame, as_of: DateLike = None, since_days: int = 7,
     )
 
 
-def turn_picker(spans: DataFrame, as_of: DateLike = None, since_days: int = 7, limit: int = 60) -> DataFrame:
+def turn_picker(spans: DataFrame, as_of: DateLike = None, since_days: int | None = 7, limit: int = 60) -> DataFrame:
     """The latest turns, question cut to 80 characters."""
     return (
         _turns(recent(spans, as_of, since_days))
@@ -184,7 +185,7 @@ def turn_picker(spans: DataFrame, as_of: DateLike = None, since_days: int = 7, l
 # -- reliability -------------------------------------------------------------
 
 
-def success_rate(spans: DataFrame, as_of: DateLike = None, since_days: int = 7) -> DataFrame:
+def success_rate(spans: DataFrame, as_of: DateLike = None, since_days: int | None = 7) -> DataFrame:
     total, good = F.count(F.lit(1)), F.count_if(F.col("status") == "SUCCESS")
     return _turns(recent(spans, as_of, since_days)).agg(
         total.alias("total_turns"),
@@ -194,7 +195,7 @@ def success_rate(spans: DataFrame, as_of: DateLike = None, since_days: int = 7)
     )
 
 
-def failed_turns(spans: DataFrame, as_of: DateLike = None, since_days: int = 7) -> DataFrame:
+def failed_turns(spans: DataFrame, as_of: DateLike = None, since_days: int | None = 7) -> DataFrame:
     """Turns with a status other than SUCCESS; a missing status is not a failure."""
     return (
         _turns(recent(spans, as_of, since_days))
@@ -204,7 +205,7 @@ def failed_turns(spans: DataFrame, as_of: DateLike = None, since_days: int = 7)
     )
 
 
-def sql_reliability(spans: DataFrame, as_of: DateLike = None, since_days: int = 7) -> DataFrame:
+def sql_reliability(spans: DataFrame, as_of: DateLike = None, since_days: int | None = 7) -> DataFrame:
     """SQL calls by outcome next to turns with any failed call, as one row.
 
     Traces are reduced first, so both distinct counts become plain sums over one row per trace.
@@ -241,7 +242,7 @@ def _errors_by(spans: DataFrame, key: Column, name: str) -> DataFrame:
     )
 
 
-def hallucinated_columns(spans: DataFrame, as_of: DateLike = None, since_days: int = 7, limit: int = 15) -> DataFrame:
+def hallucinated_columns(spans: DataFrame, as_of: DateLike = None, since_days: int | None = 7, limit: int = 15) -> DataFrame:
     """Column names that do not exist, read from the error text."""
     failed = _sql_calls(recent(spans, as_of, since_days)).where(
         (F.col("sql_status") == "ERROR") & F.col("sql_error").ilike("%invalid identifier%")
@@ -250,14 +251,14 @@ def hallucinated_columns(spans: DataFrame, as_of: DateLike = None, since_days: i
     return named.where(F.col("bad_identifier").isNotNull()).orderBy(F.desc("occurrences"), "bad_identifier").limit(limit)
 
 
-def error_taxonomy(spans: DataFrame, as_of: DateLike = None, since_days: int = 7) -> DataFrame:
+def error_taxonomy(spans: DataFrame, as_of: DateLike = None, since_days: int | None = 7) -> DataFrame:
     """SQL errors by error code, 'other' without one."""
     failed = _sql_calls(recent(spans, as_of, since_days)).where(F.col("sql_status") == "ERROR")
     key = F.coalesce(match_group(F.col("sql_error"), fv.ERROR_CODE_PATTERN), F.lit("other"))
     return _errors_by(failed, key, "error_code").orderBy(F.desc("occurrences"), "error_code")
 
 
-def self_correction(spans: DataFrame, as_of: DateLike = None, since_days: int = 7) -> DataFrame:
+def self_correction(spans: DataFrame, as_of: DateLike = None, since_days: int | None = 7) -> DataFrame:
     """Turns by number of failed calls, and how many of them also had a good one."""
     per_trace = (
         _sql_calls(recent(spans, as_of, since_days))
@@ -278,7 +279,7 @@ def self_correction(spans: DataFrame, as_of: DateLike = None, since_days: int =
 # -- tokens and warehouse ----------------------------------------------------
 
 
-def token_economics(spans: DataFrame, as_of: DateLike = None, since_days: int = 7) -> DataFrame:
+def token_economics(spans: DataFrame, as_of: DateLike = None, since_days: int | None = 7) -> DataFrame:
     """Token totals, cache share and tokens per turn, as one row."""
     kept = recent(spans, as_of, since_days).where(F.col("tokens_total").isNotNull())
     turns = F.count_distinct("trace_id")
@@ -298,7 +299,7 @@ def token_economics(spans: DataFrame, as_of: DateLike = None, since_days: int =
     )
 
 
-def tokens_per_turn(spans: DataFrame, as_of: DateLike = None, since_days: int = 7, limit: int = 15) -> DataFrame:
+def tokens_per_turn(spans: DataFrame, as_of: DateLike = None, since_days: int | None = 7, limit: int = 15) -> DataFrame:
     """Costliest traces with their question.
 
     One conditional aggregate per trace reads the spans once, in place of two aggregates and a join.
@@ -316,7 +317,7 @@ def tokens_per_turn(spans: DataFrame, as_of: DateLike = None, since_days: int =
     )
 
 
-def warehouse_truth(spans: DataFrame, history: DataFrame, as_of: DateLike = None, since_days: int = 7) -> DataFrame:
+def warehouse_truth(spans: DataFrame, history: DataFrame, as_of: DateLike = None, since_days: int | None = 7) -> DataFrame:
     """Warehouse metrics of the statements the traces ran, as one row.
 
     A semi-join on query_id: no list of ids is shipped and no id is left out.

@@ -266,9 +266,10 @@ def product_concentration(sales: DataFrame, products: DataFrame, top_share: floa
 
 
 def region_last_days(sales: DataFrame, stores: DataFrame, as_of: DateLike = None, days: int = 30) -> DataFrame:
-    """Revenue by region since ``days`` before ``as_of``."""
-    start = as_date(as_of) - dt.timedelta(days=days)
-    totals = revenue_by_store_attribute(sales.where(F.col("sale_date") >= F.lit(start)), stores, "region")
+    """Revenue by region from ``days`` before ``as_of`` up to that day."""
+    last = as_date(as_of)
+    inside = F.col("sale_date").between(F.lit(last - dt.timedelta(days=days)), F.lit(last))
+    totals = revenue_by_store_attribute(sales.where(inside), stores, "region")
     return totals.orderBy(F.desc_nulls_first("total_revenue"), "region")
 
 

@@ -8,16 +8,17 @@ from collections.abc import Callable, Mapping, Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from opslens.fixed_values import REVENUE_DIMENSIONS, TARGET_DIMENSIONS
 from opslens.functions.columns import ratio
 from opslens.functions.periods import Period, period_range
 from opslens.operators import retail
-from opslens.plans.model import Tables
+from opslens.plans.model import Tables, pick
 from opslens.plans.query import Where, semantic_query
 
 DateLike = dt.date | str | None
 
-REVENUE_DIMENSIONS = ("region", "store type", "category", "channel", "performance tier")
-TARGET_DIMENSIONS = ("region", "store type")
+_SALES = ("store_id", "sale_date", "revenue")
+
 
 
 def _period(period: str | Period, as_of: DateLike) -> Period:
@@ -43,13 +44,13 @@ def target_attainment(tables: Tables, dimension: str, period: str | Period, as_o
     if name.replace("_", " ") not in TARGET_DIMENSIONS:
         raise ValueError(f"attainment can be asked by {TARGET_DIMENSIONS}, not {dimension!r}")
     return retail.target_attainment(
-        tables["daily_sales"], tables["sales_targets"], tables["stores"], _period(period, as_of), name
+        pick(tables, "daily_sales", _SALES), tables["sales_targets"], tables["stores"], _period(period, as_of), name
     )
 
 
 def staffing_vs_revenue(tables: Tables, period: str | Period, as_of: DateLike = None) -> DataFrame:
     return retail.staffing_vs_revenue(
-        tables["staff_shifts"], tables["daily_sales"], tables["stores"], _period(period, as_of)
+        tables["staff_shifts"], pick(tables, "daily_sales", _SALES), tables["stores"], _period(period, as_of)
     )
 
 
@@ -66,7 +67,8 @@ def returns_by_reason(tables: Tables, reason: str) -> DataFrame:
 
 
 def top_products(tables: Tables, n: int, region: str) -> DataFrame:
-    return retail.top_products(tables["daily_sales"], tables["products"], tables["stores"], region, n)
+    sales = pick(tables, "daily_sales", ("store_id", "product_id", "units_sold"))
+    return retail.top_products(sales, tables["products"], tables["stores"], region, n)
 
 
 def supplier_lead_time(tables: Tables) -> DataFrame:

@@ -7,40 +7,42 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from opslens.plans.model import RETAIL_MODEL, Model, Tables
+from opslens.plans.model import RETAIL_MODEL, Dimension, Model, Tables, pick
+
+
+def _enums(model: Model) -> dict[str, list[Dimension]]:
+    """Enumerated dimensions by table: each table is read once for all of its own."""
+    by_table: dict[str, list[Dimension]] = {}
+    for d in model.dimensions:
+        if d.is_enum:
+            by_table.setdefault(d.table, []).append(d)
+    return by_table
 
 
 def enum_violations(tables: Tables, model: Model = RETAIL_MODEL) -> DataFrame:
     """Values outside the declared ones, per enumerated dimension, with their row counts.
 
-    Values are counted first; the declared lists are literals in the filter, so nothing is joined.
+    Only values outside the literal lists leave the scan, and they are counted before they travel.
     """
     found = []
-    for d in model.dimensions:
-        if d.is_enum:
-            counts = tables[d.table].groupBy(F.col(d.name).cast("string").alias("value")).agg(
-                F.count(F.lit(1)).alias("occurrences")
-            )
-            outside = counts.where(F.col("value").isNotNull() & ~F.col("value").isin(*d.values))
-            found.append(outside.select(F.lit(d.name).alias("dimension"), "value", "occurrences"))
+    for table, enums in _enums(model).items():
+        pairs = [F.struct(F.lit(d.name).alias("dimension"), F.when(~F.col(d.name).isin(*d.values), F.col(d.name).cast("string")).alias("value")) for d in enums]
+        values = pick(tables, table, [d.name for d in enums]).select(F.inline(F.array(*pairs))).where(F.col("value").isNotNull())
+        found.append(values.groupBy("dimension", "value").agg(F.count(F.lit(1)).alias("occurrences")))
     return reduce(DataFrame.unionAll, found)
 
 
 def enum_summary(tables: Tables, model: Model = RETAIL_MODEL) -> DataFrame:
     """Per enumerated dimension: rows inside and outside the declared values, and rows without one."""
     found = []
-    for d in model.dimensions:
-        if d.is_enum:
-            value = F.col(d.name)
-            inside = value.isin(*d.values)
-            found.append(
-                tables[d.table].agg(
-                    F.lit(d.name).alias("dimension"),
-                    F.count_if(inside).alias("inside"),
-                    F.count_if(~inside).alias("outside"),
-                    F.count_if(value.isNull()).alias("missing"),
-                )
-            )
+    for table, enums in _enums(model).items():
+        counts, rows = [], []
+        for d in enums:
+            inside = F.col(d.name).isin(*d.values)
+            tests = {"inside": inside, "outside": ~inside, "missing": F.col(d.name).isNull()}
+            counts += [F.count_if(test).alias(f"{d.name}__{kind}") for kind, test in tests.items()]
+            rows.append(F.struct(F.lit(d.name).alias("dimension"), *[F.col(f"{d.name}__{kind}").alias(kind) for kind in tests]))
+        found.append(pick(tables, table, [d.name for d in enums]).agg(*counts).select(F.inline(F.array(*rows))))
     return reduce(DataFrame.unionAll, found)
 
 
@@ -49,7 +51,7 @@ def key_violations(tables: Tables, model: Model = RETAIL_MODEL) -> DataFrame:
     found = []
     for t in model.tables:
         missing = reduce(lambda a, b: a | b, [F.col(k).isNull() for k in t.primary_key])
-        sizes = tables[t.name].groupBy(*t.primary_key).agg(F.count(F.lit(1)).alias("_n"))
+        sizes = pick(tables, t.name, t.primary_key).groupBy(*t.primary_key).agg(F.count(F.lit(1)).alias("_n"))
         twice = (F.col("_n") > 1) & ~F.col("_missing")
         found.append(
             sizes.withColumn("_missing", missing).agg(
@@ -71,12 +73,12 @@ def orphans(tables: Tables, model: Model = RETAIL_MODEL) -> DataFrame:
     found = []
     for r in model.relationships:
         keys = (
-            tables[r.source]
+            pick(tables, r.source, [r.column])
             .where(F.col(r.column).isNotNull())
             .groupBy(F.col(r.column).alias("_key"))
             .agg(F.count(F.lit(1)).alias("_n"))
         )
-        target = tables[r.target].select(F.col(r.target_column).alias("_key"))
+        target = pick(tables, r.target, [r.target_column]).select(F.col(r.target_column).alias("_key"))
         lost = keys.join(target, "_key", "left_anti")
         found.append(
             lost.agg(

@@ -7,7 +7,7 @@ summed again after a dimension is joined, which is what ``opslens.plans.query``
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping
+from collections.abc import Callable, Iterable, Mapping
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
@@ -21,7 +21,6 @@ class Table:
     name: str
     primary_key: tuple[str, ...]
     synonyms: tuple[str, ...] = ()
-    comment: str = ""
 
 
 @dataclass(frozen=True)
@@ -39,7 +38,6 @@ class Fact:
     table: str
     name: str
     column: str
-    comment: str = ""
 
 
 @dataclass(frozen=True)
@@ -49,14 +47,14 @@ class Dimension:
     synonyms: tuple[str, ...] = ()
     values: tuple[str, ...] = ()
     is_enum: bool = False
-    comment: str = ""
 
 
 @dataclass(frozen=True)
 class Metric:
     """``measures``: name -> (aggregate over one row, as a Column maker); ``close``: totals -> value.
 
-    ``parts`` names metrics of other tables for a metric spanning several base tables.
+    ``parts`` names metrics of other tables for a metric spanning several base tables; ``needs``
+    names columns that the measures read beyond the facts.
     """
 
     table: str | None
@@ -65,6 +63,17 @@ class Metric:
     close: Callable[[Mapping[str, Column]], Column] | None = None
     synonyms: tuple[str, ...] = ()
     parts: tuple[str, ...] = ()
+    needs: tuple[str, ...] = ()
+
+
+def pick(tables: Tables, name: str, columns: Iterable[str]) -> DataFrame:
+    """A table with at least these columns.
+
+    A mapping that offers ``pick(name, columns)`` builds no more than that, so joins that only feed
+    other columns are never planned.
+    """
+    own = getattr(tables, "pick", None)
+    return own(name, tuple(dict.fromkeys(columns))) if own else tables[name]
 
 
 def _sum_of(fact: str) -> Callable[[], Column]:
@@ -114,13 +123,13 @@ class Model:
 
 RETAIL_MODEL = Model(
     tables=(
-        Table("daily_sales", ("sale_id",), ("sales", "transactions", "orders"), "Daily sales by store and product"),
+        Table("daily_sales", ("sale_id",), ("sales", "transactions", "orders")),
         Table("stores", ("store_id",), ("locations", "branches")),
         Table("products", ("product_id",), ("items", "skus")),
-        Table("sales_targets", ("store_id", "period_month"), ("targets", "quotas", "goals"), "Monthly targets by store"),
-        Table("inventory", ("snapshot_id",), ("stock", "stock levels"), "Weekly snapshots by store and product"),
-        Table("staff_shifts", ("shift_id",), ("staffing", "labor", "shifts"), "Daily shifts by store"),
-        Table("returns", ("return_id",), ("refunds", "returned items"), "Returns with reason and refund"),
+        Table("sales_targets", ("store_id", "period_month"), ("targets", "quotas", "goals")),
+        Table("inventory", ("snapshot_id",), ("stock", "stock levels")),
+        Table("staff_shifts", ("shift_id",), ("staffing", "labor", "shifts")),
+        Table("returns", ("return_id",), ("refunds", "returned items")),
     ),
     relationships=(
         Relationship("daily_sales", "store_id", "stores", "store_id"),
@@ -135,18 +144,18 @@ RETAIL_MODEL = Model(
     ),
     facts=(
         Fact("daily_sales", "units_sold_fact", "units_sold"),
-        Fact("daily_sales", "revenue_fact", "revenue", "Revenue per transaction, after discount"),
+        Fact("daily_sales", "revenue_fact", "revenue"),
         Fact("daily_sales", "discount_pct_fact", "discount_pct"),
         Fact("inventory", "units_on_hand_fact", "units_on_hand"),
-        Fact("inventory", "reorder_point_fact", "reorder_point", "Reorder threshold of the product at this store"),
-        Fact("inventory", "units_on_order_fact", "units_on_order", "Units on order from the supplier"),
+        Fact("inventory", "reorder_point_fact", "reorder_point"),
+        Fact("inventory", "units_on_order_fact", "units_on_order"),
         Fact("staff_shifts", "headcount_fact", "headcount"),
         Fact("staff_shifts", "hours_worked_fact", "hours_worked"),
         Fact("staff_shifts", "wage_fact", "hourly_wage"),
-        Fact("products", "lead_time_fact", "lead_time_days", "Supplier lead time in days"),
+        Fact("products", "lead_time_fact", "lead_time_days"),
         Fact("returns", "refund_amount_fact", "refund_amount"),
-        Fact("sales_targets", "target_revenue_fact", "target_revenue", "Monthly revenue target of this store"),
-        Fact("sales_targets", "target_units_fact", "target_units", "Monthly unit target of this store"),
+        Fact("sales_targets", "target_revenue_fact", "target_revenue"),
+        Fact("sales_targets", "target_units_fact", "target_units"),
     ),
     dimensions=(
         Dimension("stores", "region", ("area", "territory"), fv.REGIONS, True),
@@ -154,11 +163,11 @@ RETAIL_MODEL = Model(
         Dimension("stores", "performance_tier", ("store tier",), fv.PERFORMANCE_TIERS, True),
         Dimension("stores", "store_name"),
         Dimension("products", "category", ("department",), fv.CATEGORIES, True),
-        Dimension("products", "subcategory", (), fv.SUBCATEGORIES, True, "Price tier, not a product type"),
+        Dimension("products", "subcategory", (), fv.SUBCATEGORIES, True),
         Dimension("products", "supplier", ("vendor", "manufacturer")),
         Dimension("daily_sales", "sale_date", ("transaction date", "order date")),
         Dimension("daily_sales", "channel", (), fv.CHANNELS, True),
-        Dimension("daily_sales", "promo_name", ("promotion", "sale event"), comment="NULL on days without a promotion"),
+        Dimension("daily_sales", "promo_name", ("promotion", "sale event")),
         Dimension("sales_targets", "period_month"),
         Dimension("inventory", "snapshot_date"),
         Dimension("staff_shifts", "shift_date"),
@@ -183,6 +192,7 @@ RETAIL_MODEL = Model(
             },
             _share("online", "all"),
             ("online penetration", "online share"),
+            needs=("channel",),
         ),
         mean("inventory", "avg_units_on_hand", "units_on_hand_fact"),
         Metric(

@@ -21,7 +21,7 @@ from typing import Any
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from opslens.plans.model import RETAIL_MODEL, Dimension, Metric, Model, Relationship, Tables
+from opslens.plans.model import RETAIL_MODEL, Dimension, Metric, Model, Relationship, Tables, pick
 
 
 class UnknownName(ValueError):
@@ -32,9 +32,15 @@ def _plain(name: str) -> str:
     return " ".join(name.lower().replace("_", " ").split())
 
 
-def _find(kind: str, name: str, options: Sequence[Dimension] | Sequence[Metric]) -> Any:
+def _table(name: str, model: Model) -> str:
+    """A table's name by its name or synonym; a name of no table stays as it is."""
+    plain = _plain(name)
+    return next((t.name for t in model.tables if plain in map(_plain, (t.name, *t.synonyms))), name)
+
+
+def _find(kind: str, name: str, options: Sequence[Dimension] | Sequence[Metric], model: Model) -> Any:
     wanted = _plain(name.split(".")[-1])
-    prefix = name.split(".")[0].lower() if "." in name else None
+    prefix = _table(name.split(".")[0], model) if "." in name else None
     by_name = [o for o in options if _plain(o.name) == wanted and prefix in (None, o.table)]
     found = by_name or [o for o in options if wanted in map(_plain, o.synonyms) and prefix in (None, o.table)]
     if not found:
@@ -45,12 +51,12 @@ def _find(kind: str, name: str, options: Sequence[Dimension] | Sequence[Metric])
 
 
 def find_dimension(name: str, model: Model = RETAIL_MODEL) -> Dimension:
-    """A dimension by name, ``table.name`` or synonym, whatever the case."""
-    return _find("dimension", name, model.dimensions)
+    """A dimension by name, ``table.name`` or synonyms of either, whatever the case."""
+    return _find("dimension", name, model.dimensions, model)
 
 
 def find_metric(name: str, model: Model = RETAIL_MODEL) -> Metric:
-    return _find("metric", name, model.metrics)
+    return _find("metric", name, model.metrics, model)
 
 
 def join_path(source: str, target: str, model: Model = RETAIL_MODEL) -> list[Relationship]:
@@ -126,7 +132,10 @@ def _aggregate(
     model: Model,
 ) -> DataFrame:
     own = [g.name for g in groups if g.table == base]
-    rows = tables[base]
+    asked = [d.name for d, _ in tests if d.table == base]
+    links = [r.column for r in model.relationships if r.source == base]
+    read = [f.column for f in model.facts_of(base)] + [c for m in metrics for c in m.needs]
+    rows = pick(tables, base, [*links, *own, *asked, *read])
     for dimension, test in tests:
         if dimension.table == base:
             rows = rows.where(test.on(F.col(dimension.name)))
@@ -145,8 +154,8 @@ def _aggregate(
         return pre
     onward = {s.column for s in steps.values() if s.source != base}
     for target, step in steps.items():
-        columns = {d.name for d in needed if d.table == target} | (onward & set(tables[target].columns))
-        side = tables[target].select(
+        columns = {d.name for d in needed if d.table == target} | (onward & {r.column for r in model.relationships if r.source == target})
+        side = pick(tables, target, [step.target_column, *sorted(columns)]).select(
             F.col(step.target_column).alias(f"{target}__key"), *[c for c in sorted(columns) if c != step.target_column]
         )
         reached = [test.on(F.col(d.name)) for d, test in tests if d.table == target]

@@ -112,9 +112,9 @@ class RetailTables:
     # -- facts --------------------------------------------------------------
 
     def _lines(self, first: dt.date | None, last: dt.date | None) -> DataFrame:
-        last = min(last, self.as_of) if last else self.as_of
-        lines = self._read("lineitem").where(F.col("l_shipdate") < wall_time(last + dt.timedelta(days=1)))
-        return lines.where(F.col("l_shipdate") >= wall_time(first)) if first else lines
+        lines = self._read("lineitem")
+        lines = lines.where(F.col("l_shipdate") >= wall_time(first)) if first else lines
+        return lines.where(F.col("l_shipdate") < wall_time(last + dt.timedelta(days=1))) if last else lines
 
     @staticmethod
     def _sale_id() -> Column:
@@ -160,8 +160,12 @@ class RetailTables:
         return sales.select(*columns)
 
     def returns(self, first: dt.date | str | None = None, last: dt.date | str | None = None) -> DataFrame:
-        """Returned lines: a repeatable draw against the category and channel rate, times five."""
-        lines = self._with_channel(self._lines(None, None).where(F.col("l_returnflag") == "R"))
+        """Returned lines: a repeatable draw against the category and channel rate, times five.
+
+        ``first`` and ``last`` bound the day of the sale.
+        """
+        bounds = [as_date(day) if day else None for day in (first, last)]
+        lines = self._with_channel(self._lines(*bounds).where(F.col("l_returnflag") == "R"))
         sale_id = self._sale_id()
         rates = by_position(F.pmod(F.col("l_partkey"), F.lit(8)), [str(fv.RETURN_RATE_PCT[c]) for c in fv.CATEGORIES], "long")
         rate = rates + F.when(F.col("channel") == "Online", fv.RETURN_ONLINE_UPLIFT_PCT).otherwise(0)
@@ -185,7 +189,7 @@ class RetailTables:
         months = spines.months(self.as_of, fv.TARGET_MONTHS)
         first = period_start(self.as_of, fv.TARGET_MONTHS)
         sold = (
-            self.daily_sales(("store_id", "revenue", "units_sold"), first=first)
+            self.daily_sales(("store_id", "revenue", "units_sold"), first=first, last=self.as_of)
             .groupBy("store_id")
             .agg(F.sum("revenue").alias("_revenue"), F.sum("units_sold").alias("_units"))
         )

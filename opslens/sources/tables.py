@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import datetime as dt
-import os
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -44,8 +43,15 @@ def read_table(spark: SparkSession, location: str, name: str) -> DataFrame:
     if not location:
         return spark.table(name)
     path = f"{location.rstrip('/')}/{name}"
-    local = path.removeprefix("file:")
-    return spark.read.parquet(path if os.path.isdir(local) else f"{path}.parquet")
+    return spark.read.parquet(path if is_folder(spark, path) else f"{path}.parquet")
+
+
+def is_folder(spark: SparkSession, path: str) -> bool:
+    """Whether the path is a folder, asked of the file system it belongs to."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    place = hadoop.Path(path)
+    system = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return system.exists(place) and system.getFileStatus(place).isDirectory()
 
 
 def instant(column: Column) -> Column:

@@ -12,19 +12,24 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
 from opslens.operators.spans import AgentFilter, flatten_spans, span_view
+from opslens.sources.tables import is_folder
 
 Transform = Callable[[DataFrame], DataFrame]
 
 
 def stream_files(spark: SparkSession, folder: str, name: str | None = None, files_per_trigger: int | None = None) -> DataFrame:
-    """A Parquet folder as a stream; ``name`` keeps only the files of that name."""
+    """A Parquet table as a stream: all files of the folder, or of what is called ``name`` in it.
+
+    ``name`` may be a folder of files or one file; a name that is not there is an error.
+    """
     target = f"{folder.rstrip('/')}/{name}" if name else folder
     reader = spark.readStream.schema(spark.read.parquet(target).schema)
-    if name:
-        reader = reader.option("pathGlobFilter", name)
     if files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", files_per_trigger)
-    return reader.parquet(folder)
+    if is_folder(spark, target):
+        return reader.parquet(target)
+    # a file source reads folders: the one file is singled out by its name
+    return reader.option("pathGlobFilter", name).parquet(folder)
 
 
 def refresh(stream: DataFrame, path: str, checkpoint: str, lag_seconds: int | None = None) -> StreamingQuery:

@@ -139,6 +139,14 @@ def test_number_rows(spark):
         assert [(r.at, r.id) for r in sorted((r for r in got if r.g == g), key=lambda r: r.n)] == want
 
 
+def test_a_dimension_of_joined_tables_is_as_large_as_they_are(spark, small):
+    from opslens.functions.joins import estimated_bytes, stored_bytes
+    from opslens.sources.retail import RetailTables
+
+    stores = RetailTables(spark, small, "2001-06-30").stores()
+    assert stored_bytes(stores) < 1_000_000 < estimated_bytes(stores)
+
+
 def test_join_dimension_never_broadcasts_the_facts(spark):
     from opslens.functions.joins import join_dimension
 

@@ -58,6 +58,26 @@ def test_recluster_keeps_the_rows(spark, sales, tmp_path):
     aside = layout.recluster(spark, path, ["sale_date"])
     assert rows(spark.read.parquet(path)) == rows(sales)
     assert spark.read.parquet(aside).count() == sales.count()
+    again = layout.recluster(spark, path, ["store_id"])
+    assert again != aside and rows(spark.read.parquet(path)) == rows(spark.read.parquet(again)) == rows(sales)
+
+
+def test_lines_after_as_of_are_kept(spark, small):
+    early = RetailTables(spark, small, "1995-01-01")
+    assert early.daily_sales(("sale_id",)).count() == spark.read.parquet(f"{small}/lineitem.parquet").count()
+    bounded = early.daily_sales(("sale_date",), first="1994-01-01", last="1994-12-31").agg(F.min("sale_date"), F.max("sale_date")).first()
+    assert dt.date(1994, 1, 1) <= bounded[0] and bounded[1] <= dt.date(1994, 12, 31) or bounded[0] is None
+
+
+def test_streams_read_a_folder_like_a_file(spark, small, tmp_path):
+    events = spark.read.parquet(f"{small}/events.parquet")
+    events.repartition(4).write.parquet(str(tmp_path / "events.parquet"))
+    from opslens.catalog import QUERIES
+
+    for name in ("refresh_lag", "flatten_stream", "concurrency_stream", "turns_per_day_stream", "late_match"):
+        assert rows(QUERIES[name](spark, str(tmp_path))) == rows(QUERIES[name](spark, small)) != []
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        refresh.stream_files(spark, str(tmp_path), "nothing.parquet")
 
 
 def test_freshness(spark):
