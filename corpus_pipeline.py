@@ -14,7 +14,7 @@ from opslens.llm.minhash import near_duplicates
 from opslens.llm.packing import pack
 from opslens.llm.secret_scan import mask_secrets, secret_findings
 from opslens.llm.ship import ship
-from opslens.llm.store import cut, table
+from opslens.llm.store import cut, release, table
 from opslens.llm.substring import remove_repeats
 from opslens.llm.toxicity import toxicity
 from opslens.session import configure
@@ -31,19 +31,27 @@ def _sized(docs: DataFrame) -> DataFrame:
     return docs.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
+def _without(docs: DataFrame, ids: DataFrame, purpose: str) -> DataFrame:
+    """Documents whose id is not among the ``ids``; those are stored first, so that what led to them can be freed."""
+    gone = cut(ids.select(F.col("doc_id").alias("gone")).distinct(), purpose)
+    release(docs.sparkSession)
+    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("gone")), "left_anti").select(*COLUMNS)
+
+
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Without the documents predicted toxic.  Rows that share an id go together, if one of them is."""
     docs = _ready(docs)
-    toxic = toxicity(docs, table(spark, sf_dir, "labels")).where("predicted = 1").select(F.col("doc_id").alias("bad")).distinct()
-    return docs.join(toxic, F.col("doc_id").eqNullSafe(F.col("bad")), "left_anti").select(*COLUMNS)
+    return _without(docs, toxicity(docs, table(spark, sf_dir, "labels")).where("predicted = 1"), "toxic-ids")
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group: the one with the smallest id.  Rows that are equal in all columns count once."""
     docs = _ready(docs)
-    kept = near_duplicates(docs, percent=80).where("kept").select(F.col("doc_id").alias("good")).distinct()
-    stays = docs.join(kept, F.col("doc_id").eqNullSafe(F.col("good")), "left_semi")
-    return stays.dropDuplicates().select(*COLUMNS)
+    found = cut(near_duplicates(docs, percent=80).select("doc_id", "kept"), "kept-ids")
+    left = _without(docs, found.where("not kept"), "duplicate-ids")
+    again = found.where("kept").groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1")
+    # whole rows are compared only where an id comes twice
+    return left.dropDuplicates() if again.take(1) else left
 
 
 def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

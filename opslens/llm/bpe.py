@@ -5,7 +5,7 @@ row of tokens, and keeps an inverted index from the rank of a neighbouring pair
 it.  Ranks are replayed in order, smallest first, through a heap; a merge touches only its two neighbours
 and enters their new pairs into the index.  Where a merge makes a pair of smaller rank in the same word, the
 rest of that word waits for it, so every word goes through the very steps it would go through alone.  Words of
-earlier batches are remembered up to a fixed number, so each is replayed about once per task.
+earlier batches are remembered up to a fixed number, so each is replayed about once per Python worker.
 
 Defined cases: a null text is empty and has no tokens; null and repeated ids are kept as they are; an
 empty table gives no rows.
@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-REMEMBERED = 600_000
+REMEMBERED = 500_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -121,14 +121,18 @@ class Replay:
         return out
 
 
+_replays: dict[str, tuple[Replay, dict[str, bytes]]] = {}  # kept for the tasks that a Python worker still gets
+
+
 def _encode(path: str, pattern: str, with_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import regex
 
         find = regex.compile(pattern).findall
-        replay = Replay(read_ranks(path))
+        if path not in _replays:
+            _replays[path] = Replay(read_ranks(path)), {}
+        replay, known = _replays[path]
         bytes_of = replay.bytes_of
-        known: dict[str, bytes] = {}
         for batch in batches:
             texts = [t or "" for t in batch["text"].to_pylist()]
             counts, id_sums, texts_back, streams = [], [], [], []

@@ -14,6 +14,7 @@ empty table gives no rows.
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -27,44 +28,61 @@ from opslens.llm.store import cut, parts_for, total
 SIZE = 2048
 SLACK = 8
 FAN_IN = 100_000
-_REMEMBERED = 400_000
+REMEMBERED = 600_000
+_TAIL = re.compile(rb"(?<=[a-z0-9])(?=[.,;:!?%$&*#|]+(?: |\Z))")
 
 
 class _Encoder:
-    """Token ids as little-endian 32-bit bytes, by stretches between ASCII white space.
+    """Token ids as little-endian 32-bit bytes, by stretches between white space.
 
-    The tokenizer drops white space and none of its rules looks across it, so a stretch always has the same ids;
-    those of frequent stretches are remembered, up to a fixed number.
+    The tokenizer folds case and drops white space, and none of its rules looks across it, so a stretch always has the same
+    ids.  Marks at the end of a word are stretches of their own: a letter never shares a token with them.  Stretches
+    are remembered in two generations of at most ``REMEMBERED``.
     """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.known = Tokenizer.from_file(path), {}
+        self.tokenizer, self.known, self.older = Tokenizer.from_file(path), {}, {}
 
     def encode(self, texts: list[str | None]) -> Iterator[bytes]:
-        known = self.known
         for text in texts:
-            parts = (text or "").replace("\n", " ").split(" ")
-            fresh = list({p for p in parts if p not in known})
+            raw = (text or "").encode().replace(b"\n", b" ")
+            # names of special tokens are matched before case is folded
+            parts = (raw if b"<|" in raw else _TAIL.sub(b" ", raw.lower())).split(b" ")
+            known = self.known
+            fresh = [p for p in set(parts) if p not in known]
             if fresh:
-                if len(known) + len(fresh) > _REMEMBERED:
-                    known.clear()
-                    fresh = list(set(parts))
-                found = self.tokenizer.encode_batch_fast(fresh, add_special_tokens=False)
+                if len(known) + len(fresh) > REMEMBERED:
+                    self.older, self.known = known, {}
+                    known, fresh = self.known, list(set(parts))
+                older = self.older
+                known.update((p, older[p]) for p in fresh if p in older)
+                fresh = [p for p in fresh if p not in known]
+                found = self.tokenizer.encode_batch_fast([p.decode() for p in fresh], add_special_tokens=False)
                 known.update(zip(fresh, (np.array(e.ids, "<u4").tobytes() for e in found)))
             yield b"".join(map(known.__getitem__, parts))
 
 
+_encoders: dict[str, _Encoder] = {}
+
+
+def encoder(path: str) -> _Encoder:
+    """The encoder of a file, kept for the tasks that a Python worker still gets."""
+    if path not in _encoders:
+        _encoders[path] = _Encoder(path)
+    return _encoders[path]
+
+
 def _pieces(path: str, size: int, end_id: int):
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _Encoder(path)
+        known = encoder(path)
         for batch in batches:
             rows, numbers, starts, lengths, sums = [], [], [], [], []
-            for at, ids in enumerate(encoder.encode(batch["text"].to_pylist())):
+            for at, ids in enumerate(known.encode(batch["text"].to_pylist())):
                 ids += end
                 for number, start in enumerate(range(0, len(ids), 4 * size)):
                     piece = ids[start : start + 4 * size]
