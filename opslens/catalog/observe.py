@@ -112,7 +112,14 @@ def turn_durations(spark, location):
     return observe.turn_duration_percentiles(traces.spans(spark, location), AS_OF, ALL)
 
 
-@entry("turn_duration_percentiles_approx")
+@entry(
+    "turn_duration_percentiles_approx",
+    # the sketch keeps 10,000 values, more than there are turns here: then it is exact
+    f"""
+    SELECT {fix('QUANTILE_DISC(duration_ms, 0.5) / 1000.0', 1)} AS p50_s, {fix('QUANTILE_DISC(duration_ms, 0.95) / 1000.0', 1)} AS p95_s,
+           {fix('MAX(duration_ms) / 1000.0', 1)} AS max_s, COUNT(*) AS turns
+    FROM spans WHERE span_name = 'Agent'""",
+)
 def turn_durations_approx(spark, location):
     return observe.turn_duration_percentiles(traces.spans(spark, location), AS_OF, ALL, approximate=True)
 

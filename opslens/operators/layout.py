@@ -94,6 +94,7 @@ def overlap_report(tables: Mapping[str, DataFrame], key: str) -> DataFrame:
         overlap_depths(file_ranges(table, key)).agg(
             F.lit(name).alias("table_name"),
             F.count(F.lit(1)).alias("files"),
+            F.coalesce(F.sum("rows"), F.lit(0)).alias("rows"),
             F.avg("depth").alias("average_depth"),
             F.max("depth").alias("max_depth"),
         )
@@ -109,6 +110,7 @@ def scan_report(tables: Mapping[str, DataFrame], key: str, low: Any, high: Any)
         file_ranges(table, key).agg(
             F.lit(name).alias("table_name"),
             F.count(F.lit(1)).alias("files"),
+            F.coalesce(F.sum("rows"), F.lit(0)).alias("rows"),
             F.sum("bytes").alias("bytes"),
             F.count_if(hit).alias("files_read"),
             F.coalesce(F.sum(F.when(hit, F.col("bytes"))), F.lit(0)).alias("bytes_read"),

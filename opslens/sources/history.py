@@ -20,7 +20,7 @@ def query_history(spark: SparkSession, location: str) -> DataFrame:
 
 
 def history_of(events: DataFrame) -> DataFrame:
-    """Query history of an ``events`` DataFrame, batch or streaming."""
+    """Query history of an ``events`` DataFrame, batch or streaming; rows come up to an hour after the query."""
     ran = events.where((F.col("event_type") == "click") & (F.col("event_id") % 10 != 0))
     k = event_number(F.col("props"))
     return ran.select(
@@ -32,7 +32,7 @@ def history_of(events: DataFrame) -> DataFrame:
         (k % 20).alias("partitions_scanned"),
         (k % 5 + 20).alias("partitions_total"),
         (k * 10).alias("rows_produced"),
-        instant(F.col("ts")).alias("start_time"),
+        (instant(F.col("ts")) + F.make_dt_interval(mins=(k % 61).cast("int"))).alias("start_time"),
     )
 
 
