@@ -258,7 +258,7 @@ def layout_overlap_report(spark, location):
 @entry("layout_scan_report", _CLUSTERED_WINS)
 def layout_scan_report(spark, location):
     low, high = dt.date(2000, 10, 1), dt.date(2000, 12, 31)
-    return _best(layout.scan_report(_before_and_after(spark, location), "sale_date", low, high), "bytes_read")
+    return _best(layout.scan_report(_before_and_after(spark, location), "sale_date", low, high), "files_read")
 
 
 def _lookup(name: str, sql: str, table: str, columns: tuple[str, ...]) -> None:
