@@ -113,8 +113,8 @@ class RetailTables:
 
     def _lines(self, first: dt.date | None, last: dt.date | None) -> DataFrame:
         lines = self._read("lineitem")
-        lines = lines.where(F.col("l_shipdate") >= wall_time(first)) if first else lines
-        return lines.where(F.col("l_shipdate") < wall_time(last + dt.timedelta(days=1))) if last else lines
+        lines = lines.where(F.col("l_shipdate") < wall_time(last + dt.timedelta(days=1))) if last else lines
+        return lines.where(F.col("l_shipdate") >= wall_time(first)) if first else lines
 
     @staticmethod
     def _sale_id() -> Column:
