@@ -2,18 +2,18 @@
 
 Documents are sets of five-word shingles.  Documents with one and the same set are one node from the start.
 A node of a search tree is a path of chosen minwise tokens: at every node each of the ``SLOTS`` minhash
-slots is chosen with probability 1 / (threshold * SLOTS) by a hash of the path, and a document goes to one
-child per chosen slot, named by the minimum it has there.  Two documents at the threshold so expect one common
-child; ``trees`` independent roots bring the chance of never meeting below one in ten thousand.
-
-At each level, a node with more than one document is handled in two passes:
-
-* all its documents are compared with its smallest one, found links are joined into components, and a node
-  whose documents are all in one component is finished (a huge group of near copies ends here);
-* a small node compares its remaining documents exhaustively, leaving out pairs already connected; a large one
-  branches.  Nodes that are still large at ``depth`` are compared in full, block against block.
-
-Signatures only reject (4.5 standard deviations below the threshold); every link is confirmed on the full
+slots is chosen with a probability of about 1 / (threshold * SLOTS) by a hash of the path, and a document goes to
+one child per chosen slot, named by the minimum it has there.  Two documents at the threshold share the child of a
+slot with that probability, and ``trees`` independent roots bring the chance of never meeting below one in a thousand.
+
+1. Under the first slots, every node compares its documents with its smallest one; the links join components.  A crowd
+   of near copies is one component after that.
+2. Nodes whose documents are all in one component are finished.  Small nodes compare documents of different
+   components exhaustively, a pair only in the first node where it meets.  Nodes that are large because of one
+   component compare all others with it.  The rest branches, and the step repeats; nodes still large at ``depth`` are
+   compared in full, block against block.
+
+Signatures only reject (four standard deviations below the threshold); every link is confirmed on the full
 shingle sets, by 64-bit codes, as 100 * intersection >= 100 * threshold * union in whole numbers.
 
 Defined cases: no word or a null text is the empty set, linked with nothing; fewer than five words make one
@@ -33,11 +33,14 @@ from opslens.llm.store import NO_ID, arrow_map, cut, release
 from opslens.llm.words import U64, Words, mix, words
 
 SHINGLE = 5
-SLOTS = 64
-TREES = 12
+SLOTS = 96
+TREES = 6
+STARS = 3
 SMALL = 1_000
+THIN = 500_000
 BLOCK = 250
 DEPTH = 10
+DEVIATIONS = 4.0
 _HIGH = U64(32)
 _GENERATOR = np.random.Generator(np.random.PCG64(77))
 _TIMES = _GENERATOR.integers(1, 2**63, SLOTS, dtype=np.uint64) * U64(2) + U64(1)
@@ -85,33 +88,54 @@ def _digest(rows: pa.Table) -> pa.Table:
     )
 
 
-def _children(threshold: float, trees: int):
-    """Child nodes of (node, id, sig); without a node, the roots' children."""
-    limit = U64(int(2**64 / (threshold * SLOTS)))
+def root_slots(threshold: float, trees: int) -> np.ndarray:
+    """The slots chosen at the roots, each once."""
     roots = mix(np.arange(1, trees + 1, dtype=np.uint64) * U64(0xD1B54A32D192ED03))
+    draw = mix(roots[:, None] ^ _SALT[None, :])
+    chosen = draw < U64(int(2**64 / (threshold * SLOTS)))
+    chosen[np.arange(trees), draw.argmin(axis=1)] = True
+    return np.array(list(dict.fromkeys(np.nonzero(chosen)[1].tolist())))
+
+
+def _roots(slots: np.ndarray):
+    """The roots' children of (id, sig); k is the place of the slot."""
 
     def run(rows: pa.Table) -> pa.Table:
-        n = rows.num_rows
-        sigs = np.frombuffer(b"".join(rows["sig"].to_pylist()), "<u4").reshape(n, SLOTS).astype(U64)
-        if "node" in rows.column_names:
-            at, nodes = np.arange(n), rows["node"].to_numpy().astype(np.int64).view(U64)
-        else:
-            at, nodes = np.repeat(np.arange(n), trees), np.tile(roots, n)
+        sigs = _sigs(rows["sig"]).astype(U64)[:, slots]
+        child = mix(mix(_SALT[slots])[None, :] + sigs)
+        at = pa.array(np.repeat(np.arange(len(sigs)), len(slots)))
+        k = np.tile(np.arange(len(slots), dtype=np.int32), len(sigs))
+        return pa.table({"node": pa.array(child.reshape(-1).view(np.int64)), "k": k, "id": rows["id"].take(at)})
+
+    return arrow_map(run)
+
+
+def _branches(threshold: float):
+    """The children of (node, id, sig).  A slot of several roots is one node, so each node draws for two."""
+    limit = U64(int(2**64 * 2 / (threshold * SLOTS)))
+
+    def run(rows: pa.Table) -> pa.Table:
+        sigs, nodes = _sigs(rows["sig"]).astype(U64), rows["node"].to_numpy().astype(np.int64).view(U64)
         draw = mix(nodes[:, None] ^ _SALT[None, :])
         chosen = draw < limit
         chosen[np.arange(len(nodes)), draw.argmin(axis=1)] = True
         row, slot = np.nonzero(chosen)
-        child = mix(mix(nodes[row] + _SALT[slot]) + sigs[at[row], slot])
-        return pa.table({"node": pa.array(child.view(np.int64)), "id": rows["id"].take(pa.array(at[row]))})
+        child = mix(mix(nodes[row] + _SALT[slot]) + sigs[row, slot])
+        none = np.full(len(row), -1, np.int32)
+        return pa.table({"node": pa.array(child.view(np.int64)), "k": none, "id": rows["id"].take(pa.array(row))})
 
     return arrow_map(run)
 
 
+def _floor(threshold: float) -> float:
+    """The share of equal slots below which a pair is taken to be under the threshold."""
+    return threshold - DEVIATIONS * (threshold * (1 - threshold) / SLOTS) ** 0.5
+
+
 def _alike(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray, threshold: float) -> np.ndarray:
     """Pairs that may reach the threshold, by sizes and signatures."""
-    floor = threshold - 4.5 * (threshold * (1 - threshold) / SLOTS) ** 0.5
     sizes = np.minimum(na, nb) >= threshold * np.maximum(na, nb) - 1e-9
-    return sizes & ((a == b).mean(axis=-1) >= floor)
+    return sizes & ((a == b).mean(axis=-1) >= _floor(threshold))
 
 
 def _pairs(
@@ -122,8 +146,7 @@ def _pairs(
     same = np.zeros((len(sig), len(others)), np.uint8)
     for slot in range(SLOTS):
         same += low[:, slot, None] == other_low[None, :, slot]
-    floor = threshold - 4.5 * (threshold * (1 - threshold) / SLOTS) ** 0.5
-    one, two = np.nonzero(apart & (same >= floor * SLOTS - 1e-9))
+    one, two = np.nonzero(apart & (same >= _floor(threshold) * SLOTS - 1e-9))
     if not len(one):
         return one, two
     keep = [_alike(sig[one[s : s + 50_000]], others[two[s : s + 50_000]], n[one[s : s + 50_000]], on[two[s : s + 50_000]], threshold) for s in range(0, len(one), 50_000)]
@@ -143,8 +166,11 @@ def _star_filter(threshold: float):
     return arrow_map(run)
 
 
-def _block_filter(threshold: float):
-    """Pairs of one bounded block, or of two; each row holds the members of a block as lists."""
+def _block_filter(threshold: float, slots: np.ndarray):
+    """Pairs of one bounded block, or of two; each row holds the members of a block as lists.
+
+    A pair that already meets under an earlier slot is left to that node.
+    """
 
     def side(row: dict, name: str):
         members = row[name]
@@ -159,6 +185,10 @@ def _block_filter(threshold: float):
             oids, olabel, on, osig = side(row, "others") if row.get("others") else (ids, label, n, sig)
             apart = label[:, None] != olabel[None, :]
             one, two = _pairs(sig, osig, n, on, apart if row.get("others") else np.triu(apart), threshold)
+            if (row.get("k") or 0) > 0 and len(one):
+                before = slots[: row["k"]]
+                new = ~(sig[np.ix_(np.arange(len(sig)), before)][one] == osig[np.ix_(np.arange(len(osig)), before)][two]).any(axis=1)
+                one, two = one[new], two[new]
             left.append(ids[one])
             right.append(oids[two])
         a, b = np.concatenate(left), np.concatenate(right)
@@ -180,7 +210,7 @@ def _confirm(percent: int):
 
 
 class _Search:
-    """State of one search: candidate texts and signatures, and the confirmed links so far."""
+    """Candidate texts and signatures of one search, and the links confirmed so far."""
 
     def __init__(self, known: DataFrame, texts: DataFrame, percent: int):
         self.known, self.texts, self.percent, self.links = known, texts, percent, None
@@ -193,53 +223,71 @@ class _Search:
         found = cut(checked.mapInArrow(_confirm(self.percent), "a long, b long"), "links")
         self.links = found if self.links is None else self.links.unionAll(found)
 
-    def labelled(self, members: DataFrame) -> DataFrame:
-        """Members with n, sig and the component known so far."""
-        labels = components(self.links).withColumnsRenamed({"component": "label"})
-        out = members.join(self.known, "id").join(labels, "id", "left")
-        return out.withColumn("label", F.coalesce("label", "id"))
+
+def _lists(rows: DataFrame, name: str, *by: str) -> DataFrame:
+    return rows.groupBy(*by).agg(F.collect_list(F.struct("id", "label", "n", "sig")).alias(name))
 
 
-def _pairs_of_blocks(big: DataFrame, sizes: DataFrame, threshold: float) -> DataFrame:
-    """All pairs of large nodes, block against block of about BLOCK documents each."""
+def _blocks(rows: DataFrame) -> DataFrame:
+    """The members of large nodes in blocks of about BLOCK documents."""
     blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    dealt = big.join(sizes, "node").withColumn("block", F.pmod(F.xxhash64("id", "node"), blocks))
-    mine = dealt.groupBy("node", "block", "size").agg(F.collect_list(F.struct("id", "label", "n", "sig")).alias("members"))
-    one = mine.select("node", "block", "members", F.explode(F.sequence("block", blocks - 1)).alias("other"))
+    dealt = rows.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("id", "node"), F.col("blocks")).cast("int"))
+    return _lists(dealt, "members", "node", "block", "blocks")
+
+
+def _thin_pairs(rows: DataFrame) -> DataFrame:
+    """Blocks of nodes that are large because of one component, each with the node's documents outside of it."""
+    others = _lists(rows.where(F.col("label") != F.col("major")), "others", "node")
+    return _blocks(rows).join(others, "node").select("members", "others", F.lit(-1).alias("k"))
+
+
+def _all_pairs_of_blocks(rows: DataFrame) -> DataFrame:
+    """Every two blocks of a large node, and each by itself."""
+    mine = _blocks(rows)
+    one = mine.select("node", "block", "members", F.explode(F.sequence("block", F.col("blocks") - 1)).alias("other"))
     two = mine.select("node", F.col("block").alias("other"), F.col("members").alias("others"))
-    met = one.join(two, ["node", "other"]).withColumn("others", F.when(F.col("block") != F.col("other"), F.col("others")))
-    return met.select("members", "others").mapInArrow(_block_filter(threshold), "a long, b long")
+    others = F.when(F.col("block") != F.col("other"), F.col("others"))
+    return one.join(two, ["node", "other"]).select("members", others.alias("others"), F.lit(-1).alias("k"))
 
 
-def _level(search: _Search, members: DataFrame, threshold: float, last: bool) -> DataFrame | None:
-    """Handle the nodes of one level; returns the members of nodes that have to branch."""
-    sizes = members.groupBy("node").agg(F.min("id").alias("pivot"))
-    # a pair that shares many nodes is looked at once
-    near = members.join(sizes, "node").where("id <> pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct()
-    known = search.known
-    one = known.select(F.col("id").alias("a"), F.col("n").alias("pn"), F.col("sig").alias("psig"))
-    two = known.select(F.col("id").alias("b"), "n", "sig")
+def _stars(search: _Search, members: DataFrame, threshold: float) -> DataFrame:
+    """Confirm the pairs of each node's documents with its smallest; returns the components they make."""
+    pivots = members.groupBy("node").agg(F.min("id").alias("pivot"))
+    # a pair that shares several nodes is looked at once
+    near = members.join(pivots, "node").where("id <> pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct()
+    one = search.known.select(F.col("id").alias("a"), F.col("n").alias("pn"), F.col("sig").alias("psig"))
+    two = search.known.select(F.col("id").alias("b"), "n", "sig")
     star = near.join(two, "b").join(one, "a").select("a", "b", "pn", "n", "psig", "sig")
     search.confirm(star.mapInArrow(_star_filter(threshold), "a long, b long"))
+    return components(search.links).withColumnsRenamed({"component": "label"})
 
-    labelled = cut(search.labelled(members), "labelled")
-    open_nodes = labelled.groupBy("node").agg(F.count(F.lit(1)).alias("size"), F.min("label").alias("low"), F.max("label").alias("high"))
-    open_nodes = cut(open_nodes.where("low <> high").select("node", "size"), "open")
-    small = open_nodes.where(F.col("size") <= SMALL)
-    lists = labelled.join(small, "node").groupBy("node").agg(F.collect_list(F.struct("id", "label", "n", "sig")).alias("members"))
-    pairs = lists.select("members").mapInArrow(_block_filter(threshold), "a long, b long")
-    large = open_nodes.where(F.col("size") > SMALL)
-    more = bool(large.take(1))
-    big = labelled.join(large.select("node"), "node", "left_semi")
-    if more and last:
-        pairs = pairs.unionAll(_pairs_of_blocks(big, large, threshold))
-    search.confirm(pairs)
-    return big if more and not last else None
+
+def _level(search: _Search, members: DataFrame, labels: DataFrame, slots: np.ndarray, threshold: float, last: bool) -> DataFrame | None:
+    """Handle the nodes of one level; returns the members of nodes that have to branch."""
+    marked = members.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
+    counts = marked.groupBy("node", "label").agg(F.count(F.lit(1)).alias("c"))
+    nodes = counts.groupBy("node").agg(
+        F.sum("c").alias("size"), F.max_by("label", "c").alias("major"), F.sum(F.col("c").cast("double") * F.col("c")).alias("squares")
+    )
+    cross = (F.col("size").cast("double") * F.col("size") - F.col("squares")) / 2
+    kind = F.when(F.col("size") <= SMALL, "small").when(cross <= THIN, "thin").otherwise("large")
+    open_nodes = nodes.withColumn("kind", kind).where(cross > 0).select("node", "size", "major", "kind")
+    held = cut(marked.join(open_nodes, "node").join(search.known, "id"), "open-nodes")
+
+    small = _lists(held.where("kind = 'small'"), "members", "node", "k")
+    work = small.select("members", F.lit(None).cast(small.schema["members"].dataType).alias("others"), "k")
+    kinds = {r[0] for r in held.groupBy("kind").agg(F.lit(1)).collect()}
+    if "thin" in kinds:
+        work = work.unionAll(_thin_pairs(held.where("kind = 'thin'")))
+    large = held.where("kind = 'large'") if "large" in kinds else None
+    if large is not None and last:
+        work = work.unionAll(_all_pairs_of_blocks(large))
+    search.confirm(work.mapInArrow(_block_filter(threshold, slots), "a long, b long"))
+    return None if last else large
 
 
 def _shared(children: DataFrame) -> DataFrame:
-    """(node, id) of nodes that at least two documents share; stored."""
-    children = children.distinct()
+    """(node, k, id) of nodes that at least two documents share; stored."""
     several = children.groupBy("node").agg(F.count(F.lit(1)).alias("size")).where("size > 1").select("node")
     return cut(children.join(several, "node", "left_semi"), "nodes")
 
@@ -255,29 +303,32 @@ def near_duplicates(docs: DataFrame, percent: int = 85, trees: int = TREES, dept
 
     same = ["n_shingles", "k1", "k2"]
     full = digests.where("n_shingles > 0")
-    known = full.groupBy(*same).agg(F.min("doc_id").alias("id"), F.first("sig").alias("sig"))
-    known = cut(known.select("id", F.col("n_shingles").alias("n"), "sig", *same), "classes")
     # a repeated id may stand for several sets: each is searched under the set's own number
-    twice = full.select("doc_id", *same).distinct().groupBy("doc_id").agg(F.count(F.lit(1)).alias("sets")).where("sets > 1")
-    if twice.take(1):
-        return _with_repeated_ids(docs, held, percent, trees, depth)
+    sets = full.groupBy("doc_id").agg(*[f(c).alias(f"{n}_{c}") for n, f in (("low", F.min), ("high", F.max)) for c in ("k1", "k2")])
+    if sets.where("low_k1 <> high_k1 or low_k2 <> high_k2").take(1):
+        return _with_repeated_ids(held, percent, trees, depth)
+    known = full.groupBy(*same).agg(F.min("doc_id").alias("id"), F.first("sig").alias("sig"))
+    known = cut(known.select("id", F.col("n_shingles").alias("n"), "sig", "k1", "k2"), "classes")
 
-    members = _shared(known.select("id", "sig").mapInArrow(_children(threshold, trees), "node long, id long"))
+    slots = root_slots(threshold, trees)
+    members = _shared(known.select("id", "sig").mapInArrow(_roots(slots), "node long, k int, id long"))
     release(spark)
     met = members.select("id").distinct()
     inked = held.where(F.col("text").rlike(r"[^\x20\x09-\x0D]")).withColumnRenamed("doc_id", "id")
     texts = cut(inked.join(met, "id", "left_semi").dropDuplicates(["id"]), "candidates")
-    search = _Search(known.select("id", "n", "sig"), texts, percent)
     release(spark)
+    search = _Search(known.select("id", "n", "sig"), texts, percent)
+    labels = _stars(search, members.where(F.col("k") < STARS), threshold)
     for level in range(1, depth + 1):
-        big = _level(search, members, threshold, level == depth)
-        if big is None:
+        large = _level(search, members, labels, slots, threshold, level == depth)
+        if large is None:
             break
-        members = _shared(big.select("node", "id", "sig").mapInArrow(_children(threshold, trees), "node long, id long"))
+        members = _shared(large.select("node", "id", "sig").mapInArrow(_branches(threshold), "node long, k int, id long"))
+    release(spark)
 
     joined = components(search.links)
-    labels = known.join(joined, "id", "left").select(*same, F.coalesce("component", "id").alias("component_id"))
-    out = digests.select("doc_id", *same).join(labels, same, "left")
+    labelled = known.join(joined, "id", "left").select(F.col("n").alias("n_shingles"), "k1", "k2", F.coalesce("component", "id").alias("component_id"))
+    out = digests.select("doc_id", *same).join(labelled, same, "left")
     component = F.coalesce("component_id", "doc_id")
     return out.select(
         _real("doc_id").alias("doc_id"), "n_shingles", _real(component).alias("component_id"), (F.col("doc_id") == component).alias("kept")
@@ -288,7 +339,7 @@ def _real(column: Column | str) -> Column:
     return F.nullif(F.col(column) if isinstance(column, str) else column, F.lit(NO_ID))
 
 
-def _with_repeated_ids(docs: DataFrame, held: DataFrame, percent: int, trees: int, depth: int) -> DataFrame:
+def _with_repeated_ids(held: DataFrame, percent: int, trees: int, depth: int) -> DataFrame:
     """The same for a table whose ids repeat with other texts: rows get numbers, rows of an id are one document."""
     numbered = cut(held.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text"), "numbered")
     by_row = cut(near_duplicates(numbered.select(F.col("row").alias("doc_id"), "text"), percent, trees, depth), "by-row")

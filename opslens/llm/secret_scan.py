@@ -27,7 +27,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from opslens.llm.store import arrow_map, cut, table  # noqa: F401
+from opslens.llm.store import arrow_map, cut, slices
 from opslens.llm.words import flat, runs
 
 MIN_LENGTH = 16
@@ -58,7 +58,7 @@ _KIND[[*range(48, 58)]], _KIND[[*range(65, 91)]], _KIND[[*range(97, 123)]] = 0,
 def _letter_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Pairs of neighbouring characters by class, summed over a task."""
     sums = np.zeros(28 * 28, np.int64)
-    for batch in batches:
+    for batch in (piece for whole in batches for piece in slices(whole)):
         data, _ = flat(batch["text"])
         kinds = _CLASS[data]
         sums += np.bincount(kinds[:-1] * 28 + kinds[1:], minlength=784) if len(kinds) > 1 else 0

@@ -14,6 +14,7 @@ from opslens.sources.sinks import work_folder
 
 #: Stands for a missing document id inside the operators: larger than every real one.
 NO_ID = 2**63 - 1
+SLICE_BYTES = 4 << 20
 
 
 def table(spark: SparkSession, location: str, name: str) -> DataFrame:
@@ -53,15 +54,21 @@ def parts_for(size: int, each: int) -> int:
     return max(1, -(-size // each))
 
 
+def slices(batch: pa.RecordBatch, size: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """A batch in pieces of about ``size`` bytes, so that working arrays stay small; a longer row is a piece of its own."""
+    rows = max(1, int(batch.num_rows * size / max(1, batch.nbytes)))
+    for at in range(0, batch.num_rows, rows):
+        yield batch.slice(at, rows)
+
+
 def arrow_map(function: Callable[[pa.Table], pa.Table | Iterable[pa.Table] | None]) -> Callable:
     """``mapInArrow`` form of a function from one batch to tables."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            made = function(pa.Table.from_batches([batch]))
-            for one in [made] if isinstance(made, pa.Table) else made or ():
-                yield from one.combine_chunks().to_batches()
+            for piece in slices(batch):
+                made = function(pa.Table.from_batches([piece]))
+                for one in [made] if isinstance(made, pa.Table) else made or ():
+                    yield from one.combine_chunks().to_batches()
 
     return run

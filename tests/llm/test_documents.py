@@ -56,7 +56,8 @@ def test_a_chain_of_near_copies_and_a_crowded_node(docs_of, monkeypatch):
     import opslens.llm.minhash as minhash
 
     monkeypatch.setattr(minhash, "SMALL", 6)
-    monkeypatch.setattr(minhash, "BLOCK", 6)  # most nodes are large: branching and block pairs are used
+    monkeypatch.setattr(minhash, "BLOCK", 6)
+    monkeypatch.setattr(minhash, "THIN", 40)  # most nodes are large: branching and block pairs are used
     rnd = random.Random(3)
     words = [f"w{k}" for k in range(120)]
     rows = []
