@@ -32,7 +32,7 @@ from opslens.llm.store import NO_ID, cut, parts_for, release, text_bytes
 from opslens.llm.words import U64, Words, gather, spread, steps, unsteps, words
 
 WINDOW = 13
-GROUP_BYTES = 16 << 20
+GROUP_BYTES = 10 << 20
 _FINE = U64(40)
 _MASK = U64((1 << 40) - 1)
 
