@@ -9,7 +9,7 @@ slot with that probability, and ``trees`` independent roots bring the chance of
 1. Under the first slots, every node compares its documents with its smallest one; the links join components.  A crowd
    of near copies is one component after that.
 2. Nodes whose documents are all in one component are finished.  Small nodes compare documents of different
-   components exhaustively, a pair only in the first node where it meets.  Nodes that are large because of one
+   components exhaustively, a pair only in the first node compared whole where it meets.  Nodes that are large because of one
    component compare all others with it.  The rest branches, and the step repeats; nodes still large at ``depth`` are
    compared in full, block against block.
 
@@ -169,7 +169,7 @@ def _star_filter(threshold: float):
 def _block_filter(threshold: float, slots: np.ndarray):
     """Pairs of one bounded block, or of two; each row holds the members of a block as lists.
 
-    A pair that already meets under an earlier slot is left to that node.
+    A pair that already meets under an earlier slot is left to that node, unless the node is ``wide``: those branch.
     """
 
     def side(row: dict, name: str):
@@ -177,6 +177,13 @@ def _block_filter(threshold: float, slots: np.ndarray):
         ids, label = np.array([m["id"] for m in members]), np.array([m["label"] for m in members])
         return ids, label, np.array([m["n"] for m in members]), np.frombuffer(b"".join(m["sig"] for m in members), "<u4").reshape(-1, SLOTS)
 
+    def whole(members: list[dict]) -> np.ndarray:
+        """By member and slot: whether its node is compared whole."""
+        out = np.ones((len(members), len(slots)), bool)
+        for at, m in enumerate(members):
+            out[at, m["wide"] or []] = False
+        return out
+
     def run(rows: pa.Table):
         left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for at in range(rows.num_rows):
@@ -187,7 +194,8 @@ def _block_filter(threshold: float, slots: np.ndarray):
             one, two = _pairs(sig, osig, n, on, apart if row.get("others") else np.triu(apart), threshold)
             if (row.get("k") or 0) > 0 and len(one):
                 before = slots[: row["k"]]
-                new = ~(sig[np.ix_(np.arange(len(sig)), before)][one] == osig[np.ix_(np.arange(len(osig)), before)][two]).any(axis=1)
+                met = sig[np.ix_(np.arange(len(sig)), before)][one] == osig[np.ix_(np.arange(len(osig)), before)][two]
+                new = ~(met & whole(row["members"])[:, : row["k"]][one]).any(axis=1)
                 one, two = one[new], two[new]
             left.append(ids[one])
             right.append(oids[two])
@@ -225,7 +233,7 @@ class _Search:
 
 
 def _lists(rows: DataFrame, name: str, *by: str) -> DataFrame:
-    return rows.groupBy(*by).agg(F.collect_list(F.struct("id", "label", "n", "sig")).alias(name))
+    return rows.groupBy(*by).agg(F.collect_list(F.struct("id", "label", "n", "sig", "wide")).alias(name))
 
 
 def _blocks(rows: DataFrame) -> DataFrame:
@@ -273,10 +281,14 @@ def _level(search: _Search, members: DataFrame, labels: DataFrame, slots: np.nda
     kind = F.when(F.col("size") <= SMALL, "small").when(cross <= THIN, "thin").otherwise("large")
     open_nodes = nodes.withColumn("kind", kind).where(cross > 0).select("node", "size", "major", "kind")
     held = cut(marked.join(open_nodes, "node").join(search.known, "id"), "open-nodes")
+    kinds = {r[0] for r in held.groupBy("kind").agg(F.lit(1)).collect()}
+    # the slots under which a document is in a node that branches
+    wide = held.where("kind = 'large' and k >= 0").groupBy("id").agg(F.collect_set("k").alias("wide")) if "large" in kinds else None
+    held = held.withColumn("wide", F.lit(None).cast("array<int>"))
 
-    small = _lists(held.where("kind = 'small'"), "members", "node", "k")
+    small = held.where("kind = 'small'")
+    small = _lists(small.drop("wide").join(wide, "id", "left") if wide is not None else small, "members", "node", "k")
     work = small.select("members", F.lit(None).cast(small.schema["members"].dataType).alias("others"), "k")
-    kinds = {r[0] for r in held.groupBy("kind").agg(F.lit(1)).collect()}
     if "thin" in kinds:
         work = work.unionAll(_thin_pairs(held.where("kind = 'thin'")))
     large = held.where("kind = 'large'") if "large" in kinds else None

@@ -71,6 +71,23 @@ def test_a_chain_of_near_copies_and_a_crowded_node(docs_of, monkeypatch):
         assert got == brute.groups(rows, 85)
 
 
+def test_pairs_beside_a_crowded_node_are_found(docs_of, monkeypatch):
+    import opslens.llm.minhash as minhash
+
+    monkeypatch.setattr(minhash, "SMALL", 8)
+    monkeypatch.setattr(minhash, "THIN", 0)  # the nodes of the passage branch, those of a pair alone are small
+    rnd = random.Random(4)
+    passage = " ".join(f"p{k}" for k in range(40))
+    rows = []
+    for k in range(160):
+        words = [f"d{k}w{j}" for j in range(60)]
+        edited = list(words)
+        edited[rnd.randrange(10, 50)] = "changed"
+        rows += [(2 * k, f"{passage} {' '.join(words)}"), (2 * k + 1, f"{passage} {' '.join(edited)}")]
+    got = {r["doc_id"]: r["component_id"] for r in near_duplicates(docs_of(rows), percent=85, depth=2).collect()}
+    assert got == brute.groups(rows, 85)
+
+
 def test_packing_pieces_and_places(docs_of, odd_texts):
     from tokenizers import Tokenizer
 
