@@ -113,7 +113,7 @@ def features(value: bytes, before: bytes, after: bytes, given: np.ndarray, dicti
         float(-(share * np.log2(share)).sum()),
         float(given[classes[:-1], classes[1:]].mean()) if len(raw) > 1 else 0.0,
         float((_KIND[raw][1:] != _KIND[raw][:-1]).mean()) if len(raw) > 1 else 0.0,
-        _covered(value[:512], dictionary) if len(value) > 512 else _covered(value, dictionary),
+        _covered(value, dictionary),
         float(bool(CREDENTIAL.search(near))), float(bool(OTHER_CODE.search(near))),
         float(bool(re.search(rb"[:=]\s*[\"']?$", before))), float(before[-1:] in (b'"', b"'") and after[:1] in (b'"', b"'")),
         float(b"/" in value or before[-1:] in (b"/", b"\\")), float(b"@" in after[:1] + before[-1:] or b"://" in before[-12:] or after[:1] == b"."),

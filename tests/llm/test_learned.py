@@ -1,10 +1,11 @@
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from opslens.llm.html_text import align, blocks, extract_text, fold, main_text
-from opslens.llm.secret_scan import PLACEHOLDER, candidates, mask_secrets, secret_findings
+from opslens.llm.secret_scan import _NAMES, PLACEHOLDER, candidates, features, mask_secrets, secret_findings, weak_label
 from opslens.llm.toxicity import held_out, toxicity
 
 
@@ -94,6 +95,12 @@ def test_secrets_are_told_from_other_codes(docs_of, secrets):
     assert all(v not in after[k] and PLACEHOLDER in after[k] for k, v in truth.items())
 
 
+def test_dictionary_coverage_is_that_of_the_whole_value():
+    value = b"river/" * 100 + b"X7" * 600
+    x = dict(zip(_NAMES, features(value, b"", b"", np.zeros((28, 28)), {b"river"})))
+    assert x["dictionary"] == 500 / len(value)
+
+
 def test_no_documents_have_no_secrets(docs_of):
     assert secret_findings(docs_of([(1, "x")]).where(F.lit(False))).collect() == []
 
