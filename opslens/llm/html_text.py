@@ -7,7 +7,7 @@ has become optional, and texts that differ turn from constants into text slots.
 reads, host by host, and partial wrappers are aligned with each other in rounds of bounded fan-in, so a host with
 a third of all pages is many small tasks.
 
-The wrapper says which texts are the host's template and, where pages have no ``article`` or ``main``, which
+The wrapper says which texts outside of ``article`` and ``main`` are the host's template and, where pages have no ``article`` or ``main``, which
 container holds the slots that vary.  Names of elements, classes and ids rule out menus, headers, footers, sidebars,
 notices, adverts, forms and reader comments.
 
@@ -305,7 +305,8 @@ def main_text(page: str, rule: dict) -> str:
         inside = [b for b in stream if (b.path + "/").startswith(rule["container"] + "/")]
         stream = inside or stream
     fixed = {tuple(f) for f in rule.get("fixed", ())}
-    kept = [b for b in stream if not (fixed and (b.path, crc32(b.text.encode())) in fixed)]
+    # what an article repeats on every page is its own
+    kept = [b for b in stream if b.role >= 2 or not (fixed and (b.path, crc32(b.text.encode())) in fixed)]
     # lists of nothing but links are menus
     kept = [b for b in kept if not (best < 2 and b.linked >= 0.9 * len(b.text) and b.path.rsplit("/", 1)[-1].startswith("li"))]
     return "\n".join(b.text for b in kept)

@@ -143,3 +143,10 @@ def test_template_texts_and_containers_come_from_the_host(spark):
     assert {k: text[k] for k in expected} == expected
     assert text[100] == text[101] == "" and text[None] == "no id" and len(text[102]) == 249_999
     assert extract_text(frame.where(F.lit(False))).collect() == []
+
+
+def test_constant_texts_inside_articles_stay(spark):
+    page = lambda k: f"<body><article><h2>References</h2><p>text number {k} of this host</p></article>"
+    rows = [(k, f"https://one.example/{k}", page(k), "x", "y", "z") for k in range(8)]
+    got = {r["page_id"]: r["text"] for r in extract_text(spark.createDataFrame(rows, PAGES)).collect()}
+    assert got == {k: f"References\ntext number {k} of this host" for k in range(8)}
