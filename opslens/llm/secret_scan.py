@@ -42,7 +42,11 @@ FORMATS = re.compile(
 CREDENTIAL = re.compile(rb"token|secret|api[_ -]?key|passw(or)?d|passwd|pwd|auth|bearer|private[_ -]?key|credential|access[_ -]?key|signature")
 OTHER_CODE = re.compile(rb"sha-?\d*|md5|commit|checksum|digest|etag|uuid|guid|revision|version|isbn|order|invoice|phone|card|iban|hash")
 ASSIGNED = re.compile(rb"(?i)(?:token|secret|api[_-]?key|passw(?:or)?d|passwd|pwd|access[_-]?key)[\"']?\s*[:=]\s*[\"']([^\"'\s]{6,})[\"']")
-HEADER = re.compile(rb"-----BEGIN [A-Z ]*PRIVATE KEY-----(?:[A-Za-z0-9+/=\s]{0,8192}?-----END [A-Z ]*PRIVATE KEY-----)?")
+BEGIN = re.compile(rb"-----BEGIN [A-Z ]*PRIVATE KEY-----")
+END = re.compile(rb"-----END [A-Z ]*PRIVATE KEY-----")
+# header lines, one blank line and lines of base64 after a BEGIN line that has no END line
+_BREAK = rb"[ \t]*(?:\r?\n|\\r\\n|\\n)[ \t]*"
+BODY = re.compile(rb"(?:%b[A-Z][A-Za-z0-9-]*:[^\r\n\\]*)*(?:%b(?=%b))?(?:(?:%b|[ \t]+(?=[A-Za-z0-9+/]{40}))[A-Za-z0-9+/]+={0,2}(?=\s|\\|\Z))*" % ((_BREAK,) * 4))
 _NAMES = ("length", "digits", "upper", "lower", "symbols", "hexadecimal", "entropy", "transitions", "switches", "dictionary", "credential", "other_code", "assigned", "quoted", "path", "address", "format")
 _OUTSIDE = np.ones(256, bool)
 _OUTSIDE[[*b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/=_-"]] = False
@@ -133,6 +137,19 @@ def weak_label(x: list[float]) -> int:
     return 0 if not f["credential"] and not f["assigned"] and f["entropy"] < 3 else -1
 
 
+def private_keys(text: bytes) -> list[tuple[int, int]]:
+    """Keys from BEGIN to END, whatever is between; without an END of its own, to the end of the base64 lines."""
+    begins, ends, out = list(BEGIN.finditer(text)), [m.end() for m in END.finditer(text)], []
+    at = 0
+    for k, m in enumerate(begins):
+        while at < len(ends) and ends[at] <= m.end():
+            at += 1
+        following = begins[k + 1].start() if k + 1 < len(begins) else len(text) + 1
+        own = at < len(ends) and ends[at] <= following
+        out.append((m.start(), ends[at] if own else BODY.match(text, m.end()).end()))
+    return out
+
+
 def candidates(text: bytes) -> list[tuple[int, int]]:
     """Byte ranges of all candidates of one text; ranges that overlap are joined."""
     data = np.frombuffer(text, np.uint8)
@@ -144,7 +161,7 @@ def candidates(text: bytes) -> list[tuple[int, int]]:
         digits = np.concatenate([[0], np.cumsum(_KIND[data] == 0)]) if len(starts) else np.zeros(1, int)
         found = [(int(s), int(e)) for s, e in zip(starts, ends) if digits[e] > digits[s]]
         found += [m.span(1) for m in ASSIGNED.finditer(text)] if b"=" in text or b":" in text else []
-        found += [m.span() for m in HEADER.finditer(text)] if b"-----BEGIN" in text else []
+        found += private_keys(text) if b"-----BEGIN" in text else []
     out: list[tuple[int, int]] = []
     for s, e in sorted(found):
         if out and s < out[-1][1]:

@@ -101,6 +101,18 @@ def test_dictionary_coverage_is_that_of_the_whole_value():
     assert x["dictionary"] == 500 / len(value)
 
 
+def test_private_keys_are_found_whole():
+    lines = "\n".join("MIIEb64+/" + "x9" * 27 for _ in range(200))
+    head = "Proc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,0A1B\n\n"
+    for kind, body in (("RSA ", lines), ("", head + lines), ("EC ", "one : odd - line")):
+        key = f"-----BEGIN {kind}PRIVATE KEY-----\n{body}\n-----END {kind}PRIVATE KEY-----"
+        text = f"before {key} after".encode()
+        assert [text[s:e].decode() for s, e in candidates(text)] == [key]
+    cut_off = f"-----BEGIN PRIVATE KEY-----\n{head}{lines}"
+    text = f"{cut_off}\n\nThe text goes on.".encode()
+    assert [text[s:e].decode() for s, e in candidates(text)] == [cut_off]
+
+
 def test_no_documents_have_no_secrets(docs_of):
     assert secret_findings(docs_of([(1, "x")]).where(F.lit(False))).collect() == []
 
