@@ -1,7 +1,7 @@
 """Secret scans: broad candidates, then a random forest that removes false positives.
 
-Candidates are runs of at least ``MIN_LENGTH`` characters A-Z a-z 0-9 + / = _ - with a digit, private-key
-headers, and quoted values of six and more characters assigned to a credential's name.  Features of a
+Candidates are runs of at least ``MIN_LENGTH`` characters A-Z a-z 0-9 + / = _ - with a digit, private keys, public
+formats of credentials, and values of six and more characters assigned to a credential's name, quoted or not.  Features of a
 candidate: its length and characters, character transitions under the corpus's own letter statistics, the part
 covered by frequent corpus words, and what stands around it (credential names, names of hashes and ids, an
 assignment, quotes, a path or address).  Letter statistics and the dictionary are counted over all documents.
@@ -41,7 +41,16 @@ FORMATS = re.compile(
 )
 CREDENTIAL = re.compile(rb"token|secret|api[_ -]?key|passw(or)?d|passwd|pwd|auth|bearer|private[_ -]?key|credential|access[_ -]?key|signature")
 OTHER_CODE = re.compile(rb"sha-?\d*|md5|commit|checksum|digest|etag|uuid|guid|revision|version|isbn|order|invoice|phone|card|iban|hash")
-ASSIGNED = re.compile(rb"(?i)(?:token|secret|api[_-]?key|passw(?:or)?d|passwd|pwd|access[_-]?key)[\"']?\s*[:=]\s*[\"']([^\"'\s]{6,})[\"']")
+FORMAT = re.compile(
+    rb"(?<![A-Za-z0-9])(?:AKIA[0-9A-Z]{16}(?![0-9A-Za-z])|gh[pousr]_[A-Za-z0-9]{36}(?![0-9A-Za-z])|xox[abprs]-[A-Za-z0-9-]{10,}|sk_(?:live|test)_[A-Za-z0-9]{16,}|"
+    rb"AIza[0-9A-Za-z_-]{35}(?![0-9A-Za-z_-])|eyJ[A-Za-z0-9_-]{10,}|glpat-[A-Za-z0-9_-]{20}(?![0-9A-Za-z_-]))"
+)
+HINT = re.compile(rb"(?i)token|secret|key|passw|pwd|auth|bearer|credential|signature|AKIA|gh[pousr]_|xox|sk_|AIza|eyJ|glpat-")
+ASSIGNED = re.compile(
+    rb"(?i)(?:(?:token|secret|api[ _-]?key|passw(?:or)?d|passwd|pwd|auth|authorization|bearer|private[ _-]?key|credentials?|access[ _-]?key|signature)[\"']?"
+    rb"\s*[:=]\s*(?:(?:bearer|basic|token)\s+)?|bearer\s+)"
+    rb"(?:\"([^\"\r\n]{6,})\"|'([^'\r\n]{6,})'|[\"']?((?:(?!&[\w.-]+=)[^\s\"'<>])+))"
+)
 BEGIN = re.compile(rb"-----BEGIN [A-Z ]*PRIVATE KEY-----")
 END = re.compile(rb"-----END [A-Z ]*PRIVATE KEY-----")
 # header lines, one blank line and lines of base64 after a BEGIN line that has no END line
@@ -119,9 +128,9 @@ def features(value: bytes, before: bytes, after: bytes, given: np.ndarray, dicti
         float((_KIND[raw][1:] != _KIND[raw][:-1]).mean()) if len(raw) > 1 else 0.0,
         _covered(value, dictionary),
         float(bool(CREDENTIAL.search(near))), float(bool(OTHER_CODE.search(near))),
-        float(bool(re.search(rb"[:=]\s*[\"']?$", before))), float(before[-1:] in (b'"', b"'") and after[:1] in (b'"', b"'")),
+        float(bool(re.search(rb"(?i)(?:[:=]|\bbearer)\s*[\"']?$", before))), float(before[-1:] in (b'"', b"'") and after[:1] in (b'"', b"'")),
         float(b"/" in value or before[-1:] in (b"/", b"\\")), float(b"@" in after[:1] + before[-1:] or b"://" in before[-12:] or after[:1] == b"."),
-        float(bool(FORMATS.match(value))),
+        float(bool(FORMATS.match(value) or FORMAT.search(value))),
     ]
 
 
@@ -132,7 +141,7 @@ def weak_label(x: list[float]) -> int:
         return 1
     if f["other_code"] or f["address"] or f["digits"] == 1.0 or f["dictionary"] > 0.6:
         return 0
-    if f["credential"] and f["assigned"] and (f["entropy"] > 2.5 or f["quoted"]):
+    if f["credential"] and f["assigned"] and (f["entropy"] > 2.5 and f["digits"] or f["quoted"]):
         return 1
     return 0 if not f["credential"] and not f["assigned"] and f["entropy"] < 3 else -1
 
@@ -150,25 +159,44 @@ def private_keys(text: bytes) -> list[tuple[int, int]]:
     return out
 
 
+def _values(text: bytes) -> Iterator[tuple[int, int]]:
+    """Values after a credential's name; those without quotes end before closing punctuation."""
+    for m in ASSIGNED.finditer(text):
+        start, end = m.span(m.lastindex)
+        if m.lastindex == 3:
+            end = start + len(m[3].rstrip(b".,;:)]}"))
+        if end - start >= 6:
+            yield start, end
+
+
 def candidates(text: bytes) -> list[tuple[int, int]]:
-    """Byte ranges of all candidates of one text; ranges that overlap are joined."""
+    """Byte ranges of all candidates of one text.
+
+    Keys, formats and assigned values that overlap are joined; runs are what these leave of them.
+    """
     data = np.frombuffer(text, np.uint8)
-    found = []
-    if len(data):
-        starts, ends = runs(data, np.array([0, len(data)]), _OUTSIDE)
-        long = ends - starts >= MIN_LENGTH
-        starts, ends = starts[long], ends[long]
-        digits = np.concatenate([[0], np.cumsum(_KIND[data] == 0)]) if len(starts) else np.zeros(1, int)
-        found = [(int(s), int(e)) for s, e in zip(starts, ends) if digits[e] > digits[s]]
-        found += [m.span(1) for m in ASSIGNED.finditer(text)] if b"=" in text or b":" in text else []
-        found += private_keys(text) if b"-----BEGIN" in text else []
-    out: list[tuple[int, int]] = []
+    if not len(data):
+        return []
+    starts, ends = runs(data, np.array([0, len(data)]), _OUTSIDE)
+    found = list(_values(text))
+    found += private_keys(text) if b"-----BEGIN" in text else []
+    for m in FORMAT.finditer(text):  # to the end of its run
+        found.append((m.start(), max(m.end(), int(ends[np.searchsorted(ends, m.end())]))))
+    sure: list[tuple[int, int]] = []
     for s, e in sorted(found):
-        if out and s < out[-1][1]:
-            out[-1] = (out[-1][0], max(e, out[-1][1]))
+        if sure and s < sure[-1][1]:
+            sure[-1] = (sure[-1][0], max(e, sure[-1][1]))
         else:
-            out.append((s, e))
-    return out
+            sure.append((s, e))
+    if sure:
+        rest = data.copy()
+        for s, e in sure:
+            rest[s:e] = ord(" ")
+        starts, ends = runs(rest, np.array([0, len(rest)]), _OUTSIDE)
+    long = ends - starts >= MIN_LENGTH
+    starts, ends = starts[long], ends[long]
+    digits = np.concatenate([[0], np.cumsum(_KIND[data] == 0)]) if len(starts) else np.zeros(1, int)
+    return sorted(sure + [(int(s), int(e)) for s, e in zip(starts, ends) if digits[e] > digits[s]])
 
 
 def _scan(given: np.ndarray, dictionary: set[bytes]):
@@ -181,22 +209,22 @@ def _scan(given: np.ndarray, dictionary: set[bytes]):
         hot = starts[(ends - starts >= MIN_LENGTH) & (digits[ends] > digits[starts])]
         look = np.zeros(rows.num_rows, bool)
         look[np.searchsorted(borders, hot, "right") - 1] = True
-        quotes = np.flatnonzero((data == 34) | (data == 39))
-        assigns = np.concatenate([[0], np.cumsum((data == 61) | (data == 58) | (data == 45))])
-        quoted = np.unique(np.searchsorted(borders, quotes, "right") - 1)
-        look[quoted[assigns[borders[quoted + 1]] > assigns[borders[quoted]]]] = True
+        for m in HINT.finditer(data.tobytes()):
+            look[np.searchsorted(borders, [m.start(), m.end() - 1], "right") - 1] = True
         dashes = np.flatnonzero((data[:-2] == 45) & (data[1:-1] == 45) & (data[2:] == 45)) if len(data) > 2 else np.zeros(0, int)
         look[np.unique(np.searchsorted(borders, dashes, "right") - 1)] = True
         for at in np.flatnonzero(look).tolist():
             text = data[borders[at] : borders[at + 1]].tobytes()
+            done = chars = 0
             for s, e in candidates(text):
+                chars, done = chars + len(text[done:s].decode(errors="ignore")), s
                 x = features(text[s:e], text[max(0, s - 40) : s], text[e : e + 8], given, dictionary)
                 made["row"].append(at)
-                made["start"].append(len(text[:s].decode(errors="ignore")))
+                made["start"].append(chars)
                 made["length"].append(len(text[s:e].decode(errors="ignore")))
                 made["value"].append(text[s:e].decode(errors="ignore"))
                 made["x"].append(x)
-                made["label"].append(weak_label(x))
+                made["label"].append(-1 if b" " in text[s:e] and not x[-1] else weak_label(x))
         kinds = (pa.int64(), pa.int64(), pa.string(), pa.list_(pa.float64()), pa.int32())
         columns = {k: pa.array(made[k], t) for k, t in zip(("start", "length", "value", "x", "label"), kinds)}
         return pa.table({k: rows[k].take(pa.array(made["row"], pa.int64())) for k in ("doc_id", "key")} | columns)
