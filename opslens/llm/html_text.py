@@ -36,8 +36,11 @@ FAN_IN = 64
 SALTS = 16
 # fixed values: elements of HTML by their effect on text
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript textarea title iframe template svg math object canvas select".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr img br".split())
+RAW = frozenset("script style noscript textarea title iframe template svg object canvas select annotation annotation-xml".split())
+INLINE = frozenset(
+    "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr img br "
+    "math semantics mi mo mn ms mtext mrow msup msub msubsup mfrac msqrt mroot mspace mover munder munderover mtable mtr mtd mstyle mpadded mphantom menclose".split()
+)
 CLOSES = {  # a start tag ends an open element of these names, up to the boundary elements
     "li": (("li",), ("ul", "ol", "menu")), "dt": (("dt", "dd"), ("dl",)), "dd": (("dt", "dd"), ("dl",)),
     "tr": (("tr", "td", "th"), ("table",)), "td": (("td", "th"), ("tr", "table")), "th": (("td", "th"), ("tr", "table")), "option": (("option",), ("select",)),
@@ -50,6 +53,9 @@ SIDE_NAMES = frozenset(
     "search form copyright legal disclaimer skip tags toolbar byline-social paywall".split()
 )
 MAIN_NAMES = frozenset("content article post entry story main maincontent articlebody postbody entrycontent maintext text bodytext".split())
+# marks that a page's layout may put around everything, and names that say which parts a layout has
+LAYOUT = frozenset("form fieldset header sidebar aside rail widget modal overlay dialog paywall search".split())
+_HAS = re.compile(r"(?:has|no|not|with|without)[-_]")
 _TAG = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(?P<cdata>.*?)(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
     r"|<(?P<end>/?)(?P<name>[a-zA-Z][a-zA-Z0-9:-]*)(?:(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|(?P<rest>[^>]*)(?:>|\Z))",
@@ -66,10 +72,12 @@ class Block:
     linked: int
     side: bool
     role: int  # 3 inside article, 2 inside main, 1 inside an element named like content, else 0
+    marks: tuple = ()  # open elements with a side mark, as (number, whether a layout may have it)
+    boxes: tuple = ()  # open elements with a role of their own, as (number, role)
 
 
 class _Open:
-    __slots__ = ("name", "path", "side", "role", "own")
+    __slots__ = ("name", "path", "side", "role", "own", "layout", "mine")
 
     def __init__(self, name: str, attrs: str, above: _Open | None):
         self.name = name
@@ -82,12 +90,19 @@ class _Open:
                 main |= kind.lower() == "role" and value.lower() == "main"
         label = ".".join([name, *sorted(set(_DIGITS.sub("0", n) for n in names))])
         self.path = f"{above.path}/{label}" if above else label
-        parts = {p for n in names for p in (n, *re.split(r"[-_]+", n))}
+        told = [n for n in names if not _HAS.match(n)]
+        parts = {p for n in told for p in (n, *re.split(r"[-_]+", n))}
         inner = above is not None and above.role >= 2
+        for n in told:  # the header of an article is part of it
+            pieces = set(re.split(r"[-_]+", n))
+            if "header" in pieces and (inner or pieces & MAIN_NAMES):
+                parts -= {"header", n}
         side = name in SIDE_TAGS or name == "header" and not inner or bool(parts & SIDE_NAMES and not (name in ("html", "body", "article", "main") and not parts & {"comment", "comments"}))
         self.own = side
         self.side = side or above is not None and above.side
+        self.layout = side and (name in LAYOUT or name not in SIDE_TAGS and not (parts & SIDE_NAMES) - LAYOUT)
         mine = 3 if name == "article" else 2 if name == "main" or main else 1 if {n.replace("-", "").replace("_", "") for n in names} & MAIN_NAMES or parts & MAIN_NAMES else 0
+        self.mine = 0 if mine == 1 and name in ("html", "body") else mine
         self.role = max(mine, above.role if above else 0)
 
 
@@ -111,7 +126,9 @@ def blocks(page: str) -> list[Block]:
     open_: list[_Open] = []
     text: list[str] = []
     where: _Open | None = None
-    linked = links = 0
+    around: tuple[tuple, tuple] = (), ()
+    numbers: list[int] = []  # of the open elements
+    linked = links = opened = 0
 
     def flush() -> None:
         nonlocal linked
@@ -119,16 +136,18 @@ def blocks(page: str) -> list[Block]:
             whole = " ".join("".join(text).split())
             text.clear()
             if whole:
-                out.append(Block(where.path if where else "", whole, linked, where.side if where else False, where.role if where else 0))
+                out.append(Block(where.path if where else "", whole, linked, where.side if where else False, where.role if where else 0, *around))
         linked = 0
 
     def say(piece: str) -> None:
-        nonlocal where, linked
+        nonlocal where, around, linked
         if piece:
             piece = html.unescape(piece) if "&" in piece else piece
             if not text or not where:
-                holder = next((o for o in reversed(open_) if o.name not in INLINE or o.own), None)
-                where = holder
+                at = next((k for k in range(len(open_) - 1, -1, -1) if open_[k].name not in INLINE or open_[k].own), -1)
+                where = open_[at] if at >= 0 else None
+                outer = [(n, o) for n, o in zip(numbers, open_[: at + 1]) if o.own or o.mine]
+                around = tuple((n, o.layout) for n, o in outer if o.own), tuple((n, o.mine) for n, o in outer if o.mine)
             text.append(piece)
             if links:
                 linked += len(piece.strip())
@@ -184,6 +203,9 @@ def blocks(page: str) -> list[Block]:
                 elif open_[depth].name in bounds or not ends and open_[depth].name not in INLINE:
                     break
         if not attrs.endswith("/") or name in INLINE:
+            del numbers[len(open_) :]
+            opened += 1
+            numbers.append(opened)
             open_.append(_opened(name, attrs, open_[-1] if open_ else None))
             links += name == "a"
             if name in INLINE and open_[-1].own:
@@ -295,12 +317,43 @@ def rules(pages: int, wrapper: list[Token]) -> dict:
     return {"fixed": fixed if varying >= 0.5 * total else [], "container": max(deep, key=lambda p: p.count("/"), default="")}
 
 
+def _unmarked(page: list[Block]) -> list[Block]:
+    """Blocks without a side mark.  A layout's mark around nearly all text says nothing, if no container is outside of it."""
+    open_ = [b for b in page if all(layout for _, layout in b.marks)]
+    size, covered = sum(len(b.text) for b in open_), {}
+    for b in open_:
+        for number, _ in b.marks:
+            covered[number] = covered.get(number, 0) + len(b.text)
+    if any(b.boxes for b in open_ if not b.marks):
+        covered = {}
+    lifted = {n for n, chars in covered.items() if chars >= 0.9 * size}
+    # menus are no text to fall back on
+    if sum(b.linked for b in open_ if b.marks) > 0.5 * size:
+        lifted = set()
+    return [b for b in open_ if all(n in lifted for n, _ in b.marks)]
+
+
+def _contained(stream: list[Block]) -> list[Block]:
+    """The blocks of the outermost containers of the kind with most text."""
+    chars: dict[tuple, int] = {}
+    for b in stream:
+        if b.boxes:
+            chars[b.boxes[0]] = chars.get(b.boxes[0], 0) + len(b.text)
+    if not chars:
+        return stream
+    kinds: dict[int, int] = {}
+    for (_, role), n in chars.items():
+        kinds[role] = kinds.get(role, 0) + n
+    best = max(kinds, key=lambda role: (kinds[role], role))
+    return [b for b in stream if b.boxes and b.boxes[0][1] == best]
+
+
 def main_text(page: str, rule: dict) -> str:
     """Blocks of the article, one per line."""
-    stream = [b for b in blocks(page) if not b.side]
+    stream = _unmarked(blocks(page))
     best = max((b.role for b in stream), default=0)
     if best:
-        stream = [b for b in stream if b.role == best]
+        stream = _contained(stream)
     elif rule.get("container"):
         inside = [b for b in stream if (b.path + "/").startswith(rule["container"] + "/")]
         stream = inside or stream
@@ -308,7 +361,7 @@ def main_text(page: str, rule: dict) -> str:
     # what an article repeats on every page is its own
     kept = [b for b in stream if b.role >= 2 or not (fixed and (b.path, crc32(b.text.encode())) in fixed)]
     # lists of nothing but links are menus
-    kept = [b for b in kept if not (best < 2 and b.linked >= 0.9 * len(b.text) and b.path.rsplit("/", 1)[-1].startswith("li"))]
+    kept = [b for b in kept if not (b.role < 2 and b.linked >= 0.9 * len(b.text) and b.path.rsplit("/", 1)[-1].startswith("li"))]
     return "\n".join(b.text for b in kept)
 
 

@@ -142,6 +142,26 @@ def test_pages_without_their_frame(page):
     assert main_text(page, {}) == TEXT
 
 
+@pytest.mark.parametrize("page", [
+    f"<main><h1>Top</h1><article>{ARTICLE}</article></main>",
+    f"<main><h1>Top</h1>{ARTICLE}</main><article>card</article>",
+    f"<div class=content><h1>Top</h1>{ARTICLE}</div><article>card</article>",
+    f"<div class='has-sidebar'><nav>Menu</nav><h1>Top</h1>{ARTICLE}</div>",
+    f"<div class='no-sidebar'><article><h1>Top</h1>{ARTICLE}</article><div class=sidebar>s</div></div>",
+    f"<body><form><nav>Menu</nav><h1>Top</h1>{ARTICLE}</form>",
+    f"<body><form><nav>Menu</nav><article><h1>Top</h1>{ARTICLE}</article></form>",
+    f"<article><div class='article-header'><h1>Top</h1></div>{ARTICLE}</article>",
+])
+def test_whole_articles_in_unusual_frames(page):
+    assert main_text(page, {}) == f"Top\n{TEXT}"
+
+
+def test_marks_still_hold_beside_an_article():
+    assert main_text(f"<article>{ARTICLE}</article><aside>{'long text ' * 200}</aside>", {}) == TEXT
+    assert main_text(f"<p>short</p><section id=comments><p>{'me too ' * 200}</p></section>", {}) == "short"
+    assert main_text("<article><p>so <math><mi>x</mi><mo>=</mo><mn>1</mn></math> holds</p></article>", {}) == "so x=1 holds"
+
+
 def test_wrappers_fold_repeats_and_mark_options():
     one = fold(blocks("<h1>a</h1><p>b</p><p>c</p><div>x</div>"))
     assert [(t[0], t[2]) for t in one] == [("h1", False), ("p", True), ("div", False)]
