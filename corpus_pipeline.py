@@ -31,27 +31,39 @@ def _sized(docs: DataFrame) -> DataFrame:
     return docs.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
-def _without(docs: DataFrame, ids: DataFrame, purpose: str) -> DataFrame:
-    """Documents whose id is not among the ``ids``; those are stored first, so that what led to them can be freed."""
-    gone = cut(ids.select(F.col("doc_id").alias("gone")).distinct(), purpose)
+def _numbered(docs: DataFrame) -> DataFrame:
+    """The documents with a number of each row, stored, so that rows without an id of their own can be told apart."""
+    return cut(_ready(docs).withColumn("row", F.monotonically_increasing_id()), "numbered-documents")
+
+
+def _without(docs: DataFrame, rows: DataFrame, purpose: str) -> DataFrame:
+    """Documents whose row is not among the ``rows``; those are stored first, so that what led to them can be freed."""
+    gone = cut(rows.select("row"), purpose)
     release(docs.sparkSession)
-    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("gone")), "left_anti").select(*COLUMNS)
+    return docs.join(gone, "row", "left_anti").select(*COLUMNS)
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Without the documents predicted toxic.  Rows that share an id go together, if one of them is."""
-    docs = _ready(docs)
-    return _without(docs, toxicity(docs, table(spark, sf_dir, "labels")).where("predicted = 1"), "toxic-ids")
+    """Without the documents predicted toxic, each row by its own text."""
+    docs = _numbered(docs)
+    return _without(docs, toxicity(docs, table(spark, sf_dir, "labels"), carry=("row",)).where("predicted = 1"), "toxic-rows")
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group: the one with the smallest id.  Rows that are equal in all columns count once."""
-    docs = _ready(docs)
-    found = cut(near_duplicates(docs, percent=80).select("doc_id", "kept"), "kept-ids")
-    left = _without(docs, found.where("not kept"), "duplicate-ids")
-    again = found.where("kept").groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1")
-    # whole rows are compared only where an id comes twice
-    return left.dropDuplicates() if again.take(1) else left
+    """One row of each group: the one with the smallest id, a null id being the largest.
+
+    Every row is a document of its own, whatever its id.  Rows without a word are no copies of each other, but those
+    that are equal in all columns count once.
+    """
+    docs = _numbered(docs)
+    found = near_duplicates(docs.select(F.col("row").alias("doc_id"), "text"), percent=80)
+    found = found.select(F.col("doc_id").alias("row"), "component_id", "n_shingles")
+    thin = docs.select("row", "doc_id", F.when(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(None)).otherwise(F.struct(*COLUMNS)).alias("blank"))
+    group = F.when(F.col("n_shingles") > 0, F.col("component_id"))
+    held = cut(thin.join(found, "row").select("row", "doc_id", group.alias("component"), "blank"), "near-groups")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row"))["row"]
+    kept = held.groupBy("component", "blank").agg(first.alias("row"))
+    return _without(docs, held.join(kept, "row", "left_anti"), "duplicate-rows")
 
 
 def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -65,8 +65,8 @@ def _ids(sorted_codes: np.ndarray, order: np.ndarray, codes: np.ndarray) -> np.n
     return np.where(sorted_codes[place] == codes, order[place], -1)
 
 
-def _votes(lexicon: np.ndarray, vocabulary: np.ndarray):
-    """doc_id, bits (one per voter) and the vocabulary words of each document."""
+def _votes(lexicon: np.ndarray, vocabulary: np.ndarray, carry: tuple[str, ...] = ()):
+    """doc_id, the columns to ``carry`` along, bits (one per voter) and the vocabulary words of each document."""
     lexicon_order, vocabulary_order = np.argsort(lexicon), np.argsort(vocabulary)
     second = np.sort(codes_of(SECOND_PERSON))
 
@@ -110,7 +110,7 @@ def _votes(lexicon: np.ndarray, vocabulary: np.ndarray):
         found = (pairs & ((1 << 20) - 1)).astype("<u2")
         return pa.table(
             {
-                "doc_id": rows["doc_id"],
+                **{c: rows[c] for c in ("doc_id", *carry)},
                 "bits": pa.array(bits),
                 "found": pa.array([found[a:b].tobytes() for a, b in zip(ends[:-1], ends[1:])], pa.binary()),
             }
@@ -217,7 +217,7 @@ def fit_linear(row: np.ndarray, column: np.ndarray, target: np.ndarray, votes: i
     return np.append(v[:-1] * scale, v[-1])
 
 
-def _score(model: LabelModel, weights: np.ndarray | None):
+def _score(model: LabelModel, weights: np.ndarray | None, carry: tuple[str, ...] = ()):
     def run(rows: pa.Table) -> pa.Table:
         bits = rows["bits"].to_numpy()
         if weights is None:
@@ -226,7 +226,7 @@ def _score(model: LabelModel, weights: np.ndarray | None):
             row, column = _matrix(bits, rows["found"].to_pylist(), model.voters)
             z = np.bincount(row, weights[column], len(bits)) + weights[-1]
             score = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
-        return pa.table({"doc_id": rows["doc_id"], "score": score})
+        return pa.table({c: rows[c] for c in ("doc_id", *carry)} | {"score": score})
 
     return arrow_map(run)
 
@@ -235,10 +235,11 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(True))
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
-    """doc_id, held_out, score and predicted for every document."""
+def toxicity(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, the long columns to ``carry`` along, held_out, score and predicted for every document."""
     spark = docs.sparkSession
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *carry, F.col("text").cast("string").alias("text"))
+    more = "".join(f"`{c}` long, " for c in carry)
     learnable = labels.where(F.col("toxic").isNotNull() & ~held_out(F.col("doc_id")))
     learnable = learnable.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("int").alias("toxic"))
     learnable = cut(learnable, "labels")
@@ -266,7 +267,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS)
         lexicon = np.array(list(dict.fromkeys([*learned.tolist()[:LEXICON], *seeds.tolist()]))[: LEXICON + 8], U64)
 
     voters = len(lexicon) + len(PATTERNS)
-    votes = cut(docs.mapInArrow(_votes(lexicon, vocabulary), "doc_id long, bits long, found binary"), "votes")
+    votes = cut(docs.mapInArrow(_votes(lexicon, vocabulary, carry), f"doc_id long, {more}bits long, found binary"), "votes")
     labelled = votes.join(learnable, "doc_id", "left").withColumn("label", F.coalesce("toxic", F.lit(-1)))
     patterns = cut(labelled.groupBy("bits", "label").agg(F.count(F.lit(1)).alias("rows")), "vote-patterns")
     model = fit_label_model(patterns, voters)
@@ -279,5 +280,5 @@ def toxicity(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS)
             target = model.posterior(_unpack(bits, voters), known["toxic"].to_numpy())
             row, column = _matrix(bits, [bytes(f) for f in known["found"]], voters)
             weights = fit_linear(row, column, target, voters, voters + len(vocabulary))
-    scored = votes.mapInArrow(_score(model, weights), "doc_id long, score double")
-    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+    scored = votes.mapInArrow(_score(model, weights, carry), f"doc_id long, {more}score double")
+    return scored.select("doc_id", *carry, held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))

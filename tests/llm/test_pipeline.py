@@ -70,6 +70,19 @@ def test_stages_take_effect_and_keep_the_rest(spark, corpus):
 
 
 
+def test_rows_without_an_id_of_their_own_go_alone(spark, corpus):
+    folder, rnd = corpus[0], random.Random(12)
+    clean = [prose(rnd, 40) for _ in range(4)]
+    toxic = f"{prose(rnd, 10)} idiot {prose(rnd, 10)} scum {prose(rnd, 10)} moron"
+    rows = [(None, clean[0]), (None, clean[1]), (None, toxic), (2000, clean[2]), (2000, toxic), (2001, clean[1]), (None, clean[3]), (2000, clean[3])]
+    docs = spark.createDataFrame([(i, t, "en", "own", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    left = pipeline.toxicity_stage(spark, docs.unionByName(table(spark, folder, "documents")), folder).where("source = 'own'")
+    order = lambda found: sorted(found, key=str)
+    assert order((r["doc_id"], r["text"]) for r in left.collect()) == order(r for r in rows if r[1] != toxic)
+    alone = [(None, clean[0]), (2000, clean[2]), (2001, clean[1]), (2000, clean[3])]
+    assert order((r["doc_id"], r["text"]) for r in pipeline.near_duplicate_stage(spark, left, folder).collect()) == order(alone)
+
+
 def test_the_pipeline_of_nothing(spark, corpus, tmp_path):
     folder = corpus[0]
     for name in ("documents", "labels"):
