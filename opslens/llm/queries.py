@@ -100,6 +100,34 @@ def op10_minhash_near_dedup(spark: SparkSession, location: str) -> DataFrame:
     return near_duplicates(table(spark, location, "documents"), percent=85)
 
 
+@query
+def op11_warc(spark: SparkSession, location: str) -> DataFrame:
+    """Every page as a record of an archive that is written, committed and read back."""
+    from opslens.llm.warc import read_warc, write_warc
+    from opslens.sources.sinks import work_folder
+
+    folder = work_folder(spark, "warc")
+    write_warc(table(spark, location, "pages"), folder)
+    return read_warc(spark, folder).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@query
+def op12_collocations(spark: SparkSession, location: str) -> DataFrame:
+    """The first 2000 phrases of two and three words of every language."""
+    from opslens.llm.collocations import collocations
+
+    return collocations(table(spark, location, "documents"))
+
+
+@query
+def op13_whitening(spark: SparkSession, location: str) -> DataFrame:
+    """Sixteen whitened components of every vector."""
+    from opslens.llm.whitening import whiten
+
+    out = whiten(table(spark, location, "embeddings"))
+    return out.withColumn("deviation", F.expr("try_cast(deviation as long)"))
+
+
 @query
 def op1_chat_format(spark: SparkSession, location: str) -> DataFrame:
     """Rendered turns of all maximal conversations."""
@@ -109,9 +137,9 @@ def op1_chat_format(spark: SparkSession, location: str) -> DataFrame:
 
 
 def _oracles() -> dict[str, str]:
-    from opslens.llm.chat import ORACLE
+    from opslens.llm import chat, collocations, warc
 
-    return {"op1_chat_format": ORACLE}
+    return {"op1_chat_format": chat.ORACLE, "op11_warc": warc.ORACLE, "op12_collocations": collocations.ORACLE}
 
 
 ORACLES.update(_oracles())

@@ -98,15 +98,22 @@ def runs(data: np.ndarray, borders: np.ndarray, outside: np.ndarray) -> tuple[np
     return np.flatnonzero(ink & before), np.flatnonzero(ink & after) + 1
 
 
-def words(texts: pa.ChunkedArray | pa.Array, lower: bool = False, letters: bool = False) -> Words:
-    """All words of all texts.  ``lower`` maps A-Z to a-z first; ``letters`` ends words at every ASCII non-letter."""
+def words(
+    texts: pa.ChunkedArray | pa.Array, lower: bool = False, letters: bool = False, outside: np.ndarray | None = None
+) -> Words:
+    """All words of all texts.  ``lower`` maps A-Z to a-z first; ``letters`` ends words at every ASCII non-letter.
+
+    ``outside`` names the bytes that end a word by itself, as a mask of 256.
+    """
     data, borders = flat(texts)
     if not len(data):
         zero = np.zeros(0, np.int64)
         return Words(np.zeros(0, U64), np.zeros(len(borders), np.int64), data, zero, zero)
     if lower:
         data = _LOWER[data]
-    starts, ends = runs(data, borders, _NO_LETTER if letters else _SPACE)
+    if outside is None:
+        outside = _NO_LETTER if letters else _SPACE
+    starts, ends = runs(data, borders, outside)
     codes = np.empty(len(starts), U64)
     at = 0
     while at < len(starts):  # spans of whole words, so that working memory stays small
