@@ -1,6 +1,6 @@
 """Phrase collocations by dynamic itemset counting: lengths are interleaved in cyclic scans of shards.
 
-The texts are tokenised once and dealt into ``shards``.  Step t reads shard (t - 1) mod ``shards``.  Words are counted
+The texts are dealt into ``shards``, stored one by one.  Step t reads shard (t - 1) mod ``shards``.  Words are counted
 from the first step on; a longer phrase becomes active at the end of the step in which both of its subphrases (all but the
 last word, all but the first) have reached the threshold in what was counted of them so far, and is counted in the
 ``shards`` steps after that, one full cycle, which sees every shard once.  A phrase that completes its cycle below the threshold is
@@ -10,8 +10,9 @@ Activations are kept as the step in which each of ``buckets`` hash buckets of a
 threshold: a table of fixed size that every task gets.  Two phrases in one bucket can only start the longer one early: every
 phrase still has a whole cycle of its own, so counts are exact, and a full table merely prunes nothing.
 
-Words are 64-bit codes; the dictionary of all words proves that no two of them share one, and the texts are coded anew with
-another function if two do.  A phrase is the bytes of its codes.
+Words are 64-bit codes and a phrase is the bytes of its codes.  A last scan spells the words of all candidates; it sees
+every word that has one of their codes, so it proves that no two words were taken for one, and everything is counted
+anew with another function if they were.
 
 Defined cases: A-Z is lower-cased; a null text counts as empty, a null ``lang`` as ``und``; texts without words give
 nothing; repeated rows count each time; an empty table gives no rows.
@@ -28,23 +29,26 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from opslens.llm.store import cut, parts_for, slices
+from opslens.llm.store import cut, discard, parts_for, slices, store
 from opslens.llm.words import U64, Words, mix, words
 from opslens.sources.sinks import work_folder
 
-SHARDS = 4
+SHARDS = 3
 BUCKETS = 1 << 22
 BATCH_BYTES = 8 << 20
 RANKED_A_TASK = 500_000
 NEVER = 255
+SEEDS = 8
 CODE = 8
 UNKNOWN = "und"
 _BREAK = np.zeros(256, bool)
 _BREAK[[ord(c) for c in ".,;:!?"] + list(range(0x0A, 0x0E))] = True
 _OUTSIDE = _BREAK.copy()
 _OUTSIDE[[0x20, 0x09]] = True
+LONG = 64
+_WEIGHTS = mix(np.arange(1, 257, dtype=U64) * U64(0xA24BAED4963EE407))
 _TIMES = U64(0xD6E8FEB86659FD93)
-_TOKENS = "shard int, lang string, codes binary, word string"
+_WORDS = "code binary, word string"
 _COUNTS = "lang string, key binary, bucket int, start int, c long"
 
 
@@ -60,40 +64,22 @@ def _recoded(w: Words, seed: int) -> np.ndarray:
     return out
 
 
-def _tokenised(shards: int, seed: int):
-    """Rows of ``_TOKENS``: each document's codes with a 0 between pieces, and under shard -1 the words of every code."""
+def _coded(texts: pa.Array, seed: int) -> tuple[Words, np.ndarray]:
+    """The words of the texts and their codes, none of them 0."""
+    w = words(texts, lower=True, outside=_OUTSIDE)
+    return w, np.maximum(_recoded(w, seed) if seed else w.codes, U64(1))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        turn = 0
-        for batch in batches:
-            for rows in slices(batch, BATCH_BYTES):
-                w = words(rows["text"], lower=True, outside=_OUTSIDE)
-                codes = np.maximum(_recoded(w, seed) if seed else w.codes, U64(1))
-                breaks = np.cumsum(_BREAK[w.data])[w.starts] if len(codes) else np.zeros(0, np.int64)
-                fresh = np.zeros(len(codes), bool)
-                fresh[1:] = breaks[1:] != breaks[:-1]
-                fresh[w.first[:-1][w.first[:-1] < len(codes)]] = False
-                places = np.arange(len(codes)) + np.cumsum(fresh)
-                stream = np.zeros(int(places[-1]) + 1 if len(codes) else 0, "<u8")
-                stream[places] = codes
-                ends = np.append(places, len(stream))
-                blobs = [stream[ends[a] : ends[b - 1] + 1].tobytes() for a, b in zip(w.first[:-1].tolist(), w.first[1:].tolist()) if b > a]
-                filled = np.flatnonzero(np.diff(w.first) > 0)
-                known, at = np.unique(codes, return_index=True)
-                spelled = [w.data[s:e].tobytes().decode() for s, e in zip(w.starts[at].tolist(), w.ends[at].tolist())]
-                keys = [k.tobytes() for k in known.astype("<u8")]
-                deal = (turn + np.arange(len(filled))) % shards
-                turn += len(filled)
-                yield pa.record_batch(
-                    {
-                        "shard": pa.array(np.concatenate([deal, np.full(len(keys), -1)]).astype(np.int32)),
-                        "lang": pa.array(rows["lang"].take(pa.array(filled)).to_pylist() + [None] * len(keys), pa.string()),
-                        "codes": pa.array(blobs + keys, pa.binary()),
-                        "word": pa.array([None] * len(filled) + spelled, pa.string()),
-                    }
-                )
 
-    return run
+def _stream(w: Words, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The codes of all pieces with a 0 between two of them, and the text of each place."""
+    breaks = np.cumsum(_BREAK[w.data])[w.starts]
+    text = w.document_of()
+    fresh = np.zeros(len(codes), bool)
+    fresh[1:] = (breaks[1:] != breaks[:-1]) | (text[1:] != text[:-1])
+    places = np.arange(len(codes)) + np.cumsum(fresh)
+    out, of = np.zeros(int(places[-1]) + 1, U64), np.zeros(int(places[-1]) + 1, np.int64)
+    out[places], of[places] = codes, text
+    return out, of
 
 
 def _grouped(columns: list[np.ndarray], hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -124,15 +110,15 @@ def _rows(langs: pa.Array, of: np.ndarray, keys: bytes, width: int, bucket: np.n
     )
 
 
-def _counted(rows: pa.RecordBatch, step: int, shards: int, longest: int, active: np.ndarray) -> Iterator[pa.RecordBatch]:
+def _counted(rows: pa.RecordBatch, seed: int, step: int, shards: int, longest: int, active: np.ndarray) -> Iterator[pa.RecordBatch]:
     """Counts of the phrases of all lengths that are active in this step; key '' counts the words of a language."""
+    w, codes = _coded(rows["text"], seed)
+    if not len(codes):
+        return
     column = rows["lang"].dictionary_encode()
     langs, of_row = column.dictionary, column.indices.to_numpy()
-    blobs = rows["codes"].to_pylist()
-    codes = np.frombuffer((b"\0" * CODE).join(blobs), "<u8")
-    sizes = np.array([len(b) // CODE + 1 for b in blobs])
-    sizes[-1] -= 1
-    lang = np.repeat(of_row, sizes)
+    codes, of = _stream(w, codes)
+    lang = of_row[of]
     salt = np.array([int.from_bytes(hashlib.blake2b(s.encode(), digest_size=8).digest(), "little") for s in langs.to_pylist()], U64)
     mask = U64(active.shape[1] - 1)
     if step <= shards:
@@ -160,40 +146,26 @@ def _counted(rows: pa.RecordBatch, step: int, shards: int, longest: int, active:
         yield _rows(langs, lang[at[one]], keys, CODE * k, (hashes[at[one]] & mask).astype(np.int64), start[at[one]], counts)
 
 
-def _scan(step: int, shards: int, longest: int, active):
+def _scan(seed: int, step: int, shards: int, longest: int, active):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for rows in slices(batch, BATCH_BYTES):
                 if rows.num_rows:
-                    yield from _counted(rows, step, shards, longest, active.value)
+                    yield from _counted(rows, seed, step, shards, longest, active.value)
 
     return run
 
 
-def _coded(docs: DataFrame, shards: int) -> tuple[DataFrame, DataFrame]:
-    """The shards, and the dictionary (code, word) in which every code stands for one word."""
-    spark = docs.sparkSession
-    held = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit(UNKNOWN)).alias("lang"), F.col("text").cast("string").alias("text"))
-    for seed in range(8):
-        path = work_folder(spark, "token-shards")
-        held.mapInArrow(_tokenised(shards, seed), _TOKENS).write.partitionBy("shard").parquet(path)
-        tokens = spark.read.schema(_TOKENS).parquet(path)
-        spelled = tokens.where("shard = -1").groupBy(F.col("codes").alias("code"))
-        dictionary = cut(spelled.agg(F.min("word").alias("word"), F.max("word").alias("last")), "word-codes")
-        if not dictionary.where("word <> last").take(1):
-            return tokens.where("shard >= 0"), dictionary.select("code", "word")
-    raise RuntimeError("no hash function of eight tells all words apart")
-
-
-def phrase_counts(docs: DataFrame, longest: int = 3, least: int = 10, shards: int = SHARDS, buckets: int = BUCKETS) -> tuple[DataFrame, DataFrame]:
-    """(lang, key, c) of all phrases of up to ``longest`` words with at least ``least`` occurrences, and the dictionary.
-
-    ``key`` joins the 8-byte codes of the words; the empty key has the number of all words of the language.
+def phrase_counts(
+    spark: SparkSession, texts: DataFrame, longest: int = 3, least: int = 10, shards: int = SHARDS, buckets: int = BUCKETS, seed: int = 0
+) -> DataFrame:
+    """(lang, key, c) of all phrases of up to ``longest`` words with at least ``least`` occurrences.
+
+    ``texts``: lang, text and the number of the shard.  ``key`` joins the 8-byte codes of the words; the empty key has the number
+    of all words of the language.
     """
-    if not 1 <= shards <= 80 or longest * shards >= NEVER or buckets & (buckets - 1):
+    if shards < 1 or longest * shards >= NEVER or buckets & (buckets - 1):
         raise ValueError("shards * longest must stay below 255 and buckets be a power of two")
-    spark = docs.sparkSession
-    tokens, dictionary = _coded(docs, shards)
     active = np.full((max(1, longest - 1), buckets), NEVER, np.uint8)
     running = spark.createDataFrame([], _COUNTS)
     finished: list[DataFrame] = []
@@ -201,20 +173,22 @@ def phrase_counts(docs: DataFrame, longest: int = 3, least: int = 10, shards: in
     while step < last + shards:
         step += 1
         sent = spark.sparkContext.broadcast(active)
-        shard = tokens.where(F.col("shard") == (step - 1) % shards).select("lang", "codes")
-        fresh = shard.mapInArrow(_scan(step, shards, longest, sent), _COUNTS)
+        shard = texts.where(F.col("shard") == (step - 1) % shards).select("lang", "text")
+        fresh = shard.mapInArrow(_scan(seed, step, shards, longest, sent), _COUNTS)
         counts = running.unionAll(fresh).groupBy("lang", "key", "bucket", "start").agg(F.sum("c").alias("c"))
         done = F.col("start") + shards <= step
         kept = counts.withColumn("done", done).where(~done | (F.col("c") >= least) | (F.length("key") == 0))
         path = work_folder(spark, f"phrases-{step}")
-        kept.write.partitionBy("done").parquet(path)
+        stored = store(kept, path, "done")
         sent.destroy()
-        stored = spark.read.schema(_COUNTS + ", done boolean").parquet(path)
+        if step > 1:
+            discard(spark, f"{before}/done=false")
+        before = path
         finished.append(stored.where("done"))
         running = stored.where("not done").drop("done")
         if _activate(stored.where(F.col("c") >= least), active, step):
             last = step
-    return reduce(DataFrame.unionAll, finished).select("lang", "key", "c"), dictionary
+    return reduce(DataFrame.unionAll, finished).select("lang", "key", "c")
 
 
 def _activate(reached: DataFrame, active: np.ndarray, step: int) -> bool:
@@ -287,11 +261,65 @@ def _outside_longer(scored: DataFrame, longest: int, percent: int) -> DataFrame:
     return held.where(f"f is null or cast(f as decimal(20, 0)) * 100 < cast(a as decimal(20, 0)) * {percent}").drop("f")
 
 
-def _spelled(rows: DataFrame, dictionary: DataFrame, longest: int) -> DataFrame:
-    """The phrase of every key."""
+def _codes(rows: DataFrame, longest: int) -> DataFrame:
+    """lang, key, pos, code: the words of every key."""
     codes = F.array(*[F.when(F.length("key") > CODE * k, F.expr(f"substring(key, {CODE * k + 1}, {CODE})")) for k in range(longest)])
-    single = rows.select("lang", "key", F.posexplode(F.filter(codes, lambda x: x.isNotNull())).alias("pos", "code"))
-    named = single.join(dictionary, "code").groupBy("lang", "key").agg(F.sort_array(F.collect_list(F.struct("pos", "word"))).alias("words"))
+    return rows.select("lang", "key", F.posexplode(F.filter(codes, lambda x: x.isNotNull())).alias("pos", "code"))
+
+
+def _places(codes: np.ndarray, buckets: int) -> np.ndarray:
+    return (mix(codes) & U64(buckets - 1)).astype(np.int64)
+
+
+def _marks(buckets: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = _places(np.frombuffer(b"".join(batch["code"].to_pylist()), "<u8"), buckets)
+            bits = np.left_shift(np.int64(1), (at & 63).astype(np.int64))
+            yield pa.record_batch({"word": pa.array(at >> 6), "bits": pa.array(bits)})
+
+    return run
+
+
+def _spellings(seed: int, wanted):
+    """Each slice's words whose code has its bucket marked."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for rows in slices(batch, BATCH_BYTES):
+                w, codes = _coded(rows["text"], seed)
+                hit = np.flatnonzero(wanted.value[_places(codes, len(wanted.value))]) if len(codes) else np.zeros(0, np.int64)
+                long = w.ends[hit] - w.starts[hit] > LONG
+                sums = np.concatenate([np.zeros(1, U64), np.cumsum(_WEIGHTS[w.data], dtype=U64)])
+                short = hit[~long]
+                # short words are told apart by their code and a sum over their bytes, long ones by all of their bytes
+                one, _ = _grouped([codes[short], sums[w.ends[short]] - sums[w.starts[short]]], codes[short])
+                seen = np.concatenate([short[one], hit[long]])
+                spelled = {(int(codes[h]), w.data[w.starts[h] : w.ends[h]].tobytes()) for h in seen.tolist()}
+                keys = np.array([c for c, _ in spelled], "<u8")
+                yield pa.record_batch({"code": pa.array([k.tobytes() for k in keys], pa.binary()), "word": pa.array([s.decode() for _, s in spelled], pa.string())})
+
+    return run
+
+
+def dictionary(texts: DataFrame, counted: DataFrame, longest: int, buckets: int, seed: int) -> DataFrame | None:
+    """(code, word) of all codes in ``counted``; None if one of them stands for two words of the texts."""
+    spark = texts.sparkSession
+    needed = cut(_codes(counted, longest).select("code").distinct(), "phrase-words")
+    marks = needed.mapInArrow(_marks(buckets), "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toPandas()
+    flags = np.zeros(max(1, buckets // 64), np.int64)
+    flags[marks["word"].to_numpy(np.int64)] = marks["bits"].to_numpy(np.int64)
+    sent = spark.sparkContext.broadcast(np.unpackbits(flags.view(np.uint8), bitorder="little")[:buckets].astype(bool))
+    spelled = texts.select("text").mapInArrow(_spellings(seed, sent), _WORDS)
+    both = spelled.join(needed, "code").groupBy("code").agg(F.min("word").alias("word"), F.max("word").alias("last"))
+    held = cut(both, "word-codes")
+    sent.destroy()
+    return None if held.where("word <> last").take(1) else held.select("code", "word")
+
+
+def _spelled(rows: DataFrame, known: DataFrame, longest: int) -> DataFrame:
+    """The phrase of every key."""
+    named = _codes(rows, longest).join(known, "code").groupBy("lang", "key").agg(F.sort_array(F.collect_list(F.struct("pos", "word"))).alias("words"))
     return rows.join(named.select("lang", "key", F.concat_ws(" ", F.col("words.word")).alias("phrase")), ["lang", "key"])
 
 
@@ -303,9 +331,20 @@ def collocations(
     ``docs``: columns text and lang.  ``a`` counts the phrase, ``l`` and ``r`` the parts of its weakest cut, ``n`` all words of the
     language; the score is floor(1000000 * a * a / (l * r)), in exact decimals.
     """
-    found, dictionary = phrase_counts(docs, longest, least, shards, buckets)
-    scored = cut(_scored(found, longest), "scored-phrases")
-    named = cut(_spelled(_outside_longer(scored, longest, inside_percent), dictionary, longest).drop("key"), "named-phrases")
+    spark = docs.sparkSession
+    held = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit(UNKNOWN)).alias("lang"), F.col("text").cast("string").alias("text")).where("text is not null")
+    path = work_folder(spark, "text-shards")
+    texts = store(held.withColumn("shard", F.pmod(F.monotonically_increasing_id(), F.lit(shards)).cast("int")), path, "shard")
+    for seed in range(SEEDS):
+        found = phrase_counts(spark, texts, longest, least, shards, buckets, seed)
+        scored = cut(_scored(found, longest), "scored-phrases")
+        known = dictionary(texts, scored, longest, buckets, seed)
+        if known is not None:
+            break
+    else:
+        raise RuntimeError(f"no hash function of {SEEDS} tells all words apart")
+    discard(spark, path)
+    named = cut(_spelled(_outside_longer(scored, longest, inside_percent), known, longest).drop("key"), "named-phrases")
     # ranked in parts of a bounded size first, so that no language is one task
     order = [F.col("score").desc(), F.col("a").desc(), F.col("phrase").asc()]
     salt = F.pmod(F.xxhash64("phrase"), F.lit(parts_for(named.count(), RANKED_A_TASK)))

@@ -15,6 +15,7 @@ from opslens.sources.sinks import work_folder
 #: Stands for a missing document id inside the operators: larger than every real one.
 NO_ID = 2**63 - 1
 SLICE_BYTES = 4 << 20
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def table(spark: SparkSession, location: str, name: str) -> DataFrame:
@@ -22,11 +23,28 @@ def table(spark: SparkSession, location: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{location.rstrip('/')}/{name}.parquet")
 
 
+def store(rows: DataFrame, path: str, *by: str) -> DataFrame:
+    """Write the rows to a new folder and read them back; the write's shuffle files go when it is done."""
+    spark = rows.sparkSession
+    before = spark.conf.get(_CLEAN)
+    spark.conf.set(_CLEAN, "true")
+    try:
+        (rows.write.partitionBy(*by) if by else rows.write).parquet(path)
+    finally:
+        spark.conf.set(_CLEAN, before)
+    return spark.read.schema(rows.schema).parquet(path)
+
+
 def cut(rows: DataFrame, purpose: str) -> DataFrame:
     """Write the rows to the shared folder and read them back: lineage ends there, lost executors cost nothing."""
-    path = work_folder(rows.sparkSession, purpose)
-    rows.write.parquet(path)
-    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+    return store(rows, work_folder(rows.sparkSession, purpose))
+
+
+def discard(spark: SparkSession, *paths: str) -> None:
+    """Delete intermediate tables that no later step reads."""
+    for path in paths:
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def release(spark: SparkSession) -> None:

@@ -1,12 +1,14 @@
 """WARC archives: a deterministic sharded writer with a two-step commit, and a reader that proves what it reads.
 
-1. Pages get their place in one total order (page id, payload, row) by a range sort of thin rows; running byte counts
-   cut that order into shards, so shards depend on the rows alone, not on partitions or samples.
+1. Pages get their place in one total order (page id, payload, url) by a range sort of thin rows, which hold hashes for payloads;
+   running byte counts cut that order into shards, so shards depend on the rows alone, not on partitions or samples.
 2. Of equal payloads of at least ``revisit_from`` bytes the last page in that order (largest page id) is the response and the others
    are revisits of it; they carry no payload.
-3. One task writes a shard in order, one gzip member a record, and rolls to the next file when the compressed size reaches
+3. Payloads travel once: to the shard of the last row with their page id and content, found among the shards' first keys (at most
+   ``MOST_SHARDS``); copies that meet in one map task go once.  There the thin rows meet them in order.
+4. One task writes a shard in order, one gzip member a record, and rolls to the next file when the compressed size reaches
    ``file_bytes``.  Headers, lengths and digests are made anew for every record.
-4. Files are written below a name of their own attempt.  Only the attempts whose tasks succeeded are named in the manifest;
+5. Files are written below a name of their own attempt.  Only the attempts whose tasks succeeded are named in the manifest;
    its tasks move those files to their final names, which may be repeated safely, and its success mark is the commit.
    Readers follow the manifest, so files of lost or repeated attempts are never seen.
 
@@ -24,6 +26,7 @@ import hashlib
 import re
 import uuid
 import zlib
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,16 +36,18 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from opslens.llm.store import cut, parts_for, total
+from opslens.llm.store import NO_ID, cut, parts_for, total
 
-SHARD_BYTES = 256 << 20
-FILE_BYTES = 64 << 20
+SHARD_BYTES = 64 << 20
+FILE_BYTES = 16 << 20
 MOST_SHARDS = 1 << 16
 ROWS_A_RANGE = 500_000
+REMEMBERED = 200_000
 CHUNK = 1 << 20
 DATE = "1970-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _UNSAFE = re.compile(r"[\x00-\x20\x7f]")
+_THIN = "page_id long, url string, content binary, sha1 binary, size long"
 _FILES = "shard long, seq int, temporary string, name string, records long, bytes long, sha1 string"
 
 
@@ -66,27 +71,57 @@ def _ordered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch(held)
 
 
-def _planned(numbered: DataFrame, revisit_from: int, shard_bytes: int) -> tuple[DataFrame, int]:
-    """row, shard, position and, for revisits, the page and position they refer to; and the number of shards."""
-    thin = numbered.select("row", "page_id", "content", "size")
-    key = [F.col("page_id").asc_nulls_last(), F.col("content"), F.col("row")]
-    parts = parts_for(numbered.count(), ROWS_A_RANGE)
+def _planned(thin: DataFrame, revisit_from: int, shard_bytes: int) -> tuple[DataFrame, list[tuple], int]:
+    """The thin rows with shard, position and, for revisits, the page and position they refer to; the shards' first keys; their number."""
+    key = [F.col("page_id").asc_nulls_last(), F.col("content"), F.col("url"), F.col("row")]
+    parts = parts_for(thin.count(), ROWS_A_RANGE)
     ranged = thin.repartitionByRange(parts, *key).sortWithinPartitions(*key)
-    placed = cut(ranged.mapInArrow(_ordered, "row long, page_id long, content string, size long, part int, place long, before long"), "page-order")
+    placed = cut(ranged.mapInArrow(_ordered, _THIN + ", row long, part int, place long, before long"), "page-order")
     # one row a range, so the running totals are of a bounded size
     sums = sorted(tuple(r) for r in placed.groupBy("part").agg(F.count(F.lit(1)), F.sum("size")).collect())
     rows, sizes = np.cumsum([0] + [s[1] for s in sums]), np.cumsum([0] + [s[2] for s in sums])
-    shift = {s[0]: (int(r), int(b)) for s, r, b in zip(sums, rows, sizes)}
     shard_bytes = max(shard_bytes, -(-int(sizes[-1]) // MOST_SHARDS))
-    offsets = numbered.sparkSession.createDataFrame([(p, *o) for p, o in shift.items()], "part int, rows long, bytes long")
-    shard = F.floor((F.col("bytes") + F.col("before")) / shard_bytes).cast("long")
-    where = placed.join(offsets, "part").select("row", "page_id", "content", "size", shard.alias("shard"), (F.col("rows") + F.col("place")).alias("position"))
+    shifts = [(s[0], int(r), int(b)) for s, r, b in zip(sums, rows, sizes)]
+    offsets = thin.sparkSession.createDataFrame(shifts, "part int, rows long, bytes long")
+    shard = F.floor((F.col("bytes") + F.col("before")) / shard_bytes).cast("long").alias("shard")
+    place = (F.col("rows") + F.col("place")).alias("position")
+    where = placed.join(offsets, "part").select("page_id", "url", "content", "sha1", "size", shard, place)
+    first = F.min(F.struct(F.coalesce("page_id", F.lit(NO_ID)).alias("page"), "content"))
+    firsts = sorted((r[1][0], bytes(r[1][1]), r[0]) for r in where.groupBy("shard").agg(first).collect())
     last = where.where(F.col("size") >= revisit_from).groupBy("content").agg(F.max(F.struct("position", "page_id")).alias("last"), F.count(F.lit(1)).alias("copies"))
     # only contents with copies are joined back; adaptive execution splits a content that fills a partition
     shared = last.where("copies > 1").select("content", "last")
-    revisits = (F.col("last").isNotNull()) & (F.col("last.position") != F.col("position"))
+    revisits = F.col("last").isNotNull() & (F.col("last.position") != F.col("position"))
     target = F.when(revisits, F.col("last.position")).alias("to_position"), F.when(revisits, F.col("last.page_id")).alias("to_page")
-    return cut(where.join(shared, "content", "left").select("row", "shard", "position", *target), "archive-plan"), parts_for(int(sizes[-1]), shard_bytes)
+    planned = where.join(shared, "content", "left").select("shard", "page_id", "content", F.col("position"), "url", "sha1", "size", *target)
+    return planned, firsts, parts_for(int(sizes[-1]), shard_bytes)
+
+
+def _sent(firsts: list[tuple], revisit_from: int):
+    """(shard, page_id, content, html) of payloads for the shards that write them, without the copies this task has sent already."""
+    keys, shards = [f[:2] for f in firsts], [f[2] for f in firsts]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: set[tuple] = set()
+        for batch in batches:
+            take, to = [], []
+            pages, contents, sizes = batch["page_id"].to_pylist(), batch["content"].to_pylist(), batch["size"].to_pylist()
+            for at, key in enumerate(zip([NO_ID if p is None else p for p in pages], contents)):
+                if key in known:
+                    continue
+                if len(known) >= REMEMBERED:
+                    known.clear()
+                known.add(key)
+                high = bisect_right(keys, key)
+                # payloads too small for revisits are written wherever their key lies
+                low = high - 1 if sizes[at] >= revisit_from else max(0, bisect_left(keys, key) - 1)
+                take += [at] * (high - low)
+                to += shards[low:high]
+            rows = pa.array(take, pa.int64())
+            held = {"shard": pa.array(to, pa.int64())} | {c: batch[c].take(rows) for c in ("page_id", "content", "html")}
+            yield pa.record_batch(held)
+
+    return run
 
 
 def _identity(page_id, position: int) -> str:
@@ -100,11 +135,12 @@ def _member(headers: list[tuple[str, str]], block: bytes) -> bytes:
     return packer.compress("\r\n".join(lines).encode() + block + b"\r\n\r\n") + packer.flush()
 
 
-def _record(row: dict, date: str) -> bytes:
+def _record(row: dict, html: str | None, date: str) -> bytes:
+    """A revisit for a row that refers to another one, else a response with the payload ``html``."""
     revisit = row["to_position"] is not None
-    payload = b"" if revisit else (row["html"] or "").encode()
+    payload = b"" if revisit else html.encode()
     length = row["size"] if revisit else len(payload)
-    digest = base64.b32encode(bytes.fromhex(row["sha1"])).decode() if revisit else base32_sha1(payload)
+    digest = base64.b32encode(row["sha1"]).decode() if revisit else base32_sha1(payload)
     headers = [("WARC-Type", "revisit" if revisit else "response"), ("WARC-Record-ID", _identity(row["page_id"], row["position"])), ("WARC-Date", date)]
     if row["url"] is not None:
         headers.append(("WARC-Target-URI", _UNSAFE.sub(lambda m: f"%{ord(m.group()):02X}", row["url"])))
@@ -150,16 +186,21 @@ def _schema() -> pa.Schema:
 def _shards(folder: str, file_bytes: int, date: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         files, base = pafs.FileSystem.from_uri(folder)
-        attempt, current = uuid.uuid4().hex, None
+        attempt, current, payload, html = uuid.uuid4().hex, None, None, None
         for batch in batches:
             for at in range(batch.num_rows):
                 row = batch.slice(at, 1).to_pylist()[0]
+                if row["position"] is None:  # a payload comes before the rows of its page id and content
+                    payload, html = (row["shard"], row["page_id"], row["content"]), row["html"]
+                    continue
+                if row["to_position"] is None and payload != (row["shard"], row["page_id"], row["content"]):
+                    raise RuntimeError(f"no payload for page {row['page_id']}: the pages changed while they were read")
                 if current and (current.shard != row["shard"] or current.bytes >= file_bytes):
                     seq = current.seq + 1 if current.shard == row["shard"] else 0
                     yield current.closed()
                     current = _File(files, base, attempt, row["shard"], seq, date)
                 current = current or _File(files, base, attempt, row["shard"], 0, date)
-                current.add(_record(row, date))
+                current.add(_record(row, html, date))
         if current:
             yield current.closed()
 
@@ -189,14 +230,14 @@ def write_warc(
     """Archive all ``pages`` (page_id, url, html) below the new ``folder``; returns the committed manifest, a row a file."""
     spark = pages.sparkSession
     html = F.coalesce(F.col("html").cast("string"), F.lit(""))
-    thin = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), html.alias("html"))
-    sums = thin.select("*", F.sha1("html").alias("sha1"), F.sha2("html", 256).alias("content"), F.octet_length("html").cast("long").alias("size"))
-    numbered = cut(sums.withColumn("row", F.monotonically_increasing_id()), "numbered-pages")
-    plan, shards = _planned(numbered, revisit_from, shard_bytes)
-
-    body = F.when(F.col("to_position").isNull(), F.col("html")).alias("html")
-    records = numbered.join(plan, "row").select("shard", "position", "page_id", "url", body, "sha1", "size", "to_position", "to_page")
-    dealt = records.repartition(shards, "shard").sortWithinPartitions("shard", "position")
+    plain = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), html.alias("html"))
+    sums = plain.withColumn("content", F.unhex(F.sha2("html", 256))).withColumn("size", F.octet_length("html").cast("long"))
+    thin = sums.select("page_id", "url", "content", F.unhex(F.sha1("html")).alias("sha1"), "size", F.monotonically_increasing_id().alias("row"))
+    plan, firsts, shards = _planned(cut(thin, "thin-pages"), revisit_from, shard_bytes)
+
+    bodies = sums.select("page_id", "content", "html", "size").mapInArrow(_sent(firsts, revisit_from), "shard long, page_id long, content binary, html string")
+    records = plan.unionByName(bodies, allowMissingColumns=True)
+    dealt = records.repartition(shards, "shard").sortWithinPartitions("shard", F.col("page_id").asc_nulls_last(), "content", F.col("position").asc_nulls_first())
     files, base = pafs.FileSystem.from_uri(folder)
     files.create_dir(f"{base}/_temporary", recursive=True)
     written = cut(dealt.mapInArrow(_shards(folder, file_bytes, date), _FILES), "archive-files")

@@ -24,6 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -42,7 +43,7 @@ def _whole(rows: pa.Table | pa.RecordBatch) -> tuple[list[bytes | None], list[in
     """Each vector as the bytes of its whole numbers, None for one that takes no part; and the lengths."""
     column = rows["embedding"]
     column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-    lengths = np.array([n or 0 for n in pa.compute.list_value_length(column).to_pylist()], np.int64)
+    lengths = np.array([n or 0 for n in pc.list_value_length(column).to_pylist()], np.int64)
     numbers = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
     with np.errstate(over="ignore", invalid="ignore"):
         scaled = np.floor(numbers * SCALE)

@@ -67,9 +67,14 @@ def test_files_roll_by_compressed_size_and_are_plain_gzip(spark):
 
 def test_committing_twice_and_small_payloads(spark):
     frame, _ = pages(spark)
-    folder, manifest = archive(spark, frame, revisit_from=11)
+    folder, manifest = archive(spark, frame, revisit_from=11, shard_bytes=300)
     kinds = {(r["page_id"], r["record_type"]) for r in warc.read_warc(spark, folder).collect()}
     assert {(1, "response"), (2, "response"), (100, "revisit")} <= kinds
+    # copies of a short payload under one page id, which several shards share
+    short = spark.createDataFrame([(5, str(k), "0123456789", 0, 0, 0, 0) for k in range(200)], PAGES)
+    own, _ = archive(spark, short, revisit_from=11, shard_bytes=100)
+    got = warc.read_warc(spark, own, payload=True).collect()
+    assert len(got) == 200 and {(r["record_type"], r["html"]) for r in got} == {("response", "0123456789")}
     rows = manifest.withColumn("temporary", F.lit("_temporary/gone")).collect()
     batch = warc.pa.RecordBatch.from_pylist([r.asDict() for r in rows], warc._schema())
     assert list(warc._moved(folder)(iter([batch])))  # a repeated commit finds its files

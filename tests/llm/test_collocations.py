@@ -52,7 +52,7 @@ def frame(spark, texts):
     return spark.createDataFrame([(k, t, lang, "a", 1, 2) for k, (t, lang) in enumerate(texts)], DOCS)
 
 
-@pytest.mark.parametrize("settings", [{}, {"shards": 1}, {"shards": 7, "buckets": 1 << 6}, {"shards": 3, "longest": 4, "least": 5}, {"longest": 2}, {"top": 5}])
+@pytest.mark.parametrize("settings", [{}, {"shards": 1}, {"shards": 5, "buckets": 1 << 6}, {"shards": 3, "longest": 4, "least": 5}, {"longest": 2}, {"top": 5}])
 def test_collocations_equal_brute_force(spark, settings):
     texts = docs()
     expected = {k: v for k, v in settings.items() if k in ("longest", "least", "top")}
@@ -80,29 +80,44 @@ def test_longer_phrases_start_after_their_parts_and_run_one_cycle(spark, monkeyp
 
     monkeypatch.setattr(c, "_activate", watch)
     texts = [("a b c", "en")] * 40
-    found, _ = c.phrase_counts(frame(spark, texts).coalesce(1), least=10, shards=4)
+    texts = frame(spark, texts).selectExpr("lang", "text", "cast(doc_id % 4 as int) as shard")
+    found = c.phrase_counts(spark, texts, least=10, shards=4)
     assert {(len(r["key"]) // 8, r["c"]) for r in found.collect()} == {(0, 120), (1, 40), (2, 40), (3, 40)}
     # ten rows a shard: words reach the threshold in step 1, pairs in step 2; triples start in step 3 and end in step 6
     assert seen[0] == (1, [3, 0]) and seen[1] == (2, [0, 2]) and seen[-1][0] == 6
 
 
 def test_words_that_share_a_code_are_told_apart(spark, monkeypatch):
-    real = c._tokenised
-
-    def colliding(shards, seed):
-        run = real(shards, seed)
-        if seed:
-            return run
-
-        def same(batches):
-            for b in run(batches):
-                words = b["word"].to_pylist()
-                codes = [b"12345678" if w in ("w0", "w1") else k for w, k in zip(words, b["codes"].to_pylist())]
-                yield c.pa.record_batch({"shard": b["shard"], "lang": b["lang"], "codes": c.pa.array(codes, c.pa.binary()), "word": b["word"]})
-
-        return same
-
-    monkeypatch.setattr(c, "_tokenised", colliding)
+    texts = docs()[:60]
+    real = c._coded
+
+    def colliding(column, seed):
+        w, codes = real(column, seed)
+        if not seed:
+            text = [w.data[a:b].tobytes() for a, b in zip(w.starts, w.ends)]
+            codes = np.where([t in (b"w0", b"w1") for t in text], np.uint64(77), codes)
+        return w, codes
+
+    table = c.pa.array([t for t, _ in texts])
+    w, first = real(table, 0)
+    assert (real(table, 1)[1] != first).all()
+    monkeypatch.setattr(c, "_coded", colliding)
+    rows = frame(spark, texts).selectExpr("coalesce(lang, 'und') as lang", "text", "0 as shard")
+    schema, sent = c._WORDS, spark.sparkContext.broadcast(np.ones(64, bool))
+    batch = c.pa.RecordBatch.from_pylist([{"text": t} for t, _ in texts])
+    words = [(r["code"], r["word"]) for b in c._spellings(0, sent)(iter([batch])) for r in b.to_pylist()]
+    assert sorted(x for k, x in words if k == (77).to_bytes(8, "little")) == ["w0", "w1"]
+    assert len(words) == len({x for _, x in words})
+    # a code of two words asks for another function
+    both = spark.createDataFrame(words, schema)
+    monkeypatch.setattr(c, "_spellings", lambda seed, wanted: lambda batches: iter([c.pa.RecordBatch.from_pylist([{"code": k, "word": x} for k, x in words])]))
+    counted = both.selectExpr("'en' as lang", "code as key").limit(500)
+    assert c.dictionary(rows, counted, 1, 64, 0) is None
+
+
+def test_counts_with_the_other_hash_function(spark, monkeypatch):
+    real = c.dictionary
+    monkeypatch.setattr(c, "dictionary", lambda texts, counted, longest, buckets, seed: None if seed == 0 else real(texts, counted, longest, buckets, seed))
     texts = docs()[:60]
     assert sorted(map(tuple, c.collocations(frame(spark, texts)).collect())) == brute_collocations(texts)
 
