@@ -6,7 +6,7 @@ last word, all but the first) have reached the threshold in what was counted of
 ``shards`` steps after that, one full cycle, which sees every shard once.  A phrase that completes its cycle below the threshold is
 dropped, the others are final.  The scans end a cycle after the last activation.
 
-Activations are kept as the step in which each of ``buckets`` hash buckets of a length first held a phrase at the
+A count's mark is its hash bucket and the step before its first one.  Activations are kept as the step in which each of ``buckets`` hash buckets of a length first held a phrase at the
 threshold: a table of fixed size that every task gets.  Two phrases in one bucket can only start the longer one early: every
 phrase still has a whole cycle of its own, so counts are exact, and a full table merely prunes nothing.
 
@@ -33,7 +33,7 @@ from opslens.llm.store import cut, discard, parts_for, slices, store
 from opslens.llm.words import U64, Words, mix, words
 from opslens.sources.sinks import work_folder
 
-SHARDS = 3
+SHARDS = 2
 BUCKETS = 1 << 22
 BATCH_BYTES = 8 << 20
 RANKED_A_TASK = 500_000
@@ -49,7 +49,7 @@ LONG = 64
 _WEIGHTS = mix(np.arange(1, 257, dtype=U64) * U64(0xA24BAED4963EE407))
 _TIMES = U64(0xD6E8FEB86659FD93)
 _WORDS = "code binary, word string"
-_COUNTS = "lang string, key binary, bucket int, start int, c long"
+_COUNTS = "lang string, key binary, mark long, c long"
 
 
 def _recoded(w: Words, seed: int) -> np.ndarray:
@@ -103,8 +103,7 @@ def _rows(langs: pa.Array, of: np.ndarray, keys: bytes, width: int, bucket: np.n
         {
             "lang": langs.take(pa.array(of)),
             "key": fixed.cast(pa.binary()),
-            "bucket": pa.array(bucket.astype(np.int32)),
-            "start": pa.array(start.astype(np.int32)),
+            "mark": pa.array(bucket.astype(np.int64) * 256 + start),
             "c": pa.array(counts.astype(np.int64)),
         }
     )
@@ -124,7 +123,7 @@ def _counted(rows: pa.RecordBatch, seed: int, step: int, shards: int, longest: i
     if step <= shards:
         totals = np.bincount(lang[codes != 0], minlength=len(langs))
         none = np.zeros(len(langs), np.int64)
-        yield _rows(langs, np.arange(len(langs)), b"", 0, none - 1, none, totals)
+        yield _rows(langs, np.arange(len(langs)), b"", 0, none, none, totals)
     hashes, whole = mix(codes ^ salt[lang]), codes != 0
     for k in range(1, longest + 1):
         if k > 1:
@@ -175,8 +174,8 @@ def phrase_counts(
         sent = spark.sparkContext.broadcast(active)
         shard = texts.where(F.col("shard") == (step - 1) % shards).select("lang", "text")
         fresh = shard.mapInArrow(_scan(seed, step, shards, longest, sent), _COUNTS)
-        counts = running.unionAll(fresh).groupBy("lang", "key", "bucket", "start").agg(F.sum("c").alias("c"))
-        done = F.col("start") + shards <= step
+        counts = running.unionAll(fresh).groupBy("lang", "key", "mark").agg(F.sum("c").alias("c"))
+        done = F.col("mark").bitwiseAND(255) + shards <= step
         kept = counts.withColumn("done", done).where(~done | (F.col("c") >= least) | (F.length("key") == 0))
         path = work_folder(spark, f"phrases-{step}")
         stored = store(kept, path, "done")
@@ -196,8 +195,8 @@ def _activate(reached: DataFrame, active: np.ndarray, step: int) -> bool:
     level = (F.length("key") / CODE).cast("int")
     bits = (
         reached.where(level.between(1, active.shape[0]))
-        .groupBy(level.alias("level"), F.shiftright("bucket", 6).alias("word"))
-        .agg(F.bit_or(F.expr("shiftleft(1L, bucket & 63)")).alias("bits"))
+        .groupBy(level.alias("level"), F.shiftright("mark", 14).alias("word"))
+        .agg(F.bit_or(F.expr("shiftleft(1L, cast((mark >> 8) & 63 as int))")).alias("bits"))
         .where("bits is not null")
         .toPandas()
     )
@@ -305,6 +304,7 @@ def _spellings(seed: int, wanted):
 def dictionary(texts: DataFrame, counted: DataFrame, longest: int, buckets: int, seed: int) -> DataFrame | None:
     """(code, word) of all codes in ``counted``; None if one of them stands for two words of the texts."""
     spark = texts.sparkSession
+    buckets *= 4  # one bit each here
     needed = cut(_codes(counted, longest).select("code").distinct(), "phrase-words")
     marks = needed.mapInArrow(_marks(buckets), "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toPandas()
     flags = np.zeros(max(1, buckets // 64), np.int64)
