@@ -34,3 +34,15 @@ def join_dimension(facts: DataFrame, dimension: DataFrame, on: str | Sequence[st
     if stored_bytes(dimension) <= limit:
         return facts.join(F.broadcast(dimension), on, how)
     return facts.join(dimension.hint("merge") if estimated_bytes(facts) <= limit else dimension, on, how)
+
+
+def join_splitting_heavy_keys(rows: DataFrame, lookup: DataFrame, key: str, at_least: int = 100_000, most: int = 1000) -> DataFrame:
+    """Left join of stored ``rows`` with a ``lookup`` that has each key once, without a task for a key many rows share.
+
+    The up to ``most`` keys with ``at_least`` rows or more meet their lookup rows as a broadcast of no more rows than that; the
+    others are joined by shuffle.
+    """
+    counts = rows.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("_rows"))
+    heavy = F.broadcast(counts.where(F.col("_rows") >= at_least).orderBy(F.desc("_rows"), key).limit(most).select(key))
+    hot = rows.join(heavy, key, "left_semi").join(F.broadcast(lookup.join(heavy, key, "left_semi")), key, "left")
+    return hot.unionByName(rows.join(heavy, key, "left_anti").join(lookup, key, "left"))

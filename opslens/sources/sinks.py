@@ -23,6 +23,12 @@ def work_folder(spark: SparkSession, purpose: str) -> str:
     return f"{shared.rstrip('/')}/{purpose}-{uuid.uuid4().hex[:12]}"
 
 
+def delete_folder(spark: SparkSession, path: str) -> None:
+    """Delete a folder wherever Spark can write; one that is not there is no error."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def create_table_as(rows: DataFrame, path: str) -> DataFrame:
     """Replace the table at ``path`` with the rows, and read it back."""
     rows.write.mode("overwrite").parquet(path)
