@@ -114,6 +114,12 @@ def _covered(value: bytes, dictionary: set[bytes]) -> float:
     return sum(marks) / max(1, len(value))
 
 
+def _nearest(before: bytes) -> tuple[float, float]:
+    """Whether the name nearest before a value is a credential's, and whether it is that of another code."""
+    credential, other = (max((m.end() for m in names.finditer(before)), default=-1) for names in (CREDENTIAL, OTHER_CODE))
+    return float(credential >= 0 and credential >= other), float(other > credential)
+
+
 def features(value: bytes, before: bytes, after: bytes, given: np.ndarray, dictionary: set[bytes]) -> list[float]:
     raw = np.frombuffer(value, np.uint8)
     kinds = np.bincount(_KIND[raw], minlength=4) / len(raw)
@@ -127,7 +133,7 @@ def features(value: bytes, before: bytes, after: bytes, given: np.ndarray, dicti
         float(given[classes[:-1], classes[1:]].mean()) if len(raw) > 1 else 0.0,
         float((_KIND[raw][1:] != _KIND[raw][:-1]).mean()) if len(raw) > 1 else 0.0,
         _covered(value, dictionary),
-        float(bool(CREDENTIAL.search(near))), float(bool(OTHER_CODE.search(near))),
+        *_nearest(near),
         float(bool(re.search(rb"(?i)(?:[:=]|\bbearer)\s*[\"']?$", before))), float(before[-1:] in (b'"', b"'") and after[:1] in (b'"', b"'")),
         float(b"/" in value or before[-1:] in (b"/", b"\\")), float(b"@" in after[:1] + before[-1:] or b"://" in before[-12:] or after[:1] == b"."),
         float(bool(FORMATS.match(value) or FORMAT.search(value))),
@@ -139,9 +145,14 @@ def weak_label(x: list[float]) -> int:
     f = dict(zip(_NAMES, x))
     if f["format"]:
         return 1
-    if f["other_code"] or f["address"] or f["digits"] == 1.0 or f["dictionary"] > 0.6:
+    if f["other_code"] or f["address"] or f["digits"] == 1.0:
+        return 0
+    named = f["credential"] and f["assigned"]
+    if named and f["digits"] and f["entropy"] > 2.5:
+        return 1
+    if f["dictionary"] > 0.6:
         return 0
-    if f["credential"] and f["assigned"] and (f["entropy"] > 2.5 and f["digits"] or f["quoted"]):
+    if named and f["quoted"]:
         return 1
     return 0 if not f["credential"] and not f["assigned"] and f["entropy"] < 3 else -1
 

@@ -187,12 +187,23 @@ def _covered(w: Words, ids: np.ndarray, window: int, answers: pa.Table) -> np.nd
     return np.cumsum(marks)[:-1] > 0
 
 
-def _finish(window: int, columns: tuple[str, ...]):
+def _left(text: str, at: int, w: Words, low: int, spans: list[list[int]]) -> str:
+    """The text, which starts at byte ``at`` of the batch, without its spans of words and the white space after them."""
+    raw, out, place = text.encode(), [], 0
+    for first, last in spans:
+        out.append(raw[place : w.starts[low + first] - at])
+        following = low + last
+        inside = following < len(w.starts) and w.starts[following] < at + len(raw)
+        place = (w.starts[following] if inside else w.ends[following - 1]) - at
+    return b"".join([*out, raw[place:]]).decode()
+
+
+def _finish(window: int, columns: tuple[str, ...], layout: bool):
     def run(rows: pa.Table, answers: pa.Table) -> pa.Table:
         rows, w, ids = _batches(rows)
         gone = _covered(w, ids, window, answers)
         removed = np.concatenate([[0], np.cumsum(gone)])
-        kept, lost, spans = [], [], []
+        kept, lost, spans, left, at = [], [], [], [], 0
         for d, text in enumerate(rows["text"]):
             low, high = w.first[d], w.first[d + 1]
             parts = (text.as_py() or "").encode().split()
@@ -205,22 +216,28 @@ def _finish(window: int, columns: tuple[str, ...]):
             else:
                 spans.append([])
             kept.append(b" ".join(parts).decode())
+            if layout:
+                own = text.as_py()
+                left.append(_left(own, at, w, low, spans[-1]) if spans[-1] else own)
+                at += len((own or "").encode())
         out = rows.select(columns)
         out = out.append_column("n_words", pa.array(np.diff(w.first), pa.int64()))
         out = out.append_column("n_removed", pa.array(lost, pa.int64()))
         out = out.append_column("kept_text", pa.array(kept, pa.string()))
-        return out.append_column("repeats", pa.array(spans, pa.list_(pa.list_(pa.int64()))))
+        out = out.append_column("repeats", pa.array(spans, pa.list_(pa.list_(pa.int64()))))
+        return out.append_column("left_text", pa.array(left, pa.string())) if layout else out
 
     return run
 
 
 def remove_repeats(
-    docs: DataFrame, window: int = WINDOW, group_bytes: int = GROUP_BYTES, carry: tuple[str, ...] = ()
+    docs: DataFrame, window: int = WINDOW, group_bytes: int = GROUP_BYTES, carry: tuple[str, ...] = (), layout: bool = False
 ) -> DataFrame:
     """Documents without the word windows that already start in a document with a smaller id.
 
     Returns doc_id, the columns to ``carry`` along, n_words, n_removed, kept_text (kept words joined by one
-    space) and repeats: the maximal repeated stretches as [first word, word after the last].
+    space) and repeats: the maximal repeated stretches as [first word, word after the last].  With ``layout`` also left_text: the
+    text as it was, line breaks and all, without those stretches; a text that loses nothing, null included, is unchanged.
     """
     spark = docs.sparkSession
     kinds = dict(docs.dtypes)
@@ -242,8 +259,8 @@ def remove_repeats(
     release(spark)
     more = "".join(f"`c_{c}` {kinds[c]}, " for c in carry)
     out = held.groupBy("g").cogroup(smaller.groupBy("g")).applyInArrow(
-        _finish(window, ("doc_id", *(f"c_{c}" for c in carry))),
-        f"doc_id long, {more}n_words long, n_removed long, kept_text string, repeats array<array<long>>",
+        _finish(window, ("doc_id", *(f"c_{c}" for c in carry)), layout),
+        f"doc_id long, {more}n_words long, n_removed long, kept_text string, repeats array<array<long>>" + (", left_text string" if layout else ""),
     )
-    made = ("n_words", "n_removed", "kept_text", "repeats")
+    made = ("n_words", "n_removed", "kept_text", "repeats", *(["left_text"] if layout else []))
     return out.select(F.nullif("doc_id", F.lit(NO_ID)).alias("doc_id"), *[F.col(f"c_{c}").alias(c) for c in carry], *made)

@@ -123,6 +123,18 @@ def test_private_keys_are_found_whole():
     assert [text[s:e].decode() for s, e in candidates(text)] == [cut_off]
 
 
+@pytest.mark.parametrize("text, label", [
+    (b'order 17 uses api_key = "k8Jd93mXq0ZtLw5R"', 1),
+    (b'release version 2: password: "hunter2hunter2x"', 1),
+    (b'the hash of the day, secret = "k8Jd93mXq0ZtLw5R"', 1),
+    (b'the secret commit: 3f786850e387550fdab836ed7e6dc881', 0),
+])
+def test_the_nearest_name_labels_a_value(text, label):
+    given, words = np.zeros((28, 28)), {b"hunter", b"secret"}
+    found = [features(text[s:e], text[max(0, s - 40) : s], text[e : e + 40], given, words) for s, e in candidates(text)]
+    assert [weak_label(x) for x in found] == [label]
+
+
 def test_no_documents_have_no_secrets(docs_of):
     assert secret_findings(docs_of([(1, "x")]).where(F.lit(False))).collect() == []
 
