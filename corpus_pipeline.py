@@ -67,9 +67,9 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Passages that an earlier document has are cut out; a document that keeps no word stays, empty."""
-    done = remove_repeats(_ready(docs), carry=("lang", "source"))
-    return _sized(done.select("doc_id", F.col("kept_text").alias("text"), "lang", "source"))
+    """Passages that an earlier document has are cut out of the text as it is; every document stays, also one without a word left."""
+    done = remove_repeats(_ready(docs), carry=("lang", "source"), layout=True)
+    return _sized(done.select("doc_id", F.col("left_text").alias("text"), "lang", "source"))
 
 
 def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
