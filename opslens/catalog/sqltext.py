@@ -169,7 +169,7 @@ CTES: dict[str, str] = {
                    (SELECT CAST(unnest(generate_series({_A} - 729, {_A}, INTERVAL 1 DAY)) AS DATE) AS d))""",
 }
 
-_GOLDEN = pick("(k % 5)", fv.GOLDEN_QUESTIONS)
+_QUESTION = "'Question ' || (k % 5)"
 _IS_SQL = "event_type IN ('click', 'error')"
 _FAILED = f"({_IS_SQL} AND k % 3 = 0)"
 _PLANNED = "(event_type = 'view' AND k % 9 <> 0)"
@@ -189,7 +189,7 @@ CTES.update(
                'm' || event_id AS message_id, CASE WHEN k % 2 = 0 THEN 'm' || (event_id - 1) END AS parent_message_id,
                CASE WHEN user_id % 10 = 9 THEN 'OTHER_ASSISTANT' ELSE 'OPS_ASSISTANT' END AS agent_name,
                'Agent' AS agent_type, 'RETAIL' AS database_name,
-               CASE WHEN event_type = 'signup' AND k % 11 <> 0 THEN {_GOLDEN} END AS question,
+               CASE WHEN event_type = 'signup' AND k % 11 <> 0 THEN {_QUESTION} END AS question,
                CASE WHEN event_type = 'signup' THEN 'Answer ' || event_id END AS response_text,
                CASE WHEN event_type = 'signup' AND k % 19 <> 0 THEN CASE WHEN k % 17 = 0 THEN 'FAILURE' ELSE 'SUCCESS' END END AS status,
                CASE WHEN event_type = 'signup' AND value > 150 THEN 'SLOW' END AS status_description,
