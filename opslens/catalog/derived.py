@@ -46,7 +46,10 @@ def _feed(spark, location):
     draw = F.pmod(F.xxhash64("sale_id"), F.lit(10))
     month = F.trunc("sale_date", "month")
     fields = ("sale_id", "version", "sale_month", "store_id", "units_sold", "revenue")
-    right = sales.withColumn("sale_month", month).withColumn("version", F.lit(2))
+    # the smallest tables repeat a few ids: one row each, the largest
+    whole = F.max(F.struct("sale_month", "store_id", "units_sold", "revenue")).alias("row")
+    one = sales.withColumn("sale_month", month).groupBy("sale_id").agg(whole).select("sale_id", "row.*")
+    right = one.withColumn("version", F.lit(2))
     wrong = right.where(draw < 2).withColumns({
         "version": F.lit(1),
         "sale_month": F.when(draw == 0, F.add_months("sale_month", 1)).otherwise(F.col("sale_month")),
@@ -65,7 +68,9 @@ def _monthly(rows):
 @entry(
     "refresh_merge",
     f"""SELECT CAST(date_trunc('month', sale_date) AS DATE) AS sale_month, store_id, {dbl('SUM(revenue)')} AS revenue, CAST(SUM(units_sold) AS BIGINT) AS units
-        FROM sales_base GROUP BY ALL""",
+        FROM (SELECT * FROM sales_base QUALIFY row_number() OVER (PARTITION BY sale_id
+                ORDER BY date_trunc('month', sale_date) DESC, store_id DESC, units_sold DESC, revenue DESC) = 1)
+        GROUP BY ALL""",
 )
 def refresh_merge(spark, location):
     folder = sinks.work_folder(spark, "merged")
