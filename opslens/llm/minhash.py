@@ -13,8 +13,11 @@ slot with that probability, and ``trees`` independent roots bring the chance of
    component compare all others with it.  The rest branches, and the step repeats; nodes still large at ``depth`` are
    compared in full, block against block.
 
-Signatures only reject (four standard deviations below the threshold); every link is confirmed on the full
-shingle sets, by 64-bit codes, as 100 * intersection >= 100 * threshold * union in whole numbers.
+Signatures only reject (four standard deviations below the threshold).  What a node finds leaves it as groups of
+documents that pairs near the threshold connect, one row a document, never as pairs.  Each group's full shingle sets meet
+once, in parts of at most about ``CODES`` codes; there every pair of different components is decided by 64-bit codes, as
+100 * intersection >= 100 * threshold * union in whole numbers, and the links that join components are returned.
+A crowd of near copies that are mostly no links of each other thus costs rows in proportion to its members.
 
 Defined cases: no word or a null text is the empty set, linked with nothing; fewer than five words make one
 shingle of all of them; a null ``doc_id`` counts as one id larger than every other; rows repeating a
@@ -23,12 +26,14 @@ shingle of all of them; a null ``doc_id`` counts as one id larger than every oth
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from opslens.llm.components import components
+from opslens.llm.components import components, roots
 from opslens.llm.store import NO_ID, arrow_map, cut, release
 from opslens.llm.words import U64, Words, mix, words
 
@@ -40,6 +45,7 @@ SMALL = 1_000
 THIN = 500_000
 BLOCK = 250
 DEPTH = 10
+CODES = 500_000
 DEVIATIONS = 4.0
 _HIGH = U64(32)
 _GENERATOR = np.random.Generator(np.random.PCG64(77))
@@ -67,8 +73,8 @@ def shingle_sets(texts: pa.ChunkedArray, size: int = SHINGLE) -> list[np.ndarray
 def signature(codes: np.ndarray) -> np.ndarray:
     """The minimum of each slot's permutation, 32 bits of it."""
     least = np.full(SLOTS, np.iinfo(U64).max, U64)
-    for at in range(0, len(codes), 1 << 15):
-        part = codes[at : at + (1 << 15)]
+    for at in range(0, len(codes), 1 << 12):
+        part = codes[at : at + (1 << 12)]
         np.minimum(least, (part[None, :] * _TIMES[:, None] + _PLUS[:, None]).min(axis=1), out=least)
     return (least >> _HIGH).astype("<u4")
 
@@ -161,13 +167,26 @@ def _sigs(column: pa.ChunkedArray) -> np.ndarray:
 def _star_filter(threshold: float):
     def run(rows: pa.Table) -> pa.Table:
         ok = _alike(_sigs(rows["psig"]), _sigs(rows["sig"]), rows["pn"].to_numpy(), rows["n"].to_numpy(), threshold)
-        return rows.filter(pa.array(ok)).select(["a", "b"])
+        return rows.filter(pa.array(ok)).select(["a", "b", "n"])
 
     return arrow_map(run)
 
 
+def _grouped(ids: np.ndarray, labels: np.ndarray, n: np.ndarray, a: np.ndarray, b: np.ndarray) -> pa.Table:
+    """The documents that pairs a-b of ids connect: one row each, with the group's number, which its members alone decide."""
+    own, first = np.unique(ids, return_index=True)
+    one, two = np.searchsorted(own, a), np.searchsorted(own, b)
+    root = roots(len(own), one, two)
+    paired = np.zeros(len(own), bool)
+    paired[one] = paired[two] = True
+    sums = np.zeros(len(own), U64)
+    np.add.at(sums, root[paired], mix(own[paired].view(U64) + U64(1)))
+    group = mix(sums[root[paired]])
+    return pa.table({"group": group.view(np.int64), "id": own[paired], "label": labels[first][paired], "n": n[first][paired]})
+
+
 def _block_filter(threshold: float, slots: np.ndarray):
-    """Pairs of one bounded block, or of two; each row holds the members of a block as lists.
+    """Groups in one bounded block, or in two; each row holds the members of a block as lists.
 
     A pair that already meets under an earlier slot is left to that node, unless the node is ``wide``: those branch.
     """
@@ -185,7 +204,6 @@ def _block_filter(threshold: float, slots: np.ndarray):
         return out
 
     def run(rows: pa.Table):
-        left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for at in range(rows.num_rows):
             row = rows.slice(at, 1).to_pylist()[0]
             ids, label, n, sig = side(row, "members")
@@ -197,24 +215,92 @@ def _block_filter(threshold: float, slots: np.ndarray):
                 met = sig[np.ix_(np.arange(len(sig)), before)][one] == osig[np.ix_(np.arange(len(osig)), before)][two]
                 new = ~(met & whole(row["members"])[:, : row["k"]][one]).any(axis=1)
                 one, two = one[new], two[new]
-            left.append(ids[one])
-            right.append(oids[two])
-        a, b = np.concatenate(left), np.concatenate(right)
-        return pa.table({"a": pa.array(np.minimum(a, b)), "b": pa.array(np.maximum(a, b))})
+            if len(one):
+                both = [np.concatenate(sides) for sides in ((ids, oids), (label, olabel), (n, on))]
+                yield _grouped(*both, ids[one], oids[two])
 
     return arrow_map(run)
 
 
-def _confirm(percent: int):
-    def run(rows: pa.Table) -> pa.Table:
-        one, two = shingle_sets(rows["text_a"]), shingle_sets(rows["text_b"])
-        ok = []
-        for s, t in zip(one, two):
-            both = len(np.intersect1d(s, t, assume_unique=True))
-            ok.append(100 * both >= percent * (len(s) + len(t) - both))
-        return rows.filter(pa.array(ok, pa.bool_())).select(["a", "b"])
+def _common(sets: list[np.ndarray]) -> np.ndarray:
+    """Sizes of all intersections; codes of one set alone are left out, the others compared 64 at a time."""
+    size = len(sets)
+    if size == 2:
+        both = len(np.intersect1d(*sets, assume_unique=True))
+        return np.array([[len(sets[0]), both], [both, len(sets[1])]])
+    owner = np.repeat(np.arange(size), [len(s) for s in sets])
+    _, column, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    shared = times > 1
+    place = np.cumsum(shared) - 1
+    owner, column = owner[shared[column]], place[column[shared[column]]]
+    order = np.argsort(column, kind="stable")
+    owner, column = owner[order], column[order]
+    out = np.zeros((size, size), np.int64)
+    width = 1 << 13
+    for low in range(0, int(shared.sum()), width):
+        s, e = np.searchsorted(column, [low, low + width])
+        has = np.zeros((size, width), bool)
+        has[owner[s:e], column[s:e] - low] = True
+        bits = np.packbits(has, axis=1).view(np.uint64)
+        bits = bits[:, bits.any(axis=0)]
+        for i in range(size - 1):
+            out[i, i + 1 :] += np.bitwise_count(bits[i + 1 :] & bits[i]).sum(axis=1, dtype=np.int64)
+    return out + out.T
+
+
+def _decide(percent: int, star: bool):
+    """Links that join the components of each part of a group; rows come sorted by part.
+
+    In a ``star`` every document is compared with the part's pivot, whose id is its ``group``.
+    """
 
-    return arrow_map(run)
+    def links(rows: pa.Table) -> pa.RecordBatch | None:
+        ids, label = rows["id"].to_numpy(), rows["label"].to_numpy()
+        if len(ids) < 2:
+            return None
+        sets = shingle_sets(rows["text"])
+        if star:
+            pivot = int(np.flatnonzero(ids == rows["group"][0].as_py())[0])
+            one = np.full(len(ids) - 1, pivot)
+            two = np.delete(np.arange(len(ids)), pivot)
+            both = np.array([len(np.intersect1d(sets[pivot], sets[t], assume_unique=True)) for t in two])
+        else:
+            one, two = np.nonzero(np.triu(label[:, None] != label[None, :]))
+            both = _common(sets)[one, two]
+        n = np.array([len(s) for s in sets])
+        linked = 100 * both >= percent * (n[one] + n[two] - both)
+        one, two = one[linked], two[linked]
+        if not star and len(one):
+            root = roots(len(ids), one, two)
+            two = np.flatnonzero(root != np.arange(len(ids)))
+            one = root[two]
+        a, b = ids[one], ids[two]
+        return pa.record_batch({"a": pa.array(np.minimum(a, b)), "b": pa.array(np.maximum(a, b))})
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.Table] = []
+        key = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            keys = [batch[c].to_numpy() for c in ("group", "x", "y")]
+            fresh = np.any([k[1:] != k[:-1] for k in keys], axis=0)
+            borders = [0, *(np.flatnonzero(fresh) + 1).tolist(), batch.num_rows]
+            for low, high in zip(borders[:-1], borders[1:]):
+                now = tuple(int(k[low]) for k in keys)
+                if held and now != key:
+                    made = links(pa.concat_tables(held))
+                    held = []
+                    if made is not None and made.num_rows:
+                        yield made
+                key = now
+                held.append(pa.Table.from_batches([batch.slice(low, high - low)]))
+        if held:
+            made = links(pa.concat_tables(held))
+            if made is not None and made.num_rows:
+                yield made
+
+    return run
 
 
 class _Search:
@@ -223,14 +309,36 @@ class _Search:
     def __init__(self, known: DataFrame, texts: DataFrame, percent: int):
         self.known, self.texts, self.percent, self.links = known, texts, percent, None
 
-    def confirm(self, pairs: DataFrame) -> None:
-        """Add the pairs that hold on full sets."""
-        one = self.texts.select(F.col("id").alias("a"), F.col("text").alias("text_a"))
-        two = self.texts.select(F.col("id").alias("b"), F.col("text").alias("text_b"))
-        checked = pairs.distinct().join(two, "b").join(one, "a").select("a", "b", "text_a", "text_b")
-        found = cut(checked.mapInArrow(_confirm(self.percent), "a long, b long"), "links")
+    def _add(self, parts: DataFrame, star: bool) -> None:
+        """Add the links of parts (group, x, y, id, label); each document's text travels once a part."""
+        met = parts.join(self.texts, "id").select("group", "x", "y", "id", "label", "text")
+        dealt = met.repartition("group", "x", "y").sortWithinPartitions("group", "x", "y")
+        found = cut(dealt.mapInArrow(_decide(self.percent, star), "a long, b long"), "links")
         self.links = found if self.links is None else self.links.unionAll(found)
 
+    def confirm(self, groups: DataFrame) -> None:
+        """Add the links of groups (group, id, label, n) that hold on full sets.
+
+        A group of more than CODES codes is dealt into parts, and every two parts meet.
+        """
+        held = cut(groups.distinct(), "groups")
+        sizes = held.groupBy("group").agg(F.ceil(F.sum("n") / CODES).cast("int").alias("parts"))
+        block = F.pmod(F.xxhash64("id", "group"), F.col("parts")).cast("int")
+        met = held.join(sizes, "group").withColumn("block", block)
+        met = met.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+        self._add(met.select("group", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "id", "label"), False)
+
+    def confirm_stars(self, pairs: DataFrame) -> None:
+        """Add the pairs (a, b, n) of pivots a and documents b that hold on full sets; the pivot's text travels once a part."""
+        held = cut(pairs, "stars")
+        sizes = held.groupBy("a").agg(F.ceil(F.sum("n") / CODES).cast("int").alias("parts"))
+        none = F.lit(0).cast("long").alias("label")
+        part = F.pmod(F.xxhash64("b", "a"), F.col("parts")).cast("int")
+        rays = held.join(sizes, "a").select(F.col("a").alias("group"), part.alias("x"), F.lit(0).alias("y"), F.col("b").alias("id"), none)
+        each = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
+        pivots = sizes.select(F.col("a").alias("group"), each.alias("x"), F.lit(0).alias("y"), F.col("a").alias("id"), none)
+        self._add(rays.unionAll(pivots), True)
+
 
 def _lists(rows: DataFrame, name: str, *by: str) -> DataFrame:
     return rows.groupBy(*by).agg(F.collect_list(F.struct("id", "label", "n", "sig", "wide")).alias(name))
@@ -266,7 +374,7 @@ def _stars(search: _Search, members: DataFrame, threshold: float) -> DataFrame:
     one = search.known.select(F.col("id").alias("a"), F.col("n").alias("pn"), F.col("sig").alias("psig"))
     two = search.known.select(F.col("id").alias("b"), "n", "sig")
     star = near.join(two, "b").join(one, "a").select("a", "b", "pn", "n", "psig", "sig")
-    search.confirm(star.mapInArrow(_star_filter(threshold), "a long, b long"))
+    search.confirm_stars(star.mapInArrow(_star_filter(threshold), "a long, b long, n long"))
     return components(search.links).withColumnsRenamed({"component": "label"})
 
 
@@ -294,7 +402,7 @@ def _level(search: _Search, members: DataFrame, labels: DataFrame, slots: np.nda
     large = held.where("kind = 'large'") if "large" in kinds else None
     if large is not None and last:
         work = work.unionAll(_all_pairs_of_blocks(large))
-    search.confirm(work.mapInArrow(_block_filter(threshold, slots), "a long, b long"))
+    search.confirm(work.mapInArrow(_block_filter(threshold, slots), "group long, id long, label long, n long"))
     return None if last else large
 
 

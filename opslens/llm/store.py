@@ -15,7 +15,8 @@ from opslens.sources.sinks import work_folder
 #: Stands for a missing document id inside the operators: larger than every real one.
 NO_ID = 2**63 - 1
 SLICE_BYTES = 4 << 20
-_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Settings of writes: shuffle files go with the query, and batches to Python stay small beside several workers.
+_WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20)}
 
 
 def table(spark: SparkSession, location: str, name: str) -> DataFrame:
@@ -26,12 +27,14 @@ def table(spark: SparkSession, location: str, name: str) -> DataFrame:
 def store(rows: DataFrame, path: str, *by: str) -> DataFrame:
     """Write the rows to a new folder and read them back; the write's shuffle files go when it is done."""
     spark = rows.sparkSession
-    before = spark.conf.get(_CLEAN)
-    spark.conf.set(_CLEAN, "true")
+    before = {key: spark.conf.get(key) for key in _WRITING}
+    for key, value in _WRITING.items():
+        spark.conf.set(key, value)
     try:
         (rows.write.partitionBy(*by) if by else rows.write).parquet(path)
     finally:
-        spark.conf.set(_CLEAN, before)
+        for key, value in before.items():
+            spark.conf.set(key, value)
     return spark.read.schema(rows.schema).parquet(path)
 
 

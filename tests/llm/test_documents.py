@@ -88,6 +88,33 @@ def test_pairs_beside_a_crowded_node_are_found(docs_of, monkeypatch):
     assert got == brute.groups(rows, 85)
 
 
+def test_a_crowd_of_near_copies_that_are_no_links_costs_rows_in_proportion(docs_of, monkeypatch):
+    import opslens.llm.minhash as minhash
+
+    seen = []
+    confirm = minhash._Search.confirm
+
+    def spy(self, groups):
+        seen.append(groups.distinct().count())
+        return confirm(self, groups)
+
+    monkeypatch.setattr(minhash._Search, "confirm", spy)
+    monkeypatch.setattr(minhash, "CODES", 20_000)  # the crowd is dealt into parts that meet
+    rnd = random.Random(9)
+    base = [f"w{k}" for k in range(130)]
+    rows = []
+    for k in range(600):  # two edits each: about 0.73 alike
+        words = list(base)
+        for at in rnd.sample(range(10, 120), 2):
+            words[at] = f"e{k}x{at}"
+        rows.append((k, " ".join(words)))
+        if k % 20 == 0:  # a link of its own
+            rows.append((1000 + k, " ".join(words[:-2])))
+    got = {r["doc_id"]: r["component_id"] for r in near_duplicates(docs_of(rows), percent=85).collect()}
+    assert got == brute.groups(rows, 85)
+    assert 0 < sum(seen) < 10 * len(rows)
+
+
 def test_packing_pieces_and_places(docs_of, odd_texts):
     from tokenizers import Tokenizer
 
