@@ -1,13 +1,14 @@
-"""Catalog entries: id layouts, merged refreshes, threads of messages and content fingerprints."""
+"""Catalog entries: id layouts, merged refreshes, threads of messages, content fingerprints and stored sketches."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from opslens import fixed_values as fv
 from opslens.catalog.registry import BODIES, entry
 from opslens.catalog.retail import tables
 from opslens.catalog.sqltext import dbl
-from opslens.operators import fingerprints, identity, threads
+from opslens.operators import fingerprints, identity, sketches, threads
 from opslens.sources import sinks, traces
 from opslens.streaming.merge import MergedTable
 from opslens.streaming.refresh import stream_files
@@ -150,3 +151,44 @@ def fresh_content_rows(spark, location):
     marks = [fingerprints.fingerprints(rows, "event_date") for rows in (derived, base)]
     parts = fingerprints.differing_partitions(*marks, "event_date")
     return fingerprints.differing_rows(derived, base, "event_date", parts)
+
+
+# -- stored sketches ----------------------------------------------------------
+
+
+def _day_latencies(spark, location):
+    """Turn times sketched once per day and stored; windows read these rows only."""
+    turns = traces.spans(spark, location).where(F.col("span_name") == fv.AGENT_SPAN)
+    made = sketches.quantile_sketches(turns, "duration_ms", ("event_date",))
+    return sinks.create_table_as(made, sinks.work_folder(spark, "latency-sketches"))
+
+
+_QUANTILES = """COUNT(duration_ms) AS n, CAST(MIN(duration_ms) AS DOUBLE) AS least, CAST(MAX(duration_ms) AS DOUBLE) AS largest,
+               CAST(quantile_disc(duration_ms, 0.5) AS DOUBLE) AS p50, CAST(quantile_disc(duration_ms, 0.95) AS DOUBLE) AS p95"""
+_TURN_TIMES = f"FROM spans WHERE span_name = '{fv.AGENT_SPAN}' AND duration_ms IS NOT NULL"
+
+
+@entry("latency_weeks_stored", f"SELECT CAST(date_trunc('week', event_date) AS DATE) AS week, {_QUANTILES} {_TURN_TIMES} GROUP BY ALL")
+def latency_weeks_stored(spark, location):
+    days = _day_latencies(spark, location).withColumn("week", F.trunc("event_date", "week"))
+    return sketches.window_quantiles(days, {"p50": 0.5, "p95": 0.95}, ("week",))
+
+
+_SETS = ("trace_id", "user_name")
+
+
+@entry(
+    "distinct_weeks_stored",
+    """WITH seen AS (SELECT DISTINCT CAST(date_trunc('week', event_date) AS DATE) AS week, trace_id, user_name FROM spans),
+            ids AS (SELECT DISTINCT week, 't' AS kind, trace_id AS id FROM seen WHERE trace_id IS NOT NULL
+                    UNION ALL SELECT DISTINCT week, 'u', user_name FROM seen WHERE user_name IS NOT NULL)
+       SELECT s.week, COUNT(*) FILTER (WHERE kind = 't') AS distinct_trace_id, COUNT(*) FILTER (WHERE kind = 'u') AS distinct_user_name,
+              COUNT(*) FILTER (WHERE kind = 't' AND again) AS returning_trace_id, COUNT(*) FILTER (WHERE kind = 'u' AND again) AS returning_user_name
+       FROM (SELECT i.*, EXISTS (SELECT 1 FROM ids e WHERE e.kind = i.kind AND e.id = i.id AND e.week = i.week - 7) AS again FROM ids i) AS s
+       GROUP BY s.week""",
+)
+def distinct_weeks_stored(spark, location):
+    made = sketches.distinct_sketches(traces.spans(spark, location), _SETS, ("event_date",))
+    days = sinks.create_table_as(made, sinks.work_folder(spark, "distinct-sketches"))
+    weeks = sketches.merged_sets(days, _SETS, F.trunc("event_date", "week"), "week")
+    return sketches.with_returning(weeks, _SETS, "week", F.date_sub("week", 7))

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from opslens.functions.joins import join_splitting_heavy_keys
-from opslens.operators import fingerprints, identity, threads
+from opslens.operators import fingerprints, identity, sketches, threads
 from opslens.sources.sinks import work_folder
 from opslens.streaming.merge import MergedTable
 from opslens.streaming.refresh import stream_files
@@ -226,3 +226,39 @@ def test_nulls_places_and_repeats_change_a_fingerprint(spark):
     one = fingerprints.fingerprints(spark.createDataFrame([(1, "a"), (None, "b")], "p int, a string"), "p")
     two = fingerprints.fingerprints(spark.createDataFrame([(1, "a"), (2, "c")], "p int, a string"), "p")
     assert {tuple(r) for r in fingerprints.differing_partitions(one, two, "p").collect()} == {(None, 1, 0), (2, 0, 1)}
+
+
+# --- stored sketches -----------------------------------------------------------
+
+
+def test_stored_quantiles_are_within_the_rank_error(spark):
+    rnd = random.Random(2)
+    # one day holds most rows; nulls and NaN are left out
+    rows = [("d0" if k % 3 else f"d{k % 7}", rnd.gauss(0, 1)) for k in range(20_000)] + [("d0", None), ("d9", None), ("d1", float("nan"))]
+    frame = spark.createDataFrame(rows, "day string, v double")
+    values = sorted(v for _, v in rows if v is not None and v == v)
+    days = sketches.quantile_sketches(frame, "v", ("day",), k=400)
+    (got,) = sketches.window_quantiles(days, {"p50": 0.5, "p99": 0.99}, k=400).collect()
+    assert (got["n"], got["least"], got["largest"]) == (len(values), values[0], values[-1])
+    for name, p in (("p50", 0.5), ("p99", 0.99)):
+        rank = sum(v <= got[name] for v in values) / len(values)
+        assert abs(rank - p) < 0.02
+    assert sketches.window_quantiles(days.where("day = 'none'"), {"p": 0.5}).collect() == []
+
+
+def test_stored_sets_unite_and_intersect(spark):
+    import datetime as dt
+
+    rows = [(dt.date(2024, 1, 1) + dt.timedelta(days=k % 21), f"u{k % (50 + k % 21)}", None) for k in range(6000)]
+    frame = spark.createDataFrame(rows, "day date, who string, nobody string")
+    days = sketches.distinct_sketches(frame, ("who", "nobody"), ("day",))
+    weeks = sketches.merged_sets(days, ("who", "nobody"), F.trunc("day", "week"), "week")
+    got = {r["week"]: r for r in sketches.with_returning(weeks, ("who", "nobody"), "week", F.date_sub("week", 7)).collect()}
+    sets = {}
+    for day, who, _ in rows:
+        sets.setdefault(day - dt.timedelta(days=day.weekday()), set()).add(who)
+    assert set(got) == set(sets)
+    for week, held in sets.items():
+        before = sets.get(week - dt.timedelta(days=7), set())
+        assert (got[week]["distinct_who"], got[week]["returning_who"]) == (len(held), len(held & before))
+        assert (got[week]["distinct_nobody"], got[week]["returning_nobody"]) == (0, 0)
