@@ -1,4 +1,4 @@
-"""Catalog entries: id layouts, merged refreshes, threads of messages, content fingerprints and stored sketches."""
+"""Catalog entries: id layouts, merged refreshes, threads of messages, content fingerprints, stored sketches, refined quantiles."""
 
 from __future__ import annotations
 
@@ -8,8 +8,10 @@ from opslens import fixed_values as fv
 from opslens.catalog.registry import BODIES, entry
 from opslens.catalog.retail import tables
 from opslens.catalog.sqltext import dbl
+from opslens.functions.refine import exact_quantiles
 from opslens.operators import fingerprints, identity, sketches, threads
 from opslens.sources import sinks, traces
+from opslens.sources.tables import read_table
 from opslens.streaming.merge import MergedTable
 from opslens.streaming.refresh import stream_files
 
@@ -192,3 +194,18 @@ def distinct_weeks_stored(spark, location):
     days = sinks.create_table_as(made, sinks.work_folder(spark, "distinct-sketches"))
     weeks = sketches.merged_sets(days, _SETS, F.trunc("event_date", "week"), "week")
     return sketches.with_returning(weeks, _SETS, "week", F.date_sub("week", 7))
+
+
+# -- refined quantiles --------------------------------------------------------
+
+_SHARES = (0.05, 0.5, 0.99)
+
+
+@entry(
+    "line_value_quantiles",
+    " UNION ALL ".join(f"SELECT CAST({p} AS DOUBLE) AS share, ROUND(quantile_cont(CAST(l_extendedprice AS DOUBLE), {p}), 4) AS value FROM lineitem" for p in _SHARES),
+)
+def line_value_quantiles(spark, location):
+    found = exact_quantiles(read_table(spark, location, "lineitem"), "l_extendedprice", _SHARES, bound=10_000)
+    rows = spark.createDataFrame(list(found.items()), "share double, value double")
+    return rows.select("share", F.round("value", 4).alias("value"))

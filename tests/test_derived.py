@@ -5,6 +5,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+from opslens.functions import refine
 from opslens.functions.joins import join_splitting_heavy_keys
 from opslens.operators import fingerprints, identity, sketches, threads
 from opslens.sources.sinks import work_folder
@@ -262,3 +263,35 @@ def test_stored_sets_unite_and_intersect(spark):
         before = sets.get(week - dt.timedelta(days=7), set())
         assert (got[week]["distinct_who"], got[week]["returning_who"]) == (len(held), len(held & before))
         assert (got[week]["distinct_nobody"], got[week]["returning_nobody"]) == (0, 0)
+
+
+# --- refined quantiles ---------------------------------------------------------
+
+
+def interpolated(values, p):
+    held = sorted(values)
+    at = p * (len(held) - 1)
+    low = int(at)
+    high = min(low + 1, len(held) - 1)
+    return held[low] * (1 - (at - low)) + held[high] * (at - low)
+
+
+@pytest.mark.parametrize("kind", ["distinct", "tied", "skewed"])
+def test_refined_quantiles_are_exact(spark, kind):
+    rnd = random.Random(8)
+    make = {"distinct": lambda: rnd.gauss(0, 5), "tied": lambda: rnd.choice([1.0, 1.0, rnd.random()]), "skewed": lambda: 10 ** rnd.uniform(-200, 200)}
+    values = [make[kind]() for _ in range(20_000)]
+    frame = spark.createDataFrame([(v,) for v in values] + [(None,), (float("nan"),)], "v double").repartition(6).cache()
+    shares = (0.0, 0.01, 0.5, 0.999, 1.0)
+    got = refine.exact_quantiles(frame, "v", shares, bound=50, accuracy=100)
+    for p in shares:
+        assert got[p] == pytest.approx(interpolated(values, p), rel=1e-12)
+    frame.unpersist()
+
+
+def test_refined_quantiles_of_few_and_no_values(spark):
+    frame = spark.createDataFrame([(None,), (float("nan"),)], "v double")
+    assert refine.exact_quantiles(frame, "v", (0.5,)) == {0.5: None}
+    assert refine.exact_quantiles(spark.createDataFrame([(3.5,)], "v double"), "v", (0.0, 0.5, 1.0), bound=0) == {0.0: 3.5, 0.5: 3.5, 1.0: 3.5}
+    same = spark.createDataFrame([(float("inf"),)] * 40, "v double")
+    assert refine.exact_quantiles(same, "v", (0.3,), bound=5) == {0.3: float("inf")}
