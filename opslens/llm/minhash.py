@@ -13,11 +13,13 @@ slot with that probability, and ``trees`` independent roots bring the chance of
    component compare all others with it.  The rest branches, and the step repeats; nodes still large at ``depth`` are
    compared in full, block against block.
 
-Signatures only reject (four standard deviations below the threshold).  What a node finds leaves it as groups of
-documents that pairs near the threshold connect, one row a document, never as pairs.  Each group's full shingle sets meet
-once, in parts of at most about ``CODES`` codes; there every pair of different components is decided by 64-bit codes, as
-100 * intersection >= 100 * threshold * union in whole numbers, and the links that join components are returned.
-A crowd of near copies that are mostly no links of each other thus costs rows in proportion to its members.
+Signatures only reject (four standard deviations below the threshold); nodes carry one byte of each slot and the whole
+minima of the roots' slots.  What a node finds leaves it as groups of documents that pairs near the threshold connect, one
+row a document, never as pairs.  Groups that share documents are joined where that makes fewer rows.  Each group's full
+shingle sets meet once, in parts of at most about ``CODES`` codes and ``MEMBERS`` documents; there every pair of different
+components is decided by 64-bit codes, as 100 * intersection >= 100 * threshold * union in whole numbers, and the links
+that join components are returned.  A crowd of near copies that are mostly no links of each other thus costs one row a
+member, and one more for every further part.
 
 Defined cases: no word or a null text is the empty set, linked with nothing; fewer than five words make one
 shingle of all of them; a null ``doc_id`` counts as one id larger than every other; rows repeating a
@@ -46,6 +48,7 @@ THIN = 500_000
 BLOCK = 250
 DEPTH = 10
 CODES = 500_000
+MEMBERS = 1_500
 DEVIATIONS = 4.0
 _HIGH = U64(32)
 _GENERATOR = np.random.Generator(np.random.PCG64(77))
@@ -79,19 +82,30 @@ def signature(codes: np.ndarray) -> np.ndarray:
     return (least >> _HIGH).astype("<u4")
 
 
-def _digest(rows: pa.Table) -> pa.Table:
-    sets = shingle_sets(rows["text"])
-    sums = [(len(s), int(mix(s).sum(dtype=U64)), int(np.bitwise_xor.reduce(mix(s * U64(3)))) if len(s) else 0) for s in sets]
-    signed = lambda x: x - (x >> 63 << 64)
-    return pa.table(
-        {
-            "doc_id": rows["doc_id"],
-            "n_shingles": pa.array([s[0] for s in sums], pa.int64()),
-            "k1": pa.array([signed(s[1]) for s in sums], pa.int64()),
-            "k2": pa.array([signed(s[2]) for s in sums], pa.int64()),
-            "sig": pa.array([signature(s).tobytes() if len(s) else None for s in sets], pa.binary()),
+def _digest(slots: np.ndarray):
+    """Set size, two sums that name the set, the signature, one byte of each slot, and the minima of the roots' slots."""
+
+    def run(rows: pa.Table) -> pa.Table:
+        sets = shingle_sets(rows["text"])
+        sums = [(len(s), int(mix(s).sum(dtype=U64)), int(np.bitwise_xor.reduce(mix(s * U64(3)))) if len(s) else 0) for s in sets]
+        signed = lambda x: x - (x >> 63 << 64)
+        sigs = [signature(s) if len(s) else None for s in sets]
+        parts = {
+            "sig": [None if s is None else s.tobytes() for s in sigs],
+            "low": [None if s is None else (s & 0xFF).astype(np.uint8).tobytes() for s in sigs],
+            "first": [None if s is None else s[slots].tobytes() for s in sigs],
         }
-    )
+        return pa.table(
+            {
+                "doc_id": rows["doc_id"],
+                "n_shingles": pa.array([s[0] for s in sums], pa.int64()),
+                "k1": pa.array([signed(s[1]) for s in sums], pa.int64()),
+                "k2": pa.array([signed(s[2]) for s in sums], pa.int64()),
+                **{name: pa.array(values, pa.binary()) for name, values in parts.items()},
+            }
+        )
+
+    return arrow_map(run)
 
 
 def root_slots(threshold: float, trees: int) -> np.ndarray:
@@ -104,10 +118,10 @@ def root_slots(threshold: float, trees: int) -> np.ndarray:
 
 
 def _roots(slots: np.ndarray):
-    """The roots' children of (id, sig); k is the place of the slot."""
+    """The roots' children of (id, first); k is the place of the slot."""
 
     def run(rows: pa.Table) -> pa.Table:
-        sigs = _sigs(rows["sig"]).astype(U64)[:, slots]
+        sigs = _table(rows["first"], "<u4", len(slots)).astype(U64)
         child = mix(mix(_SALT[slots])[None, :] + sigs)
         at = pa.array(np.repeat(np.arange(len(sigs)), len(slots)))
         k = np.tile(np.arange(len(slots), dtype=np.int32), len(sigs))
@@ -121,7 +135,7 @@ def _branches(threshold: float):
     limit = U64(int(2**64 * 2 / (threshold * SLOTS)))
 
     def run(rows: pa.Table) -> pa.Table:
-        sigs, nodes = _sigs(rows["sig"]).astype(U64), rows["node"].to_numpy().astype(np.int64).view(U64)
+        sigs, nodes = _table(rows["sig"], "<u4", SLOTS).astype(U64), rows["node"].to_numpy().astype(np.int64).view(U64)
         draw = mix(nodes[:, None] ^ _SALT[None, :])
         chosen = draw < limit
         chosen[np.arange(len(nodes)), draw.argmin(axis=1)] = True
@@ -138,35 +152,30 @@ def _floor(threshold: float) -> float:
     return threshold - DEVIATIONS * (threshold * (1 - threshold) / SLOTS) ** 0.5
 
 
-def _alike(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray, threshold: float) -> np.ndarray:
-    """Pairs that may reach the threshold, by sizes and signatures."""
-    sizes = np.minimum(na, nb) >= threshold * np.maximum(na, nb) - 1e-9
-    return sizes & ((a == b).mean(axis=-1) >= _floor(threshold))
+def _sized(na: np.ndarray, nb: np.ndarray, threshold: float) -> np.ndarray:
+    """Pairs whose set sizes allow the threshold."""
+    return np.minimum(na, nb) >= threshold * np.maximum(na, nb) - 1e-9
 
 
-def _pairs(
-    sig: np.ndarray, others: np.ndarray, n: np.ndarray, on: np.ndarray, apart: np.ndarray, threshold: float
-) -> tuple[np.ndarray, np.ndarray]:
-    """Positions of pairs ``apart`` that may reach the threshold: one byte of each slot first, whole signatures for the rest."""
-    low, other_low = (sig & 0xFF).astype(np.uint8), (others & 0xFF).astype(np.uint8)
-    same = np.zeros((len(sig), len(others)), np.uint8)
+def _pairs(low: np.ndarray, others: np.ndarray, n: np.ndarray, on: np.ndarray, apart: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """Positions of pairs ``apart`` that may reach the threshold, by sizes and one byte of each slot."""
+    same = np.zeros((len(low), len(others)), np.uint8)
     for slot in range(SLOTS):
-        same += low[:, slot, None] == other_low[None, :, slot]
+        same += low[:, slot, None] == others[None, :, slot]
     one, two = np.nonzero(apart & (same >= _floor(threshold) * SLOTS - 1e-9))
-    if not len(one):
-        return one, two
-    keep = [_alike(sig[one[s : s + 50_000]], others[two[s : s + 50_000]], n[one[s : s + 50_000]], on[two[s : s + 50_000]], threshold) for s in range(0, len(one), 50_000)]
-    fit = np.concatenate(keep)
+    fit = _sized(n[one], on[two], threshold)
     return one[fit], two[fit]
 
 
-def _sigs(column: pa.ChunkedArray) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), "<u4").reshape(-1, SLOTS)
+def _table(column: pa.ChunkedArray | list[bytes], kind: str, width: int) -> np.ndarray:
+    """Binary values of equal width as rows of numbers."""
+    return np.frombuffer(b"".join(column if isinstance(column, list) else column.to_pylist()), kind).reshape(-1, width)
 
 
 def _star_filter(threshold: float):
     def run(rows: pa.Table) -> pa.Table:
-        ok = _alike(_sigs(rows["psig"]), _sigs(rows["sig"]), rows["pn"].to_numpy(), rows["n"].to_numpy(), threshold)
+        same = (_table(rows["plow"], "u1", SLOTS) == _table(rows["low"], "u1", SLOTS)).mean(axis=1)
+        ok = _sized(rows["pn"].to_numpy(), rows["n"].to_numpy(), threshold) & (same >= _floor(threshold) - 1e-9)
         return rows.filter(pa.array(ok)).select(["a", "b", "n"])
 
     return arrow_map(run)
@@ -194,7 +203,8 @@ def _block_filter(threshold: float, slots: np.ndarray):
     def side(row: dict, name: str):
         members = row[name]
         ids, label = np.array([m["id"] for m in members]), np.array([m["label"] for m in members])
-        return ids, label, np.array([m["n"] for m in members]), np.frombuffer(b"".join(m["sig"] for m in members), "<u4").reshape(-1, SLOTS)
+        low = _table([m["low"] for m in members], "u1", SLOTS)
+        return ids, label, np.array([m["n"] for m in members]), low, _table([m["first"] for m in members], "<u4", len(slots))
 
     def whole(members: list[dict]) -> np.ndarray:
         """By member and slot: whether its node is compared whole."""
@@ -206,13 +216,12 @@ def _block_filter(threshold: float, slots: np.ndarray):
     def run(rows: pa.Table):
         for at in range(rows.num_rows):
             row = rows.slice(at, 1).to_pylist()[0]
-            ids, label, n, sig = side(row, "members")
-            oids, olabel, on, osig = side(row, "others") if row.get("others") else (ids, label, n, sig)
+            ids, label, n, low, first = side(row, "members")
+            oids, olabel, on, olow, ofirst = side(row, "others") if row.get("others") else (ids, label, n, low, first)
             apart = label[:, None] != olabel[None, :]
-            one, two = _pairs(sig, osig, n, on, apart if row.get("others") else np.triu(apart), threshold)
+            one, two = _pairs(low, olow, n, on, apart if row.get("others") else np.triu(apart), threshold)
             if (row.get("k") or 0) > 0 and len(one):
-                before = slots[: row["k"]]
-                met = sig[np.ix_(np.arange(len(sig)), before)][one] == osig[np.ix_(np.arange(len(osig)), before)][two]
+                met = first[one, : row["k"]] == ofirst[two, : row["k"]]
                 new = ~(met & whole(row["members"])[:, : row["k"]][one]).any(axis=1)
                 one, two = one[new], two[new]
             if len(one):
@@ -223,7 +232,7 @@ def _block_filter(threshold: float, slots: np.ndarray):
 
 
 def _common(sets: list[np.ndarray]) -> np.ndarray:
-    """Sizes of all intersections; codes of one set alone are left out, the others compared 64 at a time."""
+    """Sizes of the intersections of each set with later ones; codes of one set alone are left out, the others compared 64 at a time."""
     size = len(sets)
     if size == 2:
         both = len(np.intersect1d(*sets, assume_unique=True))
@@ -235,7 +244,7 @@ def _common(sets: list[np.ndarray]) -> np.ndarray:
     owner, column = owner[shared[column]], place[column[shared[column]]]
     order = np.argsort(column, kind="stable")
     owner, column = owner[order], column[order]
-    out = np.zeros((size, size), np.int64)
+    out = np.zeros((size, size), np.int32)
     width = 1 << 13
     for low in range(0, int(shared.sum()), width):
         s, e = np.searchsorted(column, [low, low + width])
@@ -244,8 +253,8 @@ def _common(sets: list[np.ndarray]) -> np.ndarray:
         bits = np.packbits(has, axis=1).view(np.uint64)
         bits = bits[:, bits.any(axis=0)]
         for i in range(size - 1):
-            out[i, i + 1 :] += np.bitwise_count(bits[i + 1 :] & bits[i]).sum(axis=1, dtype=np.int64)
-    return out + out.T
+            out[i, i + 1 :] += np.bitwise_count(bits[i + 1 :] & bits[i]).sum(axis=1, dtype=np.int32)
+    return out
 
 
 def _decide(percent: int, star: bool):
@@ -265,8 +274,13 @@ def _decide(percent: int, star: bool):
             two = np.delete(np.arange(len(ids)), pivot)
             both = np.array([len(np.intersect1d(sets[pivot], sets[t], assume_unique=True)) for t in two])
         else:
-            one, two = np.nonzero(np.triu(label[:, None] != label[None, :]))
-            both = _common(sets)[one, two]
+            common, sizes = _common(sets), np.array([len(s) for s in sets])
+            near = np.zeros(common.shape, bool)
+            for i in range(len(ids) - 1):
+                held = common[i, i + 1 :].astype(np.int64)
+                near[i, i + 1 :] = (100 * held >= percent * (sizes[i] + sizes[i + 1 :] - held)) & (label[i] != label[i + 1 :])
+            one, two = np.nonzero(near)
+            both = common[one, two].astype(np.int64)
         n = np.array([len(s) for s in sets])
         linked = 100 * both >= percent * (n[one] + n[two] - both)
         one, two = one[linked], two[linked]
@@ -303,6 +317,12 @@ def _decide(percent: int, star: bool):
     return run
 
 
+def _parts() -> Column:
+    """The parts of a group of (id, n) rows: one while it fits into a task, where otherwise two parts meet."""
+    need = F.greatest(F.sum("n") / CODES, F.count(F.lit(1)) / MEMBERS)
+    return F.when(need <= 2, 1).otherwise(F.ceil(need)).cast("int").alias("parts")
+
+
 class _Search:
     """Candidate texts and signatures of one search, and the links confirmed so far."""
 
@@ -319,10 +339,21 @@ class _Search:
     def confirm(self, groups: DataFrame) -> None:
         """Add the links of groups (group, id, label, n) that hold on full sets.
 
-        A group of more than CODES codes is dealt into parts, and every two parts meet.
+        A group too large for one task is dealt into parts, and every two parts meet.  Documents that nodes of several
+        slots group are in one joined group, unless its parts would make more rows than the groups by themselves.
         """
         held = cut(groups.distinct(), "groups")
-        sizes = held.groupBy("group").agg(F.ceil(F.sum("n") / CODES).cast("int").alias("parts"))
+        least = held.groupBy("group").agg(F.min("id").alias("b"), F.count(F.lit(1)).alias("rows"), _parts())
+        joined = components(held.join(least, "group").select(F.col("id").alias("a"), "b"), "joined-groups")
+        whole = held.dropDuplicates(["id"]).join(joined, "id").select(F.col("component").alias("group"), "id", "label", "n")
+        alone = least.join(joined, F.col("b") == F.col("id")).select("group", "component", (F.col("rows") * F.col("parts")).alias("rows"))
+        sums = whole.groupBy("group").agg(F.count(F.lit(1)).alias("members"), _parts())
+        costs = alone.groupBy("component").agg(F.sum("rows").alias("rows")).join(sums, F.col("component") == F.col("group"))
+        dear = costs.where(F.col("members") * F.col("parts") > F.col("rows")).select("component")
+        apart = alone.join(dear, "component", "left_semi").select("group")
+        kept = whole.join(dear.withColumnRenamed("component", "group"), "group", "left_anti")
+        held = cut(kept.unionByName(held.join(apart, "group", "left_semi")), "groups")
+        sizes = held.groupBy("group").agg(_parts())
         block = F.pmod(F.xxhash64("id", "group"), F.col("parts")).cast("int")
         met = held.join(sizes, "group").withColumn("block", block)
         met = met.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
@@ -341,7 +372,7 @@ class _Search:
 
 
 def _lists(rows: DataFrame, name: str, *by: str) -> DataFrame:
-    return rows.groupBy(*by).agg(F.collect_list(F.struct("id", "label", "n", "sig", "wide")).alias(name))
+    return rows.groupBy(*by).agg(F.collect_list(F.struct("id", "label", "n", "low", "first", "wide")).alias(name))
 
 
 def _blocks(rows: DataFrame) -> DataFrame:
@@ -371,9 +402,9 @@ def _stars(search: _Search, members: DataFrame, threshold: float) -> DataFrame:
     pivots = members.groupBy("node").agg(F.min("id").alias("pivot"))
     # a pair that shares several nodes is looked at once
     near = members.join(pivots, "node").where("id <> pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct()
-    one = search.known.select(F.col("id").alias("a"), F.col("n").alias("pn"), F.col("sig").alias("psig"))
-    two = search.known.select(F.col("id").alias("b"), "n", "sig")
-    star = near.join(two, "b").join(one, "a").select("a", "b", "pn", "n", "psig", "sig")
+    one = search.known.select(F.col("id").alias("a"), F.col("n").alias("pn"), F.col("low").alias("plow"))
+    two = search.known.select(F.col("id").alias("b"), "n", "low")
+    star = near.join(two, "b").join(one, "a").select("a", "b", "pn", "n", "plow", "low")
     search.confirm_stars(star.mapInArrow(_star_filter(threshold), "a long, b long, n long"))
     return components(search.links).withColumnsRenamed({"component": "label"})
 
@@ -419,31 +450,36 @@ def near_duplicates(docs: DataFrame, percent: int = 85, trees: int = TREES, dept
     """
     spark, threshold = docs.sparkSession, percent / 100
     held = docs.select(F.coalesce("doc_id", F.lit(NO_ID)).cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    digests = cut(held.mapInArrow(arrow_map(_digest), "doc_id long, n_shingles long, k1 long, k2 long, sig binary"), "digests")
+    slots = root_slots(threshold, trees)
+    columns = "doc_id long, n_shingles long, k1 long, k2 long, sig binary, low binary, first binary"
+    digests = cut(held.mapInArrow(_digest(slots), columns), "digests")
 
     same = ["n_shingles", "k1", "k2"]
     full = digests.where("n_shingles > 0")
     # a repeated id may stand for several sets: each is searched under the set's own number
-    sets = full.groupBy("doc_id").agg(*[f(c).alias(f"{n}_{c}") for n, f in (("low", F.min), ("high", F.max)) for c in ("k1", "k2")])
-    if sets.where("low_k1 <> high_k1 or low_k2 <> high_k2").take(1):
+    sets = full.groupBy("doc_id").agg(*[f(c).alias(f"{n}_{c}") for n, f in (("least", F.min), ("most", F.max)) for c in ("k1", "k2")], F.count(F.lit(1)).alias("rows"))
+    odd = sets.agg(F.coalesce(F.bool_or(F.expr("least_k1 <> most_k1 or least_k2 <> most_k2")), F.lit(False)), F.coalesce(F.max("rows") > 1, F.lit(False)))
+    several, repeated = odd.first()
+    if several:
         return _with_repeated_ids(held, percent, trees, depth)
-    known = full.groupBy(*same).agg(F.min("doc_id").alias("id"), F.first("sig").alias("sig"))
-    known = cut(known.select("id", F.col("n_shingles").alias("n"), "sig", "k1", "k2"), "classes")
+    known = full.groupBy(*same).agg(F.min("doc_id").alias("id"), F.first("low").alias("low"), F.first("first").alias("first"))
+    known = cut(known.select("id", F.col("n_shingles").alias("n"), "low", "first", "k1", "k2"), "classes")
 
-    slots = root_slots(threshold, trees)
-    members = _shared(known.select("id", "sig").mapInArrow(_roots(slots), "node long, k int, id long"))
-    release(spark)
-    met = members.select("id").distinct()
-    inked = held.where(F.col("text").rlike(r"[^\x20\x09-\x0D]")).withColumnRenamed("doc_id", "id")
-    texts = cut(inked.join(met, "id", "left_semi").dropDuplicates(["id"]), "candidates")
+    members = _shared(known.select("id", "first").mapInArrow(_roots(slots), "node long, k int, id long"))
     release(spark)
-    search = _Search(known.select("id", "n", "sig"), texts, percent)
+    texts = held.where(F.col("text").rlike(r"[^\x20\x09-\x0D]")).withColumnRenamed("doc_id", "id")
+    if repeated:
+        texts = cut(texts.join(members.select("id").distinct(), "id", "left_semi").dropDuplicates(["id"]), "candidates")
+        release(spark)
+    sigs = digests.select(F.col("doc_id").alias("id"), "sig")
+    sigs = sigs.groupBy("id").agg(F.first("sig").alias("sig")) if repeated else sigs
+    search = _Search(known.select("id", "n", "low", "first"), texts, percent)
     labels = _stars(search, members.where(F.col("k") < STARS), threshold)
     for level in range(1, depth + 1):
         large = _level(search, members, labels, slots, threshold, level == depth)
         if large is None:
             break
-        members = _shared(large.select("node", "id", "sig").mapInArrow(_branches(threshold), "node long, k int, id long"))
+        members = _shared(large.select("node", "id").join(sigs, "id").select("node", "id", "sig").mapInArrow(_branches(threshold), "node long, k int, id long"))
     release(spark)
 
     joined = components(search.links)
