@@ -12,6 +12,7 @@ slot with that probability, and ``trees`` independent roots bring the chance of
    components exhaustively, a pair only in the first node compared whole where it meets.  Nodes that are large because of one
    component compare all others with it.  The rest branches, and the step repeats; nodes still large at ``depth`` are
    compared in full, block against block.
+3. What the nodes of all levels find is confirmed at once, after the last of them.
 
 Signatures only reject (four standard deviations below the threshold); nodes carry one byte of each slot and the whole
 minima of the roots' slots.  What a node finds leaves it as groups of documents that pairs near the threshold connect, one
@@ -29,6 +30,7 @@ shingle of all of them; a null ``doc_id`` counts as one id larger than every oth
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -331,7 +333,8 @@ class _Search:
 
     def _add(self, parts: DataFrame, star: bool) -> None:
         """Add the links of parts (group, x, y, id, label); each document's text travels once a part."""
-        met = parts.join(self.texts, "id").select("group", "x", "y", "id", "label", "text")
+        # merged whatever the size of the parts, so that work grows alike: texts are shuffled once
+        met = parts.hint("merge").join(self.texts, "id").select("group", "x", "y", "id", "label", "text")
         dealt = met.repartition("group", "x", "y").sortWithinPartitions("group", "x", "y")
         found = cut(dealt.mapInArrow(_decide(self.percent, star), "a long, b long"), "links")
         self.links = found if self.links is None else self.links.unionAll(found)
@@ -409,17 +412,17 @@ def _stars(search: _Search, members: DataFrame, threshold: float) -> DataFrame:
     return components(search.links).withColumnsRenamed({"component": "label"})
 
 
-def _level(search: _Search, members: DataFrame, labels: DataFrame, slots: np.ndarray, threshold: float, last: bool) -> DataFrame | None:
-    """Handle the nodes of one level; returns the members of nodes that have to branch."""
-    marked = members.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
+def _level(members: DataFrame, known: DataFrame, slots: np.ndarray, threshold: float, last: bool) -> tuple[DataFrame, DataFrame | None]:
+    """Handle the nodes of one level, with what is ``known`` of every document; returns the groups found and the members of nodes that have to branch."""
+    marked = members.join(known, "id")
     counts = marked.groupBy("node", "label").agg(F.count(F.lit(1)).alias("c"))
     nodes = counts.groupBy("node").agg(
         F.sum("c").alias("size"), F.max_by("label", "c").alias("major"), F.sum(F.col("c").cast("double") * F.col("c")).alias("squares")
     )
     cross = (F.col("size").cast("double") * F.col("size") - F.col("squares")) / 2
     kind = F.when(F.col("size") <= SMALL, "small").when(cross <= THIN, "thin").otherwise("large")
-    open_nodes = nodes.withColumn("kind", kind).where(cross > 0).select("node", "size", "major", "kind")
-    held = cut(marked.join(open_nodes, "node").join(search.known, "id"), "open-nodes")
+    open_nodes = nodes.select("node", "size", "major", F.when(cross > 0, kind).alias("kind"))
+    held = cut(marked.join(open_nodes, "node", "left").where("kind is not null"), "open-nodes")
     kinds = {r[0] for r in held.groupBy("kind").agg(F.lit(1)).collect()}
     # the slots under which a document is in a node that branches
     wide = held.where("kind = 'large' and k >= 0").groupBy("id").agg(F.collect_set("k").alias("wide")) if "large" in kinds else None
@@ -433,8 +436,8 @@ def _level(search: _Search, members: DataFrame, labels: DataFrame, slots: np.nda
     large = held.where("kind = 'large'") if "large" in kinds else None
     if large is not None and last:
         work = work.unionAll(_all_pairs_of_blocks(large))
-    search.confirm(work.mapInArrow(_block_filter(threshold, slots), "group long, id long, label long, n long"))
-    return None if last else large
+    groups = work.mapInArrow(_block_filter(threshold, slots), "group long, id long, label long, n long")
+    return cut(groups, "found-groups"), None if last else large
 
 
 def _shared(children: DataFrame) -> DataFrame:
@@ -475,12 +478,17 @@ def near_duplicates(docs: DataFrame, percent: int = 85, trees: int = TREES, dept
     sigs = sigs.groupBy("id").agg(F.first("sig").alias("sig")) if repeated else sigs
     search = _Search(known.select("id", "n", "low", "first"), texts, percent)
     labels = _stars(search, members.where(F.col("k") < STARS), threshold)
+    marks = search.known.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
+    marks = cut(marks, "marks")
+    found: list[DataFrame] = []
     for level in range(1, depth + 1):
-        large = _level(search, members, labels, slots, threshold, level == depth)
+        groups, large = _level(members, marks, slots, threshold, level == depth)
+        found.append(groups)
         if large is None:
             break
         members = _shared(large.select("node", "id").join(sigs, "id").select("node", "id", "sig").mapInArrow(_branches(threshold), "node long, k int, id long"))
     release(spark)
+    search.confirm(reduce(DataFrame.unionAll, found))
 
     joined = components(search.links)
     labelled = known.join(joined, "id", "left").select(F.col("n").alias("n_shingles"), "k1", "k2", F.coalesce("component", "id").alias("component_id"))
