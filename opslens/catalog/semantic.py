@@ -8,13 +8,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from opslens import fixed_values as fv
-from opslens.catalog.registry import entry
+from opslens.catalog.registry import BODIES, entry
 from opslens.catalog.retail import AS_OF, REGION, tables
 from opslens.catalog.sqltext import big, dbl, quote, ratio
 from opslens.functions.periods import period_range, totals_by_period
 from opslens.plans import asks, checks
 from opslens.plans.model import RETAIL_MODEL
 from opslens.plans.query import Where, semantic_query
+from opslens.plans.rollups import RollupStore
+from opslens.sources import sinks
 from opslens.sources.retail import SALES_COLUMNS
 
 
@@ -77,6 +79,26 @@ def sem_multi_grain(spark, location):
     )
 
 
+@entry("sem_rollup_since", BODIES["sem_query"])
+def sem_rollup_since(spark, location):
+    made, store = ModelTables(spark, location), RollupStore(spark, sinks.work_folder(spark, "rollups"))
+    metrics = ["total_revenue", "total_units_sold", "avg_order_value"]
+    for groups in (["region", "category"], ["region", "category", "daily_sales.sale_date"]):
+        store.build(made, [f"daily_sales.{m}" for m in metrics], groups, "first")
+    since = Where("daily_sales.sale_date", lambda d: d >= F.lit("2001-01-01").cast("date"))
+    return store.query(made, {"daily_sales": "first"}, metrics, ["region", "category"], [since], ["-total_revenue"], 15)
+
+
+@entry("sem_rollup_multi_grain", BODIES["sem_query_multi_grain"])
+def sem_rollup_multi_grain(spark, location):
+    made, store = ModelTables(spark, location), RollupStore(spark, sinks.work_folder(spark, "rollups"))
+    metrics = ["total_revenue", "total_target_revenue", "total_labor_hours", "return_count"]
+    for metric in metrics:
+        store.build(made, [metric], ["region", "store_type", "store_name"], "first")
+    versions = {r.base: r.version for r in store.rollups()}
+    return store.query(made, versions, metrics, ["region", "store_type"])
+
+
 _ENUMS = [(d, RETAIL_MODEL.table(d.table)) for d in RETAIL_MODEL.dimensions if d.is_enum]
 _SQL_NAME = {"products": "products_base"}
 

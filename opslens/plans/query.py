@@ -13,7 +13,7 @@ outer join; measures of different grains are never multiplied.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 from functools import reduce
 from typing import Any
@@ -93,8 +93,13 @@ def semantic_query(
     order_by: Sequence[str] = (),
     limit: int | None = None,
     model: Model = RETAIL_MODEL,
+    block: Callable[..., DataFrame] | None = None,
 ) -> DataFrame:
-    """Metrics by dimensions.  ``order_by`` takes output names, ``-name`` for descending order."""
+    """Metrics by dimensions.  ``order_by`` takes output names, ``-name`` for descending order.
+
+    ``block`` makes the sums of one base table; by default they are aggregated from it.
+    """
+    block = block or aggregate_base
     if not metrics:
         raise UnknownName("at least one metric is needed")
     wanted = [find_metric(m, model) for m in metrics]
@@ -105,7 +110,7 @@ def semantic_query(
     blocks = []
     for base in bases:
         of_base = list({p.name: p for p in parts if p.table == base}.values())
-        blocks.append(_aggregate(tables, base, of_base, groups, tests, model))
+        blocks.append(block(tables, base, of_base, groups, tests, model))
     names = [g.name for g in groups]
     joined = reduce(lambda left, right: _align(left, right, names), blocks)
     values = {p.name: _closed(p) for p in parts}
@@ -123,7 +128,7 @@ def _closed(metric: Metric) -> Column:
     return metric.close({m: F.col(f"{metric.name}__{m}") for m in metric.measures})
 
 
-def _aggregate(
+def aggregate_base(
     tables: Tables,
     base: str,
     metrics: Sequence[Metric],
@@ -131,6 +136,7 @@ def _aggregate(
     tests: Sequence[tuple[Dimension, Where]],
     model: Model,
 ) -> DataFrame:
+    """The measures of one base table, summed by the groups; columns are ``metric__measure``."""
     own = [g.name for g in groups if g.table == base]
     asked = [d.name for d, _ in tests if d.table == base]
     links = [r.column for r in model.relationships if r.source == base]
