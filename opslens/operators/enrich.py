@@ -270,13 +270,18 @@ def staffed_shifts(
 
 
 def stock_levels(snapshots: DataFrame, stores: DataFrame, products: DataFrame) -> DataFrame:
-    """Stock columns per snapshot: bestsellers run leaner, strong stores reorder earlier."""
+    """Stock columns per snapshot: bestsellers run leaner, strong stores reorder earlier.
+
+    Far down the ranks of a large catalog the popularity multiplier is 0.000.  A share of it has no value then: days of supply
+    are NULL, and of units on hand only the floor of 0 is left.
+    """
     pulls = products.select("product_id", F.col("popularity_multiplier").cast("double").alias("_pull"))
     tiers = stores.select("store_id", F.col("performance_multiplier").cast("double").alias("_tier"))
     keys = snapshots.select("snapshot_id", "store_id", "product_id", "snapshot_date")
     joined = join_dimension(join_dimension(keys, pulls, "product_id"), tiers, "store_id")
     key, pull = F.col("snapshot_id"), F.col("_pull")
-    on_hand = draw_between(key, "stock", *fv.ON_HAND_RANGE).cast("double") / F.power(pull, F.lit(fv.ON_HAND_POWER))
+    divisor = F.nullif(pull, F.lit(0.0))
+    on_hand = draw_between(key, "stock", *fv.ON_HAND_RANGE).cast("double") / F.power(divisor, F.lit(fv.ON_HAND_POWER))
     reorder = draw_between(key, "threshold", *fv.REORDER_RANGE).cast("double") * F.sqrt("_tier")
     supply = draw_between(key, "cover", *fv.SUPPLY_DAYS_TENTHS_RANGE) / F.lit(10.0)
     on_order = draw_between(key, "incoming", *fv.ON_ORDER_RANGE).cast("double") * F.power(pull, F.lit(fv.ON_ORDER_POWER))
@@ -284,7 +289,7 @@ def stock_levels(snapshots: DataFrame, stores: DataFrame, products: DataFrame) -
         "snapshot_id", "store_id", "product_id", "snapshot_date",
         F.greatest(F.lit(0), fixed(on_hand, 0).cast("int")).alias("units_on_hand"),
         fixed(reorder, 0).cast("int").alias("reorder_point"),
-        fixed(supply / F.power(pull, F.lit(fv.SUPPLY_DAYS_POWER)), 1).alias("days_of_supply"),
+        fixed(supply / F.power(divisor, F.lit(fv.SUPPLY_DAYS_POWER)), 1).alias("days_of_supply"),
         F.greatest(F.lit(0), fixed(on_order, 0).cast("int")).alias("units_on_order"),
     )
 

@@ -107,3 +107,12 @@ def test_tiers_by_share(spark):
 @pytest.mark.parametrize("rank,want", [(1, 3.0), (500, 0.3)])
 def test_popularity_curve(spark, rank, want):
     assert float(spark.range(1).select(enrich.popularity_multiplier(F.lit(rank))).first()[0]) == want
+
+
+def test_stock_of_a_product_without_pull_left(spark):
+    held = spark.createDataFrame([("a", 1, 1, D(2001, 5, 2)), ("b", 1, 2, D(2001, 5, 2))], "snapshot_id string, store_id long, product_id long, snapshot_date date")
+    stores_ = spark.createDataFrame([(1, Decimal("1.00"))], "store_id long, performance_multiplier decimal(4,2)")
+    pulls = spark.createDataFrame([(1, Decimal("0.000")), (2, Decimal("0.001"))], "product_id long, popularity_multiplier decimal(6,3)")
+    got = {r["product_id"]: r for r in enrich.stock_levels(held, stores_, pulls).collect()}
+    assert (got[1]["units_on_hand"], got[1]["days_of_supply"], got[1]["units_on_order"]) == (0, None, 0)
+    assert got[1]["reorder_point"] > 0 and got[2]["days_of_supply"] is not None
