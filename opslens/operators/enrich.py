@@ -246,7 +246,7 @@ def staffed_shifts(
 ) -> DataFrame:
     """Shifts per store, day and type; headcount and hours follow weekday and store multiplier."""
     kept = stores.select("store_id", "region", "performance_multiplier")
-    dated = spines.with_spine(kept, spines.days(as_of, days), "shift_date", "store_id")
+    dated = spines.with_spine(kept, spines.days(as_of, days), "shift_date", "store_id", days * len(fv.SHIFT_TYPES))
     grid = spines.with_spine(dated, fixed_list(fv.SHIFT_TYPES), "shift_type")
     keyed = grid.withColumn("shift_id", F.concat_ws("-", "store_id", "shift_date", "shift_type"))
     key = F.col("shift_id")

@@ -193,7 +193,7 @@ class RetailTables:
             .groupBy("store_id")
             .agg(F.sum("revenue").alias("_revenue"), F.sum("units_sold").alias("_units"))
         )
-        grid = spines.with_spine(self._read("supplier").select((F.col("s_suppkey") + 1).cast("long").alias("store_id")), months, "period_month")
+        grid = spines.with_spine(self._read("supplier").select((F.col("s_suppkey") + 1).cast("long").alias("store_id")), months, "period_month", "store_id", fv.TARGET_MONTHS)
         share = F.lit(75) + F.pmod(hash_draw(F.concat_ws("-", "store_id", "period_month"), "target"), F.lit(50))
         # whole cents and whole numbers only: half a cent is rounded up exactly
         cents = F.coalesce((F.col("_revenue") * 100).cast("long"), F.lit(0))
@@ -213,7 +213,7 @@ class RetailTables:
         """Each part in four stores over eight weekly snapshots."""
         size = self._read("supplier").agg(F.count(F.lit(1))).scalar()
         places = F.sequence(F.lit(0), F.lit(3))
-        parts = spines.with_spine(self._read("part").select("p_partkey"), places, "_i", "p_partkey")
+        parts = spines.with_spine(self._read("part").select("p_partkey"), places, "_i", "p_partkey", 4 * 8)
         grid = spines.with_spine(parts, spines.weeks(self.as_of, 8), "snapshot_date").select(
             (F.pmod(F.col("p_partkey") * 4 + F.col("_i"), size) + 1).cast("long").alias("store_id"),
             (F.col("p_partkey") + 1).cast("long").alias("product_id"),
@@ -232,12 +232,20 @@ class RetailTables:
 
     def staff_shifts(self, first: dt.date | str | None = None) -> DataFrame:
         """Three shifts per store and day over 730 days; ``first`` starts the calendar later."""
+        return self.shift_figures(self.shift_grid(first))
+
+    def shift_grid(self, first: dt.date | str | None = None) -> DataFrame:
+        """Store, region, day and type of every shift, without the drawn figures."""
         count = fv.HISTORY_DAYS
         if first:
             count = min(count, (self.as_of - as_date(first)).days + 1)
         stores = self.stores().select("store_id", "region")
-        dated = spines.with_spine(stores, spines.days(self.as_of, count), "shift_date", "store_id")
-        grid = spines.with_spine(dated, fixed_list(fv.SHIFT_TYPES), "shift_type")
+        dated = spines.with_spine(stores, spines.days(self.as_of, count), "shift_date", "store_id", count * len(fv.SHIFT_TYPES))
+        return spines.with_spine(dated, fixed_list(fv.SHIFT_TYPES), "shift_type")
+
+    @staticmethod
+    def shift_figures(grid: DataFrame) -> DataFrame:
+        """The shifts of a grid, each from its own row."""
         keyed = grid.withColumn("shift_id", F.concat_ws("-", "store_id", "shift_date", "shift_type"))
         key = F.col("shift_id")
         as_region = F.when(F.col("region") == "AMERICA", "West").when(F.col("region") == "EUROPE", "Northeast")

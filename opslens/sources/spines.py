@@ -16,6 +16,8 @@ from opslens.functions.periods import period_range, quarters_in_window
 
 DateLike = dt.date | str | None
 
+ROWS_A_TASK = 1_000_000
+
 
 def months(as_of: DateLike = None, count: int = 24) -> Column:
     """Array of month starts, oldest first, ending with the month of ``as_of``."""
@@ -34,15 +36,17 @@ def weeks(as_of: DateLike = None, count: int = 104) -> Column:
     return F.sequence(F.date_sub(last, 7 * (count - 1)), last, F.expr("interval 7 days"))
 
 
-def with_spine(rows: DataFrame, spine: Column, name: str, spread_by: str | None = None) -> DataFrame:
+def with_spine(rows: DataFrame, spine: Column, name: str, spread_by: str | None = None, times: int = 1) -> DataFrame:
     """Repeat every row for each entry of the spine.
 
     A table of a few megabytes may sit in one partition and still grow a thousandfold here.
-    ``spread_by`` hashes the short rows over all cores first; the fixed number keeps adaptive execution
+    ``spread_by`` hashes the short rows over all cores first, and over more tasks where one would make more than
+    ``ROWS_A_TASK`` of the rows that each row becomes in the end, ``times``; the fixed number keeps adaptive execution
     from merging the partitions again for being small.
     """
     if spread_by:
-        rows = rows.repartition(rows.sparkSession.sparkContext.defaultParallelism, spread_by)
+        cores = rows.sparkSession.sparkContext.defaultParallelism
+        rows = rows.repartition(max(cores, -(-rows.count() * times // ROWS_A_TASK)), spread_by)
     return rows.select("*", F.explode(spine).alias(name))
 
 
@@ -82,7 +86,7 @@ def daily_totals_per_store(
         .groupBy("store_id", "sale_date")
         .agg(F.count(F.lit(1)).alias("lines"), F.sum("revenue").alias("revenue"))
     )
-    spine = with_spine(stores.select("store_id"), days(as_of, count), "sale_date", "store_id")
+    spine = with_spine(stores.select("store_id"), days(as_of, count), "sale_date", "store_id", count)
     return _zero_filled(spine.join(sold, ["store_id", "sale_date"], "left"), "lines", "revenue")
 
 

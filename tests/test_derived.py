@@ -315,3 +315,6 @@ def test_stored_members_are_exact_beyond_any_sketch(spark):
     days = sketches.day_members(first.union(second), ("who", "nobody"), ("day",))
     got = {str(r["week"]): r[1:] for r in sketches.members_returning(days, ("who", "nobody"), F.trunc("day", "week"), "week", F.date_add("week", 7)).collect()}
     assert got == {"2024-01-01": (200_001, 0, 0, 0), "2024-01-08": (170_000, 1, 100_001, 0)}
+
+
+# --- growth --------------------------------------------------------------------

@@ -161,3 +161,11 @@ def test_late_match_gives_up_after_the_bound(spark, split_events, tmp_path):
 
 def test_work_folder_is_in_the_shared_folder(spark):
     assert sinks.work_folder(spark, "x").startswith(spark.conf.get("spark.checkpoint.dir"))
+
+
+def test_a_spine_takes_more_tasks_on_more_rows(spark, monkeypatch):
+    from opslens.sources import spines
+
+    monkeypatch.setattr(spines, "ROWS_A_TASK", 100)
+    grown = spines.with_spine(spark.range(100), spines.days("2001-06-30", 50), "day", "id", 50)
+    assert grown.rdd.getNumPartitions() == 50 and grown.count() == 5000
