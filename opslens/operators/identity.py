@@ -13,7 +13,7 @@ from opslens.functions.columns import ratio
 from opslens.functions.joins import join_dimension
 from opslens.sources.sinks import create_table_as, work_folder
 
-BUCKETS = 16
+BUCKETS, IDS_A_BUCKET = 16, 500_000
 
 
 @dataclass(frozen=True)
@@ -34,13 +34,17 @@ class KeyedTables:
         return found[0] if found else None
 
 
-def write_keyed(tables: dict[str, DataFrame], id_column: str, key: str, buckets: int = BUCKETS) -> KeyedTables:
+def write_keyed(tables: dict[str, DataFrame], id_column: str, key: str, buckets: int | None = None) -> KeyedTables:
     """Store tables that share an id bucketed and sorted by a long ``key``, one file a bucket.
 
     Keys are numbers given to the distinct ids of all tables once and stored, so text ids are compared only while the tables
-    are written.  ``buckets`` should make files of some hundred MB.  Rows without an id keep a NULL key.
+    are written.  ``buckets`` should make files of some hundred MB; without it there is one for every ``IDS_A_BUCKET`` rows of
+    the first table, which should be the largest, so a task that sorts or reads a bucket needs no more memory on larger tables.
+    Rows without an id keep a NULL key.
     """
-    spark = next(iter(tables.values())).sparkSession
+    first = next(iter(tables.values()))
+    spark = first.sparkSession
+    buckets = buckets or max(BUCKETS, -(-first.count() // IDS_A_BUCKET))
     every = None
     for rows in tables.values():
         own = rows.select(id_column).where(F.col(id_column).isNotNull())

@@ -318,3 +318,10 @@ def test_stored_members_are_exact_beyond_any_sketch(spark):
 
 
 # --- growth --------------------------------------------------------------------
+
+
+def test_buckets_grow_with_the_rows(spark, monkeypatch):
+    monkeypatch.setattr(identity, "IDS_A_BUCKET", 50)
+    rows = spark.range(1001).select(F.concat(F.lit("s"), "id").alias("sale_id"), "id")
+    tables = identity.write_keyed({"sales": rows}, "sale_id", "sale_key")
+    assert len(tables["sales"].inputFiles()) == 21 and tables["sales"].count() == 1001
