@@ -200,9 +200,9 @@ def sink_columns_pinned(spark, location):
 # -- layout ------------------------------------------------------------------
 
 
-def _clustered(spark, rows, name: str, files: int | None = None) -> str:
+def _clustered(spark, rows, name: str, files: int | None = None, derive=None) -> str:
     path = sinks.work_folder(spark, f"{name}-clustered")
-    layout.cluster_write(rows, path, fv.CLUSTER_KEYS[name], fv.LOOKUP_KEYS.get(name, ()), files)
+    layout.cluster_write(rows, path, fv.CLUSTER_KEYS[name], fv.LOOKUP_KEYS.get(name, ()), files, derive=derive)
     return path
 
 
@@ -264,8 +264,11 @@ def layout_scan_report(spark, location):
 def _lookup(name: str, sql: str, table: str, columns: tuple[str, ...]) -> None:
     @entry(name, sql)
     def query(spark, location):
-        rows = getattr(tables(spark, location), table)()
-        stored = spark.read.parquet(_clustered(spark, rows, table))
+        t = tables(spark, location)
+        if table == "staff_shifts":
+            stored = spark.read.parquet(_clustered(spark, t.shift_grid(), table, derive=t.shift_figures))
+        else:
+            stored = spark.read.parquet(_clustered(spark, getattr(t, table)(), table))
         first = {c: F.min(c).alias(c) for c in fv.LOOKUP_KEYS[table]}
         if len(first) == 1:
             (column,) = first

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from functools import reduce
 from typing import Any
 
@@ -18,18 +18,22 @@ def cluster_write(
     lookups: Sequence[str] = (),
     files: int | None = None,
     rows_per_file: int = 20_000_000,
+    derive: Callable[[DataFrame], DataFrame] | None = None,
 ) -> None:
     """Write a sorted copy: files hold disjoint key ranges, rows are sorted inside.
 
     A hash of the row is the last range key, so even rows that share all cluster keys (one store type,
     one day) are spread over several tasks and files.  ``lookups`` get Parquet bloom filters for
-    equality reads on ids, which no sort order can help.
+    equality reads on ids, which no sort order can help.  Columns that follow from a row alone may be left to ``derive``:
+    they are made after sorting, so they neither travel nor are made a second time when Spark samples the key ranges.
     """
     spread = F.xxhash64(*rows.columns)
     ranged = (
         rows.repartitionByRange(files, *keys, spread) if files else rows.repartitionByRange(*keys, spread)
     )
-    writer = ranged.sortWithinPartitions(*keys).write.mode("overwrite").option("maxRecordsPerFile", rows_per_file)
+    ordered = ranged.sortWithinPartitions(*keys)
+    whole = derive(ordered) if derive else ordered
+    writer = whole.write.mode("overwrite").option("maxRecordsPerFile", rows_per_file)
     for column in lookups:
         writer = writer.option(f"parquet.bloom.filter.enabled#{column}", "true")
     writer.parquet(path)

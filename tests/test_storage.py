@@ -163,6 +163,16 @@ def test_work_folder_is_in_the_shared_folder(spark):
     assert sinks.work_folder(spark, "x").startswith(spark.conf.get("spark.checkpoint.dir"))
 
 
+def test_derived_columns_are_made_after_sorting(spark, tmp_path):
+    rows = spark.range(3000).select((F.col("id") % 30).alias("day"), "id")
+    made = lambda grid: grid.withColumn("twice", F.col("id") * 2)
+    layout.cluster_write(rows, str(tmp_path / "t"), ["day"], files=5, derive=made)
+    stored = spark.read.parquet(str(tmp_path / "t"))
+    assert sorted(map(tuple, stored.collect())) == sorted(map(tuple, made(rows).collect()))
+    ends = layout.overlap_depths(layout.file_ranges(stored, "day")).agg(F.max("depth")).first()[0]
+    assert ends <= 3  # itself and its two neighbours
+
+
 def test_a_spine_takes_more_tasks_on_more_rows(spark, monkeypatch):
     from opslens.sources import spines
 
