@@ -224,18 +224,19 @@ def layout_cluster_write(spark, location):
 )
 def layout_recluster(spark, location):
     path = sinks.work_folder(spark, "spans")
-    sinks.create_table_as(traces.spans(spark, location).repartition(8), path)
+    spans = traces.spans(spark, location)
+    sinks.create_table_as(spans.repartition(layout.parts_for(spans)), path)
     layout.recluster(spark, path, fv.CLUSTER_KEYS["spans"])
     return spark.read.parquet(path).groupBy("span_name", "event_date").agg(F.count(F.lit(1)).alias("n"))
 
 
 def _before_and_after(spark, location):
     sales = tables(spark, location).daily_sales(("sale_id", "store_id", "product_id", "sale_date", "revenue"))
-    scattered = sinks.work_folder(spark, "sales-scattered")
-    sales.repartition(8, "sale_id").write.parquet(scattered)
+    scattered, files = sinks.work_folder(spark, "sales-scattered"), layout.parts_for(sales)
+    sales.repartition(files, "sale_id").write.parquet(scattered)
     return {
         "scattered": spark.read.parquet(scattered),
-        "clustered": spark.read.parquet(_clustered(spark, sales, "daily_sales", 8)),
+        "clustered": spark.read.parquet(_clustered(spark, sales, "daily_sales", files)),
     }
 
 

@@ -39,6 +39,11 @@ def cluster_write(
     writer.parquet(path)
 
 
+def parts_for(rows: DataFrame, rows_a_part: int = 2_000_000, least: int = 8) -> int:
+    """How many parts keep each at ``rows_a_part`` rows or fewer on average; the rows are counted."""
+    return max(least, -(-rows.count() // rows_a_part))
+
+
 def recluster(spark: SparkSession, path: str, keys: Sequence[str], lookups: Sequence[str] = ()) -> str:
     """Sort an existing table again.  The new files are complete before the table is switched.
 

@@ -173,6 +173,10 @@ def test_derived_columns_are_made_after_sorting(spark, tmp_path):
     assert ends <= 3  # itself and its two neighbours
 
 
+def test_parts_grow_with_the_rows(spark):
+    assert [layout.parts_for(spark.range(n), 100) for n in (0, 800, 801, 5000)] == [8, 8, 9, 50]
+
+
 def test_a_spine_takes_more_tasks_on_more_rows(spark, monkeypatch):
     from opslens.sources import spines
 
