@@ -89,20 +89,28 @@ class MergedTable:
         stamped = marked.withColumn(_BATCH, F.lit(batch_id).cast("long"))
         self._replace(stamped, "versions", self.partition, _BATCH)
 
-        touched = self.versions().where(F.col(_BATCH) == batch_id).groupBy(self.partition).agg(F.count_if(~F.col(_GONE)).alias("n")).collect()
+        mine = self.versions().where(F.col(_BATCH) == batch_id).groupBy(self.partition)
+        touched = mine.agg(F.count_if(~F.col(_GONE)).alias("n"), F.count_if(_GONE).alias("gone")).collect()
         if touched:
             values = [r[0] for r in touched]
             whole = self._latest(self.versions().where(F.col(self.partition).isin(values)), [self.partition, self.key]).where(~F.col(_GONE))
             self._replace(self.summarise(whole.drop(_GONE, _BATCH)), "table", self.partition)
-            kept = {r[0] for r in whole.select(self.partition).distinct().collect()}
-            for value in set(values) - kept:  # a partition that lost its last row
+            # only a partition that rows have left may have lost its last one
+            left = [r[0] for r in touched if r["gone"]]
+            places = self.versions().where(F.col(self.partition).isin(left)).select(self.partition, self.key, self.version, _BATCH, _GONE)
+            alive = self._latest(places, [self.partition, self.key]).where(~F.col(_GONE))
+            kept = {r[0] for r in alive.select(self.partition).distinct().collect()} if left else set()
+            for value in set(left) - kept:
                 delete_folder(self.spark, self._path(f"table/{self.partition}={value}"))
         done = self.spark.createDataFrame([(batch_id, sum(r["n"] for r in touched), len(touched))], _LEDGER)
         done.coalesce(1).write.mode("append").parquet(self._path("ledger"))
 
     def _replace(self, rows: DataFrame, part: str, *by: str) -> None:
-        """Replace the partitions the rows belong to and leave the others."""
-        writer = rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+        """Replace the partitions the rows belong to and leave the others.
+
+        Rows are gathered by the first partition column, a large partition over several tasks, so that files stay few.
+        """
+        writer = rows.hint("rebalance", by[0]).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
         writer.partitionBy(*by).parquet(self._path(part))
 
     def run(self, stream: DataFrame, checkpoint: str) -> DataFrame:

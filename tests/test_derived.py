@@ -325,3 +325,33 @@ def test_buckets_grow_with_the_rows(spark, monkeypatch):
     rows = spark.range(1001).select(F.concat(F.lit("s"), "id").alias("sale_id"), "id")
     tables = identity.write_keyed({"sales": rows}, "sale_id", "sale_key")
     assert len(tables["sales"].inputFiles()) == 21 and tables["sales"].count() == 1001
+
+
+def test_a_feed_is_written_by_all_tasks(spark, small, monkeypatch):
+    import glob
+
+    from opslens.catalog import derived
+
+    seen = []
+
+    def run(self, stream, checkpoint):
+        seen.append(len(glob.glob(f"{self.folder}/feed/*.parquet".removeprefix("file://"))))
+        return self.spark.createDataFrame([], "sale_month date, store_id long, revenue long, units long")
+
+    monkeypatch.setattr(MergedTable, "run", run)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        derived.refresh_merge(spark, small)
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    assert seen == [4, 8]  # the session's four shuffle partitions, for each part
+
+
+def test_a_merge_writes_few_files_a_partition(spark):
+    import glob
+
+    table = merged(spark)
+    rows = spark.range(4000).select(F.concat(F.lit("k"), "id").alias("id"), F.lit(1).alias("version"), F.concat(F.lit("d"), F.col("id") % 3).alias("day"), F.lit(1).alias("amount"))
+    table.apply(rows.repartition(12), 0)
+    assert len(glob.glob(f"{table.folder}/versions/*/*/*.parquet")) == 3
+    assert sum(n for _, n in days(table).values()) == 4000
