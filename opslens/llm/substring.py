@@ -43,6 +43,13 @@ def _batches(rows: pa.Table) -> tuple[pa.Table, Words, np.ndarray]:
     return rows, words(rows["text"]), rows["doc_id"].to_numpy().astype(np.int64)
 
 
+def _coded(rows: pa.Table) -> tuple[Words, np.ndarray]:
+    """The words of a group in id order without their texts and places, and the id of each document."""
+    _, w, ids = _batches(rows.select(["doc_id", "text"]))
+    none = np.zeros(0, np.int64)
+    return Words(w.codes, w.first, np.zeros(0, np.uint8), none, none), ids
+
+
 def _blocks(w: Words, block: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Start, code and "is an indexed block" of every rolling probe."""
     at = w.whole(block)
@@ -57,9 +64,10 @@ def _split(codes: np.ndarray, buckets: int) -> np.ndarray:
 def _announce(block: int, buckets: int):
     def run(rows: pa.Table) -> pa.Table:
         group = rows["g"][0].as_py()
-        _, w, ids = _batches(rows)
+        w, ids = _coded(rows)
         at, codes, indexed = _blocks(w, block)
         owner = ids[w.document_of()[at]]
+        del w, at
         out = []
         bucket = _split(codes, buckets)
         order = np.lexsort((codes & _MASK, bucket))
@@ -104,7 +112,7 @@ def _extend(window: int, block: int, buckets: int):
         out = []
         if rows.num_rows and answers.num_rows:
             group = rows["g"][0].as_py()
-            _, w, ids = _batches(rows)
+            w, ids = _coded(rows)
             at, codes, _ = _blocks(w, block)
             bucket = _split(codes, buckets)
             hit = np.zeros(len(w.codes) + window + 1, np.int32)
@@ -115,9 +123,11 @@ def _extend(window: int, block: int, buckets: int):
                 shared, mine = unsteps(blob), codes[here] & _MASK
                 place = np.minimum(np.searchsorted(shared, mine), len(shared) - 1)
                 hit[at[here[shared[place] == mine]]] = 1
+            del at, codes, bucket, order  # only what lies around a hit is needed from here on
             sums = np.concatenate([[0], np.cumsum(hit)])
             runs = w.whole(window)
             runs = runs[sums[runs + window - block + 1] > sums[runs]]
+            del hit, sums
             long, check = w.windows(window)[runs], w.windows(window, 1)[runs] & U64(0xFFFFFFFF)
             owner = ids[w.document_of()[runs]]
             bucket = _split(long, buckets)
@@ -156,14 +166,20 @@ def _smaller(rows: pa.Table) -> pa.Table:
 def _covered(w: Words, ids: np.ndarray, window: int, answers: pa.Table) -> np.ndarray:
     """Whether each word lies in a window that also starts in a smaller document."""
     runs = w.whole(window)
-    long, check = w.windows(window)[runs], w.windows(window, 1)[runs] & U64(0xFFFFFFFF)
-    owner = ids[w.document_of()[runs]]
-    order = np.lexsort((check, long))
-    a, c, o = long[order], check[order], owner[order]
+    long, check = w.windows(window)[runs], w.windows(window, 1)[runs].astype(np.uint32)
     repeated = np.zeros(len(runs), bool)
     if len(runs):
-        first = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (c[1:] != c[:-1])]))
-        repeated[order] = o > np.repeat(o[first], np.diff(np.append(first, len(a))))
+        order = np.lexsort((check, long))
+        new = np.ones(len(runs), bool)
+        a = long[order]
+        new[1:] = a[1:] != a[:-1]
+        a = check[order]
+        new[1:] |= a[1:] != a[:-1]
+        del a
+        ranks = np.cumsum(np.diff(ids, prepend=ids[:1]) != 0, dtype=np.int32)  # equal ids are equal
+        owner = np.repeat(ranks, np.diff(w.first))[runs][order]
+        repeated[order] = owner > owner[new][np.cumsum(new, dtype=np.int32) - 1]
+        del order, owner, new
     if answers.num_rows and len(runs):
         known = np.concatenate([unsteps(x.as_py()) for x in answers["codes"]])
         known_check = np.concatenate([gather(x.as_py()) for x in answers["checks"]])
@@ -202,30 +218,30 @@ def _finish(window: int, columns: tuple[str, ...], layout: bool):
     def run(rows: pa.Table, answers: pa.Table) -> pa.Table:
         rows, w, ids = _batches(rows)
         gone = _covered(w, ids, window, answers)
+        w.codes = w.codes[:0]
         removed = np.concatenate([[0], np.cumsum(gone)])
-        kept, lost, spans, left, at = [], [], [], [], 0
+        texts, lost, spans, at = [], [], [], 0
         for d, text in enumerate(rows["text"]):
             low, high = w.first[d], w.first[d + 1]
-            parts = (text.as_py() or "").encode().split()
+            own = text.as_py()
             lost.append(int(removed[high] - removed[low]))
             if lost[-1]:
                 flags = gone[low:high]
-                parts = compress(parts, (~flags).tolist())
                 edge = np.flatnonzero(np.diff(np.concatenate([[0], flags.view(np.int8), [0]])))
                 spans.append(edge.reshape(-1, 2).tolist())
             else:
                 spans.append([])
-            kept.append(b" ".join(parts).decode())
             if layout:
-                own = text.as_py()
-                left.append(_left(own, at, w, low, spans[-1]) if spans[-1] else own)
+                texts.append(_left(own, at, w, low, spans[-1]) if spans[-1] else own)
                 at += len((own or "").encode())
+            else:
+                parts = (own or "").encode().split()
+                texts.append(b" ".join(compress(parts, (~flags).tolist()) if lost[-1] else parts).decode())
         out = rows.select(columns)
         out = out.append_column("n_words", pa.array(np.diff(w.first), pa.int64()))
         out = out.append_column("n_removed", pa.array(lost, pa.int64()))
-        out = out.append_column("kept_text", pa.array(kept, pa.string()))
-        out = out.append_column("repeats", pa.array(spans, pa.list_(pa.list_(pa.int64()))))
-        return out.append_column("left_text", pa.array(left, pa.string())) if layout else out
+        out = out.append_column("left_text" if layout else "kept_text", pa.array(texts, pa.string()))
+        return out.append_column("repeats", pa.array(spans, pa.list_(pa.list_(pa.int64()))))
 
     return run
 
@@ -236,8 +252,9 @@ def remove_repeats(
     """Documents without the word windows that already start in a document with a smaller id.
 
     Returns doc_id, the columns to ``carry`` along, n_words, n_removed, kept_text (kept words joined by one
-    space) and repeats: the maximal repeated stretches as [first word, word after the last].  With ``layout`` also left_text: the
-    text as it was, line breaks and all, without those stretches; a text that loses nothing, null included, is unchanged.
+    space) and repeats: the maximal repeated stretches as [first word, word after the last].  With ``layout`` left_text is in
+    place of kept_text, so that a task holds one text of each: the text as it was, line breaks and all, without those
+    stretches; a text that loses nothing, null included, is unchanged.
     """
     spark = docs.sparkSession
     kinds = dict(docs.dtypes)
@@ -258,9 +275,9 @@ def remove_repeats(
     smaller = cut(extended.groupBy("b").applyInArrow(_smaller, "g long, codes binary, checks binary"), "earlier-windows")
     release(spark)
     more = "".join(f"`c_{c}` {kinds[c]}, " for c in carry)
+    made = ("n_words", "n_removed", "left_text" if layout else "kept_text", "repeats")
     out = held.groupBy("g").cogroup(smaller.groupBy("g")).applyInArrow(
         _finish(window, ("doc_id", *(f"c_{c}" for c in carry)), layout),
-        f"doc_id long, {more}n_words long, n_removed long, kept_text string, repeats array<array<long>>" + (", left_text string" if layout else ""),
+        f"doc_id long, {more}n_words long, n_removed long, {made[2]} string, repeats array<array<long>>",
     )
-    made = ("n_words", "n_removed", "kept_text", "repeats", *(["left_text"] if layout else []))
     return out.select(F.nullif("doc_id", F.lit(NO_ID)).alias("doc_id"), *[F.col(f"c_{c}").alias(c) for c in carry], *made)

@@ -15,7 +15,7 @@ import pyarrow.compute as pc
 
 U64 = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 1
-_SPAN = 1 << 21
+_SPAN = 1 << 18
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _NO_LETTER = np.ones(256, bool)
@@ -59,11 +59,15 @@ class Words:
         if n <= 0:
             return np.zeros(0, U64)
         base = U64(((_BASE ^ (seed * 0x5851F42D4C957F2D)) | 1) % 2**64)
-        h = self.codes[:n].copy()
-        for j in range(1, k):
-            h *= base
-            h += self.codes[j : n + j]
-        return mix(h + U64(seed))
+        out = np.empty(n, U64)
+        for at in range(0, n, _SPAN):
+            to = min(n, at + _SPAN)
+            h = self.codes[at:to].copy()
+            for j in range(1, k):
+                h *= base
+                h += self.codes[at + j : to + j]
+            out[at:to] = mix(h + U64(seed))
+        return out
 
     def document_of(self) -> np.ndarray:
         return np.repeat(np.arange(len(self.first) - 1), np.diff(self.first))

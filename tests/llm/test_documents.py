@@ -34,6 +34,27 @@ def test_substring_repeats_are_maximal_stretches(docs_of):
     assert got == {1: [], 2: [[1, 41], [42, 82]]}
 
 
+def test_a_group_of_documents_takes_little_memory_beside_its_text():
+    import tracemalloc
+
+    import pyarrow as pa
+
+    rnd = random.Random(2)
+    some = [f"{k:05d}" for k in range(50_000)]
+    texts = [" ".join(rnd.choices(some, k=6_000)) for _ in range(200)]
+    rows = pa.table({"g": [0] * 200, "doc_id": list(range(200)), "text": texts})
+    none = pa.table({"g": pa.array([], pa.int64()), "codes": pa.array([], pa.binary()), "checks": pa.array([], pa.binary())})
+    size = sum(map(len, texts))
+    tracemalloc.start()
+    try:
+        left = substring._finish(13, ("doc_id",), True)(rows, none)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert left["left_text"].to_pylist() == texts
+    assert peak < 17 * size
+
+
 def test_near_duplicates_are_the_brute_force_components(docs_of, odd_texts):
     got = near_duplicates(docs_of(odd_texts), percent=85).collect()
     expected = brute.groups(odd_texts, 85)
