@@ -35,7 +35,8 @@ from opslens.sources.sinks import work_folder
 
 SHARDS = 2
 BUCKETS = 1 << 22
-BATCH_BYTES = 8 << 20
+#: Text that a task holds as words and phrases at once; in memory it is about 40 times as large.
+BATCH_BYTES = 2 << 20
 RANKED_A_TASK = 500_000
 NEVER = 255
 SEEDS = 8
@@ -150,7 +151,8 @@ def _scan(seed: int, step: int, shards: int, longest: int, active):
         for batch in batches:
             for rows in slices(batch, BATCH_BYTES):
                 if rows.num_rows:
-                    yield from _counted(rows, seed, step, shards, longest, active.value)
+                    for counted in _counted(rows, seed, step, shards, longest, active.value):
+                        yield from slices(counted)
 
     return run
 

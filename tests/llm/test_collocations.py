@@ -1,4 +1,5 @@
 import re
+import tracemalloc
 from collections import Counter
 
 import duckdb
@@ -138,3 +139,16 @@ def test_large_counts_score_exactly(spark):
 def test_no_documents(spark):
     assert c.collocations(frame(spark, [])).collect() == []
     assert c.collocations(frame(spark, [(None, "en"), (" . ", "en")])).collect() == []
+
+
+def test_a_scan_holds_a_small_part_of_a_batch_at_once():
+    rng = np.random.default_rng(3)
+    text = " ".join(f"w{k}" for k in rng.integers(0, 10**6, 8000))
+    batch = c.pa.RecordBatch.from_pylist([{"lang": "en", "text": text[k:] + text[:k]} for k in range(140)])
+    everything = type("Sent", (), {"value": np.zeros((2, 1 << 12), np.uint8)})
+    c.words(batch["text"].slice(0, 1))  # tables that the process keeps
+    tracemalloc.start()
+    sizes = [(b.num_rows, b.nbytes) for b in c._scan(0, 2, 2, 3, everything)(iter([batch]))]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert batch.nbytes > 7 << 20 and max(size for _, size in sizes) < 5 << 20 and peak < 12 * batch.nbytes
