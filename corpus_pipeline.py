@@ -14,7 +14,7 @@ from opslens.llm.minhash import near_duplicates
 from opslens.llm.packing import pack
 from opslens.llm.secret_scan import mask_secrets, secret_findings
 from opslens.llm.ship import ship
-from opslens.llm.store import cut, release, table
+from opslens.llm.store import cut, passing, release, table
 from opslens.llm.substring import remove_repeats
 from opslens.llm.toxicity import toxicity
 from opslens.session import configure
@@ -38,7 +38,7 @@ def _numbered(docs: DataFrame) -> DataFrame:
 
 def _without(docs: DataFrame, rows: DataFrame, purpose: str) -> DataFrame:
     """Documents whose row is not among the ``rows``; those are stored first, so that what led to them can be freed."""
-    gone = cut(rows.select("row"), purpose)
+    gone = cut(rows.select("row"), purpose, lasting=True)
     release(docs.sparkSession)
     return docs.join(gone, "row", "left_anti").select(*COLUMNS)
 
@@ -46,7 +46,8 @@ def _without(docs: DataFrame, rows: DataFrame, purpose: str) -> DataFrame:
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Without the documents predicted toxic, each row by its own text."""
     docs = _numbered(docs)
-    return _without(docs, toxicity(docs, table(spark, sf_dir, "labels"), carry=("row",)).where("predicted = 1"), "toxic-rows")
+    with passing(spark):
+        return _without(docs, toxicity(docs, table(spark, sf_dir, "labels"), carry=("row",)).where("predicted = 1"), "toxic-rows")
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -56,14 +57,15 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     that are equal in all columns count once.
     """
     docs = _numbered(docs)
-    found = near_duplicates(docs.select(F.col("row").alias("doc_id"), "text"), percent=80)
-    found = found.select(F.col("doc_id").alias("row"), "component_id", "n_shingles")
-    thin = docs.select("row", "doc_id", F.when(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(None)).otherwise(F.struct(*COLUMNS)).alias("blank"))
-    group = F.when(F.col("n_shingles") > 0, F.col("component_id"))
-    held = cut(thin.join(found, "row").select("row", "doc_id", group.alias("component"), "blank"), "near-groups")
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row"))["row"]
-    kept = held.groupBy("component", "blank").agg(first.alias("row"))
-    return _without(docs, held.join(kept, "row", "left_anti"), "duplicate-rows")
+    with passing(spark):
+        found = near_duplicates(docs.select(F.col("row").alias("doc_id"), "text"), percent=80)
+        found = found.select(F.col("doc_id").alias("row"), "component_id", "n_shingles")
+        thin = docs.select("row", "doc_id", F.when(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(None)).otherwise(F.struct(*COLUMNS)).alias("blank"))
+        group = F.when(F.col("n_shingles") > 0, F.col("component_id"))
+        held = cut(thin.join(found, "row").select("row", "doc_id", group.alias("component"), "blank"), "near-groups")
+        first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row"))["row"]
+        kept = held.groupBy("component", "blank").agg(first.alias("row"))
+        return _without(docs, held.join(kept, "row", "left_anti"), "duplicate-rows")
 
 
 def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

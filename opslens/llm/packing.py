@@ -23,12 +23,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from opslens.llm.store import cut, parts_for, total
+from opslens.llm.store import cut, parts_for, slices, total
 
 SIZE = 2048
 SLACK = 8
 FAN_IN = 100_000
-REMEMBERED = 600_000
+#: Bytes of stretches, their ids and what Python needs to hold them; two such stores are kept.
+REMEMBERED = 64 << 20
+_ENTRY = 200
 _TAIL = re.compile(rb"(?<=[a-z0-9])(?=[.,;:!?%$&*#|]+(?: |\Z))")
 
 
@@ -37,14 +39,14 @@ class _Encoder:
 
     The tokenizer folds case and drops white space, and none of its rules looks across it, so a stretch always has the same
     ids.  Marks at the end of a word are stretches of their own: a letter never shares a token with them.  Stretches
-    are remembered in two generations of at most ``REMEMBERED``.
+    are remembered in two generations of about ``REMEMBERED`` bytes, or those of one text, if they are more.
     """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.known, self.older = Tokenizer.from_file(path), {}, {}
+        self.tokenizer, self.known, self.older, self.held = Tokenizer.from_file(path), {}, {}, 0
 
     def encode(self, texts: list[str | None]) -> Iterator[bytes]:
         for text in texts:
@@ -54,14 +56,15 @@ class _Encoder:
             known = self.known
             fresh = [p for p in set(parts) if p not in known]
             if fresh:
-                if len(known) + len(fresh) > REMEMBERED:
-                    self.older, self.known = known, {}
+                if self.held > REMEMBERED:
+                    self.older, self.known, self.held = known, {}, 0
                     known, fresh = self.known, list(set(parts))
                 older = self.older
                 known.update((p, older[p]) for p in fresh if p in older)
-                fresh = [p for p in fresh if p not in known]
-                found = self.tokenizer.encode_batch_fast([p.decode() for p in fresh], add_special_tokens=False)
-                known.update(zip(fresh, (np.array(e.ids, "<u4").tobytes() for e in found)))
+                new = [p for p in fresh if p not in known]
+                found = self.tokenizer.encode_batch_fast([p.decode() for p in new], add_special_tokens=False)
+                known.update(zip(new, (np.array(e.ids, "<u4").tobytes() for e in found)))
+                self.held += sum(len(p) + len(known[p]) + _ENTRY for p in fresh)
             yield b"".join(map(known.__getitem__, parts))
 
 
@@ -80,7 +83,7 @@ def _pieces(path: str, size: int, end_id: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = encoder(path)
-        for batch in batches:
+        for batch in (piece for whole in batches for piece in slices(whole)):
             rows, numbers, starts, lengths, sums = [], [], [], [], []
             for at, ids in enumerate(known.encode(batch["text"].to_pylist())):
                 ids += end

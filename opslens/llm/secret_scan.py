@@ -278,12 +278,13 @@ def _masked(text: str, spans: list[tuple[int, int]]) -> str:
 
 def _mask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        texts = [
-            _masked(t, [(s["start"], s["length"]) for s in spans]) if t is not None and spans else t
-            for t, spans in zip(batch["text"].to_pylist(), batch["spans"].to_pylist())
-        ]
-        keep = [c for c in batch.schema.names if c != "spans"]
-        yield pa.record_batch({c: pa.array(texts, pa.string()) if c == "text" else batch[c] for c in keep})
+        for rows in slices(batch):
+            texts = [
+                _masked(t, [(s["start"], s["length"]) for s in spans]) if t is not None and spans else t
+                for t, spans in zip(rows["text"].to_pylist(), rows["spans"].to_pylist())
+            ]
+            keep = [c for c in rows.schema.names if c != "spans"]
+            yield pa.record_batch({c: pa.array(texts, pa.string()) if c == "text" else rows[c] for c in keep})
 
 
 def mask_secrets(docs: DataFrame, findings: DataFrame) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 import gc
 import time
 from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -38,9 +40,30 @@ def store(rows: DataFrame, path: str, *by: str) -> DataFrame:
     return spark.read.schema(rows.schema).parquet(path)
 
 
-def cut(rows: DataFrame, purpose: str) -> DataFrame:
-    """Write the rows to the shared folder and read them back: lineage ends there, lost executors cost nothing."""
-    return store(rows, work_folder(rows.sparkSession, purpose))
+#: Folders of the tables that the innermost ``passing`` block deletes at its end.
+_passing: ContextVar[list[str] | None] = ContextVar("passing", default=None)
+
+
+def cut(rows: DataFrame, purpose: str, lasting: bool = False) -> DataFrame:
+    """Write the rows to the shared folder and read them back: lineage ends there, lost executors cost nothing.
+
+    Inside a ``passing`` block the table goes at the end of the block, unless it is ``lasting``.
+    """
+    path, made = work_folder(rows.sparkSession, purpose), _passing.get()
+    if made is not None and not lasting:
+        made.append(path)
+    return store(rows, path)
+
+
+@contextmanager
+def passing(spark: SparkSession) -> Iterator[None]:
+    """Tables cut inside are deleted at the end: what is needed of them is in a lasting table by then."""
+    before = _passing.set([])
+    try:
+        yield
+        discard(spark, *_passing.get())
+    finally:
+        _passing.reset(before)
 
 
 def discard(spark: SparkSession, *paths: str) -> None:

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from opslens.llm.store import NO_ID, cut, parts_for, release, text_bytes
+from opslens.llm.store import NO_ID, cut, parts_for, passing, release, text_bytes
 from opslens.llm.words import U64, Words, gather, spread, steps, unsteps, words
 
 WINDOW = 13
@@ -267,12 +267,13 @@ def remove_repeats(
     by_group = held.select("g", "doc_id", "text").groupBy("g")
 
     announced = by_group.applyInArrow(_announce(block, groups), "b long, g long, codes binary")
-    met = cut(announced.groupBy("b").applyInArrow(_meet, "g long, b long, codes binary"), "shared-blocks")
-    release(spark)
-    extended = by_group.cogroup(met.groupBy("g")).applyInArrow(
-        _extend(window, block, groups), "b long, g long, codes binary, checks binary, ids binary"
-    )
-    smaller = cut(extended.groupBy("b").applyInArrow(_smaller, "g long, codes binary, checks binary"), "earlier-windows")
+    with passing(spark):
+        met = cut(announced.groupBy("b").applyInArrow(_meet, "g long, b long, codes binary"), "shared-blocks")
+        release(spark)
+        extended = by_group.cogroup(met.groupBy("g")).applyInArrow(
+            _extend(window, block, groups), "b long, g long, codes binary, checks binary, ids binary"
+        )
+        smaller = cut(extended.groupBy("b").applyInArrow(_smaller, "g long, codes binary, checks binary"), "earlier-windows", lasting=True)
     release(spark)
     more = "".join(f"`c_{c}` {kinds[c]}, " for c in carry)
     made = ("n_words", "n_removed", "left_text" if layout else "kept_text", "repeats")

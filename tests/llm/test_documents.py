@@ -225,3 +225,14 @@ def test_replay_goes_back_to_a_smaller_rank():
 ])
 def test_empty_tables_give_no_rows(docs_of, run):
     assert run(docs_of([(1, "x")]).where(F.lit(False))).collect() == []
+
+
+def test_the_encoder_remembers_a_bounded_number_of_bytes(monkeypatch):
+    encoder = packing._Encoder(WORD_BPE)
+    texts = [f"{'abcdefgh' * 500}{k} same words" for k in range(60)] + ["same words"]
+    first = list(encoder.encode(texts))
+    monkeypatch.setattr(packing, "REMEMBERED", 100_000)
+    encoder = packing._Encoder(WORD_BPE)
+    assert list(encoder.encode(texts)) == first
+    held = sum(len(k) + len(v) for store in (encoder.known, encoder.older) for k, v in store.items())
+    assert 0 < held <= 2 * 100_000 + 20_000

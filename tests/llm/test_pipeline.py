@@ -1,3 +1,4 @@
+import itertools
 import random
 
 import brute
@@ -5,6 +6,7 @@ import corpus_pipeline as pipeline
 import pytest
 from pyspark.sql import functions as F
 
+from opslens.llm import store
 from opslens.llm.queries import QUERIES
 from opslens.llm.store import table
 
@@ -68,6 +70,18 @@ def test_stages_take_effect_and_keep_the_rest(spark, corpus):
     whole = sorted((r["sequence_id"] is not None, r["length"], r["ids_crc32"]) for r in packed)
     assert whole == sorted((r["sequence_id"] is not None, r["length"], r["ids_crc32"]) for r in pipeline.run(spark, folder).collect())
 
+
+@pytest.mark.parametrize(
+    "at, left", [(0, ["numbered-documents", "toxic-rows"]), (1, ["duplicate-rows", "numbered-documents"]), (2, ["earlier-windows"])], ids=["toxicity", "near", "substring"]
+)
+def test_stages_leave_only_the_tables_that_their_result_reads(spark, corpus, tmp_path, monkeypatch, at, left):
+    monkeypatch.setattr(store, "work_folder", lambda spark, purpose: f"{tmp_path}/{purpose}-{next(numbers)}")
+    numbers = itertools.count()
+    out = pipeline.STAGES[at][1](spark, table(spark, corpus[0], "documents"), corpus[0])
+    assert sorted(p.name.rsplit("-", 1)[0] for p in tmp_path.iterdir()) == left
+    assert out.count() > 200
+
+
 def test_the_substring_stage_keeps_the_layout(spark, corpus):
     rnd = random.Random(3)
     shared = prose(rnd, 20)
