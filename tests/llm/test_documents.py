@@ -219,6 +219,71 @@ def test_replay_goes_back_to_a_smaller_rank():
     assert Replay(ranks).encode([b"abcbc", b"bcbc", b""]) == [[256, 257], [257, 257], []]
 
 
+def _alone(ranks, word):
+    """Ids of one word, the leftmost pair of smallest rank at a time."""
+    parts = [word] if word in ranks else [bytes([b]) for b in word]
+    while made := [(ranks[a + b], k) for k, (a, b) in enumerate(zip(parts, parts[1:])) if a + b in ranks]:
+        at = min(made)[1]
+        parts[at : at + 2] = [parts[at] + parts[at + 1]]
+    return [ranks[p] for p in parts]
+
+
+def test_replay_of_any_vocabulary_gives_what_each_word_gives_alone():
+    rnd = random.Random(12)
+    for _ in range(60):
+        tokens = sorted({bytes(rnd.choices(b"abc", k=rnd.randrange(2, 8))) for _ in range(rnd.randrange(60))})
+        drawn = rnd.sample(range(1000), 256 + len(tokens))  # in no order, with gaps
+        ranks = dict(zip([bytes([b]) for b in range(256)] + tokens, drawn))
+        words = [bytes(rnd.choices(b"abc", k=rnd.randrange(30))) for _ in range(60)] + [b"a" * 101, b"", "ë".encode()]
+        assert Replay(ranks).encode(words) == [_alone(ranks, w) if w else [] for w in words]
+        assert Replay(ranks).encode([b""]) == [[]] and Replay(ranks).encode([]) == []
+
+
+def test_replay_takes_steps_by_rank_and_not_by_merge():
+    import sys
+
+    replay, rnd, lines = Replay(read_ranks(BYTE_BPE)), random.Random(13), [0]
+
+    def trace(frame, event, _):
+        if not frame.f_code.co_filename.endswith("bpe.py"):
+            return None
+        lines[0] += event == "line"
+        return trace
+
+    seen = []
+    for size in (2_000, 16_000):
+        words = [bytes(rnd.choices(b"etaoin", k=10)) for _ in range(size)]
+        lines[0], before = 0, sys.gettrace()
+        sys.settrace(trace)
+        try:
+            replay.encode(words)
+        finally:
+            sys.settrace(before)
+        seen.append((lines[0] - 2 * size) / size)  # but for reading and listing the words
+    assert seen[1] < seen[0] / 3 and seen[1] < 10
+
+
+def test_bpe_forgets_words_and_reads_in_pieces(monkeypatch):
+    import pyarrow as pa
+    from opslens.llm import bpe
+
+    rnd = random.Random(14)
+    texts = [" ".join("".join(rnd.choices("etaoiné", k=rnd.randrange(1, 9))) for _ in range(50)) for _ in range(60)]
+    batch = pa.record_batch({"doc_id": list(range(60)), "text": texts})
+
+    def rows():
+        monkeypatch.setattr(bpe, "_words", {})
+        made = bpe._encode(BYTE_BPE, public_tokenizers.PATTERN, True)(iter([batch, batch]))
+        return [tuple(r.values()) for b in made for r in b.to_pylist()]
+
+    whole = rows()
+    monkeypatch.setattr(bpe, "REMEMBERED", 100)
+    monkeypatch.setattr(bpe, "PIECE_BYTES", 2_000)
+    monkeypatch.setattr(bpe, "REPLAY_BYTES", 200)
+    assert rows() == whole and len(whole) == 120
+    assert len(bpe._words[BYTE_BPE].number) < 2_000
+
+
 @pytest.mark.parametrize("run", [
     lambda d: substring.remove_repeats(d), lambda d: near_duplicates(d), lambda d: packing.pack(d, WORD_BPE),
     lambda d: encode(d, BYTE_BPE, public_tokenizers.PATTERN),
