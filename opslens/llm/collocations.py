@@ -6,10 +6,14 @@ last word, all but the first) have reached the threshold in what was counted of
 ``shards`` steps after that, one full cycle, which sees every shard once.  A phrase that completes its cycle below the threshold is
 dropped, the others are final.  The scans end a cycle after the last activation.
 
-A count's mark is its hash bucket and the step before its first one.  Activations are kept as the step in which each of ``buckets`` hash buckets of a length first held a phrase at the
-threshold: a table of fixed size that every task gets.  Two phrases in one bucket can only start the longer one early: every
+Activations are kept as the step in which each hash bucket of a length first held a phrase at the threshold: a table that every
+task gets, with ``buckets`` buckets for each GB of text.  Two phrases in one bucket can only start the longer one early: every
 phrase still has a whole cycle of its own, so counts are exact, and a full table merely prunes nothing.
 
+Between tasks counts travel as blobs: a row has all phrases of one language, length, first step and range of hashes, and their
+counts.  A range is small enough for one task at any size of the corpus.  The most frequent words of the first step are written
+as numbers of two bytes in longer phrases.
+
 Words are 64-bit codes and a phrase is the bytes of its codes.  A last scan spells the words of all candidates; it sees
 every word that has one of their codes, so it proves that no two words were taken for one, and everything is counted
 anew with another function if they were.
@@ -29,14 +33,22 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from opslens.llm.store import cut, discard, parts_for, slices, store
+from opslens.llm.store import cut, discard, parts_for, slices, store, text_bytes
 from opslens.llm.words import U64, Words, mix, words
 from opslens.sources.sinks import work_folder
 
 SHARDS = 2
 BUCKETS = 1 << 22
-#: Text that a task holds as words and phrases at once; in memory it is about 40 times as large.
+#: No more buckets a length than this, whatever the text: a task holds a quarter of a byte for each.
+MOST_BUCKETS = 1 << 26
+#: Text that a task turns into words at once; in memory it is about 40 times as large.
 BATCH_BYTES = 2 << 20
+#: Words whose phrases are counted at once, and text for each range of hashes.
+HELD_WORDS = 1_500_000
+PART_BYTES = 16 << 20
+LEAST_PARTS = 64
+#: Words that a task remembers as spelled.
+SPELLED = 2_000_000
 RANKED_A_TASK = 500_000
 NEVER = 255
 SEEDS = 8
@@ -50,7 +62,10 @@ LONG = 64
 _WEIGHTS = mix(np.arange(1, 257, dtype=U64) * U64(0xA24BAED4963EE407))
 _TIMES = U64(0xD6E8FEB86659FD93)
 _WORDS = "code binary, word string"
-_COUNTS = "lang string, key binary, mark long, c long"
+_COUNTS = "part int, level int, start int, wide boolean, lang string, key binary, rare binary, c binary"
+_OPEN, _FOUND, _REACHED, _HOT = range(4)
+RARE = (1 << 16) - 1
+_MERGED = f"kind int, {_COUNTS}, n long"
 
 
 def _recoded(w: Words, seed: int) -> np.ndarray:
@@ -73,90 +88,287 @@ def _coded(texts: pa.Array, seed: int) -> tuple[Words, np.ndarray]:
 
 def _stream(w: Words, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The codes of all pieces with a 0 between two of them, and the text of each place."""
-    breaks = np.cumsum(_BREAK[w.data])[w.starts]
-    text = w.document_of()
-    fresh = np.zeros(len(codes), bool)
-    fresh[1:] = (breaks[1:] != breaks[:-1]) | (text[1:] != text[:-1])
-    places = np.arange(len(codes)) + np.cumsum(fresh)
+    fresh = np.zeros(len(codes) + 1, bool)
+    fresh[np.searchsorted(w.starts, np.flatnonzero(_BREAK[w.data]))] = True
+    fresh[w.first[:-1]] = True
+    fresh[0] = False
+    places = np.arange(len(codes)) + np.cumsum(fresh[:-1])
     out, of = np.zeros(int(places[-1]) + 1, U64), np.zeros(int(places[-1]) + 1, np.int64)
-    out[places], of[places] = codes, text
+    out[places], of[places] = codes, w.document_of()
     return out, of
 
 
+def _by_hash(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The places in the order of the hashes, as far as their upper bits tell, and those bits."""
+    low = U64(max(1, len(hashes)).bit_length())
+    ordered = (hashes >> low << low) | np.arange(len(hashes), dtype=U64)
+    ordered.sort()
+    return (ordered & ((U64(1) << low) - U64(1))).astype(np.int64), ordered >> low
+
+
+def _differs(columns: list[np.ndarray], order: np.ndarray) -> np.ndarray:
+    out = np.zeros(len(order), bool)
+    out[:1] = True
+    for column in columns:
+        there = column[order]
+        out[1:] |= there[1:] != there[:-1]
+    return out
+
+
+def _runs(columns: list[np.ndarray], hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An order in which the rows of each distinct combination of the columns are one run, and where the runs begin."""
+    order, upper = _by_hash(hashes)
+    differs = _differs(columns, order)
+    if (differs[1:] & (upper[1:] == upper[:-1])).any():  # two combinations share a hash
+        order = np.lexsort(columns)
+        differs = _differs(columns, order)
+    return order, np.flatnonzero(differs)
+
+
 def _grouped(columns: list[np.ndarray], hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Position of one row of each distinct combination of the columns, and how often it occurs."""
-    order = np.argsort(hashes, kind="stable")
-    for again in (False, True):
-        differs = np.zeros(len(order), bool)
-        differs[:1] = True
-        for column in columns:
-            differs[1:] |= column[order[1:]] != column[order[:-1]]
-        if again or not (differs[1:] & (hashes[order[1:]] == hashes[order[:-1]])).any():
-            break
-        order = np.lexsort(columns)  # two combinations share a hash
-    first = np.flatnonzero(differs)
+    order, first = _runs(columns, hashes)
     return order[first], np.diff(np.append(first, len(order)))
 
 
-def _rows(langs: pa.Array, of: np.ndarray, keys: bytes, width: int, bucket: np.ndarray, start: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
-    fixed = pa.Array.from_buffers(pa.binary(width), len(of), [None, pa.py_buffer(keys)]) if width else pa.array([b""] * len(of))
-    return pa.record_batch(
-        {
-            "lang": langs.take(pa.array(of)),
-            "key": fixed.cast(pa.binary()),
-            "mark": pa.array(bucket.astype(np.int64) * 256 + start),
-            "c": pa.array(counts.astype(np.int64)),
-        }
-    )
-
-
-def _counted(rows: pa.RecordBatch, seed: int, step: int, shards: int, longest: int, active: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """Counts of the phrases of all lengths that are active in this step; key '' counts the words of a language."""
-    w, codes = _coded(rows["text"], seed)
-    if not len(codes):
-        return
-    column = rows["lang"].dictionary_encode()
-    langs, of_row = column.dictionary, column.indices.to_numpy()
-    codes, of = _stream(w, codes)
-    lang = of_row[of]
-    salt = np.array([int.from_bytes(hashlib.blake2b(s.encode(), digest_size=8).digest(), "little") for s in langs.to_pylist()], U64)
-    mask = U64(active.shape[1] - 1)
+def _upper(hashes: np.ndarray, parts: int) -> np.ndarray:
+    """Which of ``parts`` ranges, a power of two of them, a hash is in."""
+    return (hashes >> U64(1)) >> U64(63 - (parts.bit_length() - 1))
+
+
+def _salts(langs: list[str]) -> np.ndarray:
+    return np.array([int.from_bytes(hashlib.blake2b(s.encode(), digest_size=8).digest(), "little") for s in langs], U64)
+
+
+class Started:
+    """The step that each bucket of each length became active in, as far as one step's scan needs it.
+
+    Classes: 0 for a step so long ago that the cycle is over, 1 to ``shards`` for those since, ``shards`` + 1 for never; packed.
+    """
+
+    def __init__(self, active: np.ndarray, step: int, shards: int):
+        self.buckets, self.any = active.shape[1], [int(row.min()) < step for row in active]
+        self.bits = 2 if shards <= 2 else 4 if shards <= 14 else 8
+        classes = np.array([shards + 1 if s >= step else max(0, s - (step - shards - 1)) for s in range(256)], np.uint8)
+        each = 8 // self.bits
+        self.packed = np.zeros((len(active), -(-self.buckets // each)), np.uint8)
+        for level, row in enumerate(active):
+            for at in range(0, self.buckets, 1 << 20):
+                span = classes[row[at : at + (1 << 20)]]
+                for j in range(each):
+                    part = span[j::each]
+                    self.packed[level, at // each : at // each + len(part)] |= part << np.uint8(self.bits * j)
+
+    def classes(self, level: int, hashes: np.ndarray) -> np.ndarray:
+        place = _upper(hashes, self.buckets).astype(np.int64)
+        held = self.packed[level][place >> (8 // self.bits).bit_length() - 1]
+        if self.bits < 8:
+            held >>= (place & 8 // self.bits - 1).astype(np.uint8) * np.uint8(self.bits)
+            held &= np.uint8((1 << self.bits) - 1)
+        return held
+
+
+class Hot:
+    """Numbers of up to 65,535 words; ``RARE`` for every other one."""
+
+    def __init__(self, codes: np.ndarray):
+        codes = np.unique(codes)[:RARE]
+        self.codes = np.append(codes, np.zeros(RARE + 1 - len(codes), U64))
+        self.slots = np.full(1 << 18, RARE, np.uint16)
+        self.slots[self._slot(codes)] = np.arange(len(codes))
+
+    @staticmethod
+    def _slot(codes: np.ndarray) -> np.ndarray:
+        return (codes >> U64(64 - 18)).astype(np.int64)
+
+    def numbers(self, codes: np.ndarray) -> np.ndarray:
+        out = self.slots[self._slot(codes)]
+        out[self.codes[out] != codes] = RARE
+        return out
+
+
+def _blobs(
+    level: int, start: int, langs: list[str], lang: np.ndarray, codes: np.ndarray, counts: np.ndarray, part: np.ndarray, parts: int, hot: Hot
+) -> Iterator[pa.RecordBatch]:
+    """Counted phrases as a row for each language and range.  Counts take a byte, in wide rows eight."""
+    for wide in (False, True):
+        at = np.flatnonzero((counts > 255) == wide)
+        if not len(at):
+            continue
+        group = (lang[at].astype(np.int64) * parts + part[at].astype(np.int64)).astype(U64)
+        at = at[_by_hash(group << U64(64 - (len(langs) * parts).bit_length()))[0]]
+        own = np.flatnonzero(_differs([lang, part], at))
+        bounds, keys = np.append(own, len(at)), codes[at]
+        numbers = np.stack([hot.numbers(keys[:, j]) for j in range(level)], axis=1) if level > 1 else np.full(keys.shape, RARE, np.uint16)
+        rare = numbers == RARE
+        before = np.append(0, np.cumsum(rare.sum(axis=1)))
+
+        def binary(values: np.ndarray, bounds: np.ndarray) -> pa.Array:
+            return pa.Array.from_buffers(pa.binary(), len(bounds) - 1, [None, pa.py_buffer((bounds * values.itemsize).astype(np.int32)), pa.py_buffer(values.tobytes())])
+
+        yield pa.record_batch(
+            {
+                "part": pa.array(part[at[own]].astype(np.int32)),
+                "level": pa.array(np.full(len(own), level, np.int32)),
+                "start": pa.array(np.full(len(own), start, np.int32)),
+                "wide": pa.array(np.full(len(own), wide)),
+                "lang": pa.array(langs, pa.string()).take(pa.array(lang[at[own]])),
+                "key": binary(numbers.ravel(), bounds * level) if level > 1 else pa.array([b""] * len(own), pa.binary()),
+                "rare": binary(keys[rare], before[bounds]),
+                "c": binary(counts[at].astype("<i8" if wide else np.uint8), bounds),
+            }
+        )
+
+
+def _totals(langs: list[str], totals: np.ndarray) -> pa.RecordBatch:
+    """The numbers of words of the languages, as rows of the empty phrase."""
+    zero, none = pa.array(np.zeros(len(langs), np.int32)), pa.array([b""] * len(langs), pa.binary())
+    counts = [int(n).to_bytes(CODE, "little") for n in totals]
+    own = {"part": zero, "level": zero, "start": zero, "wide": pa.array([True] * len(langs)), "lang": pa.array(langs, pa.string())}
+    return pa.record_batch(own | {"key": none, "rare": none, "c": pa.array(counts, pa.binary())})
+
+
+def _counted(codes: np.ndarray, langs: list[str], lang: np.ndarray, step: int, shards: int, longest: int, started: Started, parts: int, hot: Hot) -> Iterator[pa.RecordBatch]:
+    """Counts of the phrases of all lengths that are active in this step; level 0 counts the words of a language.
+
+    A phrase may come twice, if another one's hash is nearly the same.
+    """
     if step <= shards:
-        totals = np.bincount(lang[codes != 0], minlength=len(langs))
-        none = np.zeros(len(langs), np.int64)
-        yield _rows(langs, np.arange(len(langs)), b"", 0, none, none, totals)
-    hashes, whole = mix(codes ^ salt[lang]), codes != 0
+        yield _totals(langs, np.bincount(lang[codes != 0], minlength=len(langs)))
+    hashes, whole = mix(codes ^ _salts(langs)[lang]), codes != 0
     for k in range(1, longest + 1):
         if k > 1:
             n = len(codes) - k + 1
-            if n <= 0:
+            if n <= 0 or not started.any[k - 2]:
                 return
-            began = active[k - 2][(hashes & mask).astype(np.int64)]
-            start = np.maximum(began[:n], began[1 : n + 1]).astype(np.int64)
+            began = started.classes(k - 2, hashes)
+            began = np.maximum(began[:n], began[1 : n + 1])
             hashes = mix(hashes[:n] * _TIMES + codes[k - 1 :])
             whole = whole[:n] & (codes[k - 1 :] != 0)
+            starts = [(step - shards - 1 + v, whole & (began == v)) for v in range(1, shards + 1) if step - shards - 1 + v >= 0]
         else:
-            start = np.zeros(len(codes), np.int64)
-        at = np.flatnonzero(whole & (start < step) & (step <= start + shards))
-        if not len(at):
-            continue
-        columns = [codes[at + j] for j in range(k)] + [lang[at]]
-        one, counts = _grouped(columns, hashes[at])
-        keys = np.ascontiguousarray(np.stack([c[one] for c in columns[:k]], axis=1)).astype("<u8").tobytes()
-        yield _rows(langs, lang[at[one]], keys, CODE * k, (hashes[at[one]] & mask).astype(np.int64), start[at[one]], counts)
-
-
-def _scan(seed: int, step: int, shards: int, longest: int, active):
+            starts = [(0, whole)] if step <= shards else []
+        for start, here in starts:
+            at = np.flatnonzero(here)
+            if not len(at):
+                continue
+            at = at[_by_hash(hashes[at])[0]]
+            first = np.flatnonzero(_differs([codes[j:] for j in range(k)] + [lang], at))
+            counts = np.diff(np.append(first, len(at)))
+            at = at[first]
+            keys = np.empty((len(at), k), "<u8")
+            for j in range(k):
+                keys[:, j] = codes[at + j]
+            yield from _blobs(k, start, langs, lang[at], keys, counts, _upper(hashes[at], parts), parts, hot)
+
+
+def _scan(seed: int, step: int, shards: int, longest: int, active, parts: int = 1, hot=None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        started = active.value if isinstance(active.value, Started) else Started(active.value, step, shards)
+        numbered = hot.value if hot else Hot(np.zeros(0, U64))
+        codes, lang, langs, held = [], [], {}, 0
+
+        def counted() -> Iterator[pa.RecordBatch]:
+            nonlocal codes, lang, langs, held
+            all_codes, all_lang = np.concatenate(codes)[:-1], np.concatenate(lang)[:-1]
+            names = list(langs)
+            codes, lang, langs, held = [], [], {}, 0
+            for rows in _counted(all_codes, names, all_lang, step, shards, longest, started, parts, numbered):
+                yield from slices(rows)
+
         for batch in batches:
             for rows in slices(batch, BATCH_BYTES):
-                if rows.num_rows:
-                    for counted in _counted(rows, seed, step, shards, longest, active.value):
-                        yield from slices(counted)
+                w, words_ = _coded(rows["text"], seed)
+                if not len(words_):
+                    continue
+                column = rows["lang"].dictionary_encode()
+                known = np.array([langs.setdefault(s, len(langs)) for s in column.dictionary.to_pylist()], np.int32)
+                stream, of = _stream(w, words_)
+                codes += [stream, np.zeros(1, U64)]
+                lang += [known[column.indices.to_numpy()][of], np.zeros(1, np.int32)]
+                held += len(stream)
+                del w, words_, stream, of
+                if held >= HELD_WORDS:
+                    yield from counted()
+        if held:
+            yield from counted()
 
     return run
 
 
+def _unpacked(table: pa.Table, level: int, hot: Hot) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
+    """Languages, and language, codes and count of every phrase of the rows."""
+    names: dict[str, int] = {}
+    lang, counts, numbers, rare = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)], [np.zeros(0, np.uint16)], [np.zeros(0, "<u8")]
+    for batch in table.to_batches():
+        for name, wide, blob in zip(batch["lang"].to_pylist(), batch["wide"].to_pylist(), batch["c"]):
+            counts.append(np.frombuffer(blob.as_buffer(), "<i8" if wide else np.uint8).astype(np.int64))
+            lang.append(np.full(len(counts[-1]), names.setdefault(name, len(names)), np.int32))
+        if level > 1:
+            numbers += [np.frombuffer(x.as_buffer(), np.uint16) for x in batch["key"]]
+        rare += [np.frombuffer(x.as_buffer(), "<u8") for x in batch["rare"] if len(x.as_buffer())]
+    all_counts, codes = np.concatenate(counts), np.concatenate(rare)
+    if level > 1:
+        at = np.concatenate(numbers)
+        held = hot.codes[at]
+        held[at == RARE] = codes
+        codes = held
+    return list(names), np.concatenate(lang), codes.reshape(len(all_counts), level), all_counts
+
+
+def _merge(step: int, shards: int, longest: int, least: int, buckets: int, parts: int, hot):
+    """All counts of one range, length and first step: phrases that go on, those found, and the buckets that hold a frequent one."""
+    schema = {"kind": pa.int32(), "part": pa.int32(), "level": pa.int32(), "start": pa.int32(), "wide": pa.bool_(), "lang": pa.string()}
+    schema |= {"key": pa.binary(), "rare": pa.binary(), "c": pa.binary(), "n": pa.int64()}
+
+    def rows(kind: int, size: int, **columns: pa.Array) -> pa.RecordBatch:
+        kinds = {"kind": pa.array(np.full(size, kind, np.int32))}
+        return pa.record_batch([(kinds | columns).get(name, pa.nulls(size, what)) for name, what in schema.items()], schema=pa.schema(schema))
+
+    def run(table: pa.Table) -> pa.Table:
+        part, level, start = (table[name][0].as_py() for name in ("part", "level", "start"))
+        langs, lang, codes, counts = _unpacked(table, level, hot.value)
+        hashes = _salts(langs)[lang]
+        for j in range(level):
+            hashes = mix(hashes * _TIMES + codes[:, j]) if j else mix(codes[:, j] ^ hashes)
+        order, first = _runs([codes[:, j] for j in range(level)] + [lang], hashes << U64(parts.bit_length() - 1))
+        counts, order = np.add.reduceat(counts[order], first), order[first]
+        lang, codes, hashes = lang[order], codes[order], hashes[order]
+        many = counts >= least
+        out = []
+        if start + shards > step:
+            if level:
+                blobs = _blobs(level, start, langs, lang, codes, counts, np.full(len(counts), part), parts, hot.value)
+            else:
+                blobs = [_totals([langs[x] for x in lang], counts)]
+            out += [rows(_OPEN, len(b), **dict(zip(b.schema.names, b.columns))) for b in blobs]
+        elif level == 0 or many.any():
+            at = np.flatnonzero(many) if level else np.arange(len(counts))
+            if level:
+                width = CODE * level
+                key = pa.Array.from_buffers(pa.binary(width), len(at), [None, pa.py_buffer(codes[at].tobytes())]).cast(pa.binary())
+            else:
+                key = pa.array([b""] * len(at), pa.binary())
+            out.append(rows(_FOUND, len(at), lang=pa.array(langs, pa.string()).take(pa.array(lang[at])), key=key, n=pa.array(counts[at])))
+        if step == level == 1:
+            most = codes[np.argsort(-counts)[: max(1, RARE // parts)], 0]
+            out.append(rows(_HOT, 1, key=pa.array([most.tobytes()], pa.binary())))
+        if 1 <= level < longest and many.any():
+            each = buckets // parts
+            flags = np.zeros(each, bool)
+            flags[_upper(hashes[many], buckets).astype(np.int64) - part * each] = True
+            at = {"level": pa.array([level], pa.int32()), "n": pa.array([part * each], pa.int64())}
+            out.append(rows(_REACHED, 1, key=pa.array([np.packbits(flags, bitorder="little").tobytes()], pa.binary()), **at))
+        return pa.Table.from_batches(out, schema=pa.schema(schema))
+
+    return run
+
+
+def _power(n: int) -> int:
+    """The least power of two that is not below n."""
+    return 1 << max(0, n - 1).bit_length()
+
+
 def phrase_counts(
     spark: SparkSession, texts: DataFrame, longest: int = 3, least: int = 10, shards: int = SHARDS, buckets: int = BUCKETS, seed: int = 0
 ) -> DataFrame:
@@ -167,49 +379,47 @@ def phrase_counts(
     """
     if shards < 1 or longest * shards >= NEVER or buckets & (buckets - 1):
         raise ValueError("shards * longest must stay below 255 and buckets be a power of two")
+    size = text_bytes(texts)
+    buckets = max(buckets, min(MOST_BUCKETS, buckets * _power(parts_for(size, 1 << 30))))
+    parts = min(buckets, max(LEAST_PARTS, _power(parts_for(size, PART_BYTES))))
     active = np.full((max(1, longest - 1), buckets), NEVER, np.uint8)
     running = spark.createDataFrame([], _COUNTS)
     finished: list[DataFrame] = []
     step, last = 0, 0
+    hot = spark.sparkContext.broadcast(Hot(np.zeros(0, U64)))
     while step < last + shards:
         step += 1
-        sent = spark.sparkContext.broadcast(active)
+        sent = spark.sparkContext.broadcast(Started(active, step, shards))
         shard = texts.where(F.col("shard") == (step - 1) % shards).select("lang", "text")
-        fresh = shard.mapInArrow(_scan(seed, step, shards, longest, sent), _COUNTS)
-        counts = running.unionAll(fresh).groupBy("lang", "key", "mark").agg(F.sum("c").alias("c"))
-        done = F.col("mark").bitwiseAND(255) + shards <= step
-        kept = counts.withColumn("done", done).where(~done | (F.col("c") >= least) | (F.length("key") == 0))
+        fresh = shard.mapInArrow(_scan(seed, step, shards, longest, sent, parts, hot), _COUNTS)
+        counts = running.unionAll(fresh).groupBy("part", "level", "start").applyInArrow(_merge(step, shards, longest, least, buckets, parts, hot), _MERGED)
         path = work_folder(spark, f"phrases-{step}")
-        stored = store(kept, path, "done")
+        stored = store(counts, path, "kind")
         sent.destroy()
         if step > 1:
-            discard(spark, f"{before}/done=false")
+            discard(spark, f"{before}/kind={_OPEN}", f"{before}/kind={_REACHED}", f"{before}/kind={_HOT}")
+        else:
+            hot.destroy()
+            most = [np.frombuffer(row["key"], "<u8") for row in stored.where(F.col("kind") == _HOT).select("key").collect()]
+            hot = spark.sparkContext.broadcast(Hot(np.concatenate([*most, np.zeros(0, U64)])))
         before = path
-        finished.append(stored.where("done"))
-        running = stored.where("not done").drop("done")
-        if _activate(stored.where(F.col("c") >= least), active, step):
+        finished.append(stored.where(F.col("kind") == _FOUND).select("lang", "key", F.col("n").alias("c")))
+        running = stored.where(F.col("kind") == _OPEN).select(*running.columns)
+        if _activate(stored.where(F.col("kind") == _REACHED), active, step):
             last = step
-    return reduce(DataFrame.unionAll, finished).select("lang", "key", "c")
+    hot.destroy()
+    return reduce(DataFrame.unionAll, finished)
 
 
 def _activate(reached: DataFrame, active: np.ndarray, step: int) -> bool:
-    """Set the buckets of phrases at the threshold that are new in this step; at most buckets / 64 rows a length come here."""
-    level = (F.length("key") / CODE).cast("int")
-    bits = (
-        reached.where(level.between(1, active.shape[0]))
-        .groupBy(level.alias("level"), F.shiftright("mark", 14).alias("word"))
-        .agg(F.bit_or(F.expr("shiftleft(1L, cast((mark >> 8) & 63 as int))")).alias("bits"))
-        .where("bits is not null")
-        .toPandas()
-    )
+    """Set the buckets of phrases at the threshold that are new in this step; at most a bit a bucket comes here for each step begun."""
     changed = False
-    for k, part in bits.groupby("level"):
-        flags = np.zeros(active.shape[1] // 64 if active.shape[1] >= 64 else 1, np.int64)
-        flags[part["word"].to_numpy()] = part["bits"].to_numpy()
-        on = np.unpackbits(flags.view(np.uint8), bitorder="little")[: active.shape[1]].astype(bool)
-        new = on & (active[k - 1] == NEVER)
-        active[k - 1][new] = step
-        changed |= bool(new.any())
+    for row in reached.select("level", "n", "key").collect():
+        on = np.flatnonzero(np.unpackbits(np.frombuffer(row["key"], np.uint8), bitorder="little")) + row["n"]
+        own = active[row["level"] - 1]
+        new = on[own[on] == NEVER]
+        own[new] = step
+        changed |= bool(len(new))
     return changed
 
 
@@ -283,9 +493,10 @@ def _marks(buckets: int):
 
 
 def _spellings(seed: int, wanted):
-    """Each slice's words whose code has its bucket marked."""
+    """A task's words whose code has its bucket marked, each about once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, known_sums = np.zeros(0, U64), np.zeros(0, U64)
         for batch in batches:
             for rows in slices(batch, BATCH_BYTES):
                 w, codes = _coded(rows["text"], seed)
@@ -294,8 +505,18 @@ def _spellings(seed: int, wanted):
                 sums = np.concatenate([np.zeros(1, U64), np.cumsum(_WEIGHTS[w.data], dtype=U64)])
                 short = hit[~long]
                 # short words are told apart by their code and a sum over their bytes, long ones by all of their bytes
-                one, _ = _grouped([codes[short], sums[w.ends[short]] - sums[w.starts[short]]], codes[short])
-                seen = np.concatenate([short[one], hit[long]])
+                sums = sums[w.ends[short]] - sums[w.starts[short]]
+                one, _ = _grouped([codes[short], sums], codes[short])
+                one = one[np.argsort(codes[short[one]])]
+                short, sums = short[one], sums[one]
+                at = np.searchsorted(known, codes[short])
+                there = np.minimum(at, max(0, len(known) - 1))
+                new = (known[there] != codes[short]) | (known_sums[there] != sums) if len(known) else np.ones(len(short), bool)
+                short, sums, at = short[new], sums[new], at[new]
+                if len(known) > SPELLED:
+                    known, known_sums, at = known[:0], known_sums[:0], at * 0
+                known, known_sums = np.insert(known, at, codes[short]), np.insert(known_sums, at, sums)
+                seen = np.concatenate([short, hit[long]])
                 spelled = {(int(codes[h]), w.data[w.starts[h] : w.ends[h]].tobytes()) for h in seen.tolist()}
                 keys = np.array([c for c, _ in spelled], "<u8")
                 yield pa.record_batch({"code": pa.array([k.tobytes() for k in keys], pa.binary()), "word": pa.array([s.decode() for _, s in spelled], pa.string())})

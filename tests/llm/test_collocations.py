@@ -152,3 +152,78 @@ def test_a_scan_holds_a_small_part_of_a_batch_at_once():
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert batch.nbytes > 7 << 20 and max(size for _, size in sizes) < 5 << 20 and peak < 12 * batch.nbytes
+
+
+class Sent:
+    def __init__(self, value):
+        self.value = value
+
+
+def test_partial_counts_leave_a_scan_as_few_rows():
+    """A row for each language, length and range of hashes, not one for each phrase."""
+    rng = np.random.default_rng(4)
+    texts = [{"lang": lang, "text": " ".join(f"w{k}" for k in rng.integers(0, 5000, 20_000))} for lang in ("en", "de")]
+    everything = Sent(np.zeros((2, 1 << 12), np.uint8))
+    rows = sum(b.num_rows for b in c._scan(0, 2, 2, 3, everything)(iter([c.pa.RecordBatch.from_pylist(texts)])))
+    assert rows <= 2 * 3 * 2 + 2
+
+
+def test_counts_of_two_scans_merge_exactly():
+    """Many languages, counts beyond a byte, words with and without a number, several ranges."""
+    rng = np.random.default_rng(5)
+    texts = [(f"l{k}", "very common words " * 200 + " ".join(f"w{x}" for x in rng.integers(0, 60, 90))) for k in range(300)] + [("l0", "very common words " * 400)]
+    expected = Counter()
+    for lang, text in texts:
+        w = text.split()
+        expected.update((lang, *w[i : i + k]) for k in (1, 2, 3) for i in range(len(w) - k + 1))
+    table = c.pa.table({"text": [t for _, t in texts], "lang": [x for x, _ in texts]})
+    w, codes = c._coded(table["text"], 0)
+    word = {int(code): w.data[a:b].tobytes().decode() for code, a, b in zip(codes, w.starts, w.ends)}
+    hot = Sent(c.Hot(np.array([code for code, x in word.items() if x in ("very", "words", "w7")], np.uint64)))
+    everything, parts = Sent(np.zeros((2, 1 << 12), np.uint8)), 4
+    halves = [table.slice(0, 150).to_batches(), table.slice(150).to_batches()]
+    made = c.pa.Table.from_batches([b for half in halves for b in c._scan(0, 2, 2, 3, everything, parts, hot)(iter(half))])
+    found, frequent = Counter(), [set(), set()]
+    for key in set(zip(*(made[name].to_pylist() for name in ("part", "level", "start")))):
+        own = made.filter(c.pa.compute.and_(c.pa.compute.equal(made["part"], key[0]), c.pa.compute.equal(made["level"], key[1])))
+        for open_at, step in ((2, 2), (1, 3)):  # done in step 2; else carried on and merged with itself
+            merged = c._merge(open_at, 2, 3, 1, 1 << 12, parts, hot)(own)
+            if open_at == 1:
+                carried = merged.filter(c.pa.compute.equal(merged["kind"], c._OPEN)).select(own.schema.names)
+                merged = c._merge(step, 2, 3, 1, 1 << 12, parts, hot)(c.pa.concat_tables([carried, carried]))
+            for row in merged.to_pylist():
+                if row["kind"] == c._FOUND and row["key"]:
+                    found[open_at, row["lang"], *(word[int(x)] for x in np.frombuffer(row["key"], "<u8"))] += row["n"]
+                if row["kind"] == c._REACHED:
+                    bits = np.unpackbits(np.frombuffer(row["key"], np.uint8), bitorder="little")
+                    frequent[row["level"] - 1].update((np.flatnonzero(bits) + row["n"]).tolist())
+    assert {k[1:]: v for k, v in found.items() if k[0] == 2} == expected
+    assert {k[1:]: v for k, v in found.items() if k[0] == 1} == {k: 2 * v for k, v in expected.items()}
+    salt = dict(zip(("l0",), c._salts(["l0"])))
+    h = c.mix(codes[:1] ^ salt["l0"])
+    assert int(c._upper(h, 1 << 12)[0]) in frequent[0] and all(0 <= x < 1 << 12 for x in frequent[0] | frequent[1])
+
+
+def test_started_tells_the_steps_of_the_cycle():
+    for shards in (1, 2, 3, 20):
+        step, buckets = shards + 6, 64
+        active = np.array([[k if k < step else c.NEVER for k in range(buckets)]], np.uint8)
+        places = np.arange(buckets, dtype=np.uint64) << np.uint64(58)
+        got = c.Started(active, step, shards).classes(0, places).tolist()
+        assert got == [shards + 1 if k >= step else max(0, k - (step - shards - 1)) for k in range(buckets)]
+
+
+def test_buckets_and_ranges_grow_with_the_text(spark, monkeypatch):
+    """A table of one size would be full on a large corpus and let every phrase start."""
+    seen, original = [], c._activate
+    monkeypatch.setattr(c, "_activate", lambda reached, active, step: (seen.append(active.shape), original(reached, active, step))[1])
+    monkeypatch.setattr(c, "text_bytes", lambda rows: 5 << 30, raising=False)
+    texts = frame(spark, docs()[:20]).selectExpr("coalesce(lang, 'und') as lang", "text", "0 as shard")
+    c.phrase_counts(spark, texts, longest=2, shards=1, buckets=64)
+    assert seen[0] == (1, 512)
+
+
+def test_a_task_spells_a_word_once():
+    batch = c.pa.RecordBatch.from_pylist([{"text": "one two three " * 200_000}])
+    rows = [r for b in c._spellings(0, Sent(np.ones(64, bool)))(iter([batch, batch])) for r in b.to_pylist()]
+    assert sorted(r["word"] for r in rows) == ["one", "three", "two"]
