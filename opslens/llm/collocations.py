@@ -44,8 +44,8 @@ MOST_BUCKETS = 1 << 26
 #: Text that a task turns into words at once; in memory it is about 40 times as large.
 BATCH_BYTES = 2 << 20
 #: Words whose phrases are counted at once, and text for each range of hashes.
-HELD_WORDS = 1_500_000
-PART_BYTES = 16 << 20
+HELD_WORDS = 1_000_000
+PART_BYTES = 8 << 20
 LEAST_PARTS = 64
 #: Words that a task remembers as spelled.
 SPELLED = 2_000_000
